@@ -133,7 +133,7 @@ ORDER BY round(a, 9) DESC, n DESC, candidate_id LIMIT 50"""
 
 
 def j04_candidate_match_totals(t: Tables) -> DataFrame:
-    every = views.search_candidates(t.skilled(), t.matches(), 10**9)
+    every = views.search_candidates(t.skilled(), t.matches(), None)
     return every.select(
         "candidate_id", F.round("avg_match_score", 9).alias("avg_match_score"), "total_matches"
     )

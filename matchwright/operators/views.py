@@ -204,7 +204,7 @@ def search_filter(
 def search_candidates(
     candidates: DataFrame,
     matches: DataFrame,
-    limit: int = 50,
+    limit: int | None = 50,
     **criteria,
 ) -> DataFrame:
     """Candidates that fit the criteria, ranked by average score and match count.
@@ -216,12 +216,12 @@ def search_candidates(
         F.avg("similarity_score").alias("avg_match_score"),
         F.count("match_id").alias("total_matches"),
     )
-    return (
+    ranked = (
         found.join(totals, "candidate_id", "left")
         .withColumn("avg_match_score", F.coalesce("avg_match_score", F.lit(0.0)))
         .withColumn("total_matches", F.coalesce("total_matches", F.lit(0)))
         .orderBy(
             F.round("avg_match_score", 9).desc(), F.desc("total_matches"), "candidate_id"
         )
-        .limit(limit)
     )
+    return ranked if limit is None else ranked.limit(limit)
