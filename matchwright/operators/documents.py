@@ -13,7 +13,7 @@ NEEDS_A_PARSER = ["pdf", "docx", "doc"]
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder with name, extension and bytes."""
+    """Files of a folder with name, extension and bytes; Spark skips files of length 0."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)

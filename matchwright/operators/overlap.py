@@ -9,6 +9,8 @@ candidates per offer.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,7 +18,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..sources.tables import staged
-from .nearest import PAIR_SCHEMA, top_per_offer
+from . import blocks
+from .blocks import PAIR_SCHEMA
+from .nearest import top_per_offer
+
+FEW_OFFERS = 4096  # most offers that are broadcast
+SLICE = 1024  # candidates held against them at a time
 
 
 def folded_skills(df: DataFrame, key: str, *skill_columns: str) -> DataFrame:
@@ -31,29 +38,63 @@ ANYONE = ""  # stands for "no skill asked": every candidate has it
 
 def _overlap_blocks(k: int | None, minimum: float):
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["job_offer_id", "candidate_id", "similarity_score"]
         if left.empty or right.empty:
-            return pd.DataFrame(columns=columns)
-        ids, offers = left["candidate_id"].to_numpy(), right["job_offer_id"].to_numpy()
-        wanted = pd.Series(right["wanted"].to_numpy()).explode()
-        held = pd.Series(left["held"].to_numpy()).explode()
-        asked = wanted.groupby(wanted).groups
-        common = np.zeros((len(offers), len(ids)), dtype=np.int32)
-        for skill, rows in held.groupby(held).groups.items():
-            if skill in asked:
-                common[np.ix_(asked[skill].to_numpy(), rows.to_numpy())] += 1
-        share = common / right["wanted"].map(len).to_numpy()[:, None]
-        found = []
-        for at, line in enumerate(share):
-            keep = np.flatnonzero(line >= minimum)
-            if k is not None and keep.size > k:
-                keep = keep[np.lexsort((ids[keep], -line[keep]))[:k]]
-            found.append((np.full(keep.size, offers[at]), ids[keep], line[keep]))
-        return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*found)))))
+            return blocks.as_frame(blocks.no_pairs())
+        found = blocks.overlap_pairs(
+            list(left["held"]),
+            left["candidate_id"].to_numpy(),
+            list(right["wanted"]),
+            right["job_offer_id"].to_numpy(),
+            k,
+            minimum,
+        )
+        return blocks.as_frame(found)
 
     return meet
 
 
+def _asked_skills(asked: DataFrame, limit: int) -> tuple[list[np.ndarray], np.ndarray] | None:
+    """All offers' skills where they are few, counted while reading; else None."""
+    head = asked.select("job_offer_id", "wanted").take(limit + 1)
+    if len(head) > limit or sum(len(r.wanted) for r in head) > 16 * limit:
+        return None
+    return [np.array(r.wanted, dtype=object) for r in head], np.array(
+        [r.job_offer_id for r in head], dtype=np.int64
+    )
+
+
+def _with_few_offers(
+    candidates: DataFrame,
+    few: tuple[list[np.ndarray], np.ndarray],
+    k: int | None,
+    minimum: float,
+) -> DataFrame:
+    """Pairs of broadcast offers and candidates read in place: no skill is shuffled."""
+    shared = candidates.sparkSession.sparkContext.broadcast(few)
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted, offers = shared.value
+        best = blocks.no_pairs()
+        for batch in batches:
+            for start in range(0, len(batch), SLICE):
+                part = batch.iloc[start : start + SLICE]
+                found = blocks.overlap_pairs(
+                    list(part["skill_set"]),
+                    part["candidate_id"].to_numpy(),
+                    wanted,
+                    offers,
+                    k,
+                    minimum,
+                )
+                if k is None:
+                    yield blocks.as_frame(found)
+                else:
+                    best = blocks.keep_best(blocks.join_pairs([best, found]), k)
+        yield blocks.as_frame(best)
+
+    return candidates.select("candidate_id", "skill_set").mapInPandas(match, PAIR_SCHEMA)
+
+
 def _check(min_similarity: float) -> None:
     if min_similarity <= 0:
         raise ValueError("min_similarity must be positive: 0 would ask for every pair")
@@ -125,7 +166,8 @@ def best_by_overlap(
     offers: DataFrame,
     k: int = scores.MATCHES_PER_OFFER,
     min_similarity: float = scores.MIN_SIMILARITY,
-    block_rows: int = 4096,
+    block_rows: int = 2048,
+    few_offers: int = FEW_OFFERS,
 ) -> DataFrame:
     """The ``k`` candidates with the largest overlap for every offer, ties by id.
 
@@ -136,16 +178,20 @@ def best_by_overlap(
     asked = offers.filter(F.size("skill_set") > 0).select(
         "job_offer_id", F.col("skill_set").alias("wanted")
     )
-    # Candidates with the same useful skills tie everywhere: the smallest ids suffice.
-    copies = Window.partitionBy("held").orderBy("candidate_id")
-    heads = staged(
-        _useful(candidates, asked)
-        .withColumn("at", F.row_number().over(copies))
-        .filter(F.col("at") <= k)
-        .drop("at"),
-        "skill-holders",
-    )
-    found = _meeting(heads, asked, k, min_similarity, block_rows)
+    few = _asked_skills(asked, few_offers)
+    if few is not None:
+        found = _with_few_offers(candidates, few, k, min_similarity)
+    else:
+        # Candidates with the same useful skills tie everywhere: the smallest ids suffice.
+        copies = Window.partitionBy("held").orderBy("candidate_id")
+        heads = staged(
+            _useful(candidates, asked)
+            .withColumn("at", F.row_number().over(copies))
+            .filter(F.col("at") <= k)
+            .drop("at"),
+            "skill-holders",
+        )
+        found = _meeting(heads, asked, k, min_similarity, block_rows)
     first = (
         candidates.select("candidate_id")
         .orderBy("candidate_id")
@@ -165,7 +211,8 @@ def overlapping_pairs(
     candidates: DataFrame,
     offers: DataFrame,
     min_similarity: float = scores.MIN_SIMILARITY,
-    block_rows: int = 4096,
+    block_rows: int = 2048,
+    few_offers: int = FEW_OFFERS,
 ) -> DataFrame:
     """All pairs with at least ``min_similarity`` overlap: a set-similarity join.
 
@@ -180,6 +227,9 @@ def overlapping_pairs(
     everyone = candidates.select(
         "candidate_id", F.concat(F.col("skill_set"), anyone).alias("skill_set")
     )
+    few = _asked_skills(asked, few_offers)
+    if few is not None:
+        return _with_few_offers(everyone, few, None, min_similarity)
     heads = staged(_useful(everyone, asked), "skill-holders")
     return _meeting(heads, asked, None, min_similarity, block_rows)
 

@@ -57,15 +57,23 @@ def sides():
     return candidates, offers
 
 
-@pytest.mark.parametrize("pivots,block_rows", [(1, 10_000), (8, 16), (32, 7)])
-def test_best_candidates(spark, sides, pivots, block_rows):
+WAYS = [
+    {"pivots": 1, "block_rows": 10_000, "broadcast_bytes": 0},
+    {"pivots": 8, "block_rows": 16, "broadcast_bytes": 0},
+    {"pivots": 32, "block_rows": 7, "broadcast_bytes": 0},
+    {"block_rows": 50},
+    {"broadcast_bytes": 65 * 8 * 6},  # room for the offers only
+]
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_best_candidates(spark, sides, way):
     candidates, offers = sides
     got = nearest.best_candidates(
         frame(spark, "candidate_id", candidates),
         frame(spark, "job_offer_id", offers),
         k=7,
-        pivots=pivots,
-        block_rows=block_rows,
+        **way,
     )
     assert scored(got) == brute(candidates, offers, 0.2, 7)
 
@@ -92,14 +100,28 @@ def test_zero_vectors_excluded(spark, sides):
     assert scored(got) == brute(candidates, offers, 0.2, 400, "exclude")
 
 
+def test_few_candidates_many_offers(spark, sides):
+    offers, candidates = sides
+    got = nearest.best_candidates(
+        frame(spark, "candidate_id", candidates),
+        frame(spark, "job_offer_id", offers),
+        k=7,
+        broadcast_bytes=65 * 8 * 6,
+        block_rows=50,
+    )
+    assert scored(got) == brute(candidates, offers, 0.2, 7)
+
+
 @pytest.mark.parametrize("minimum", [0.2, 0.7, 0.95])
-def test_similar_pairs(spark, sides, minimum):
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_similar_pairs(spark, sides, minimum, broadcast_bytes):
     candidates, offers = sides
     got = nearest.similar_pairs(
         frame(spark, "candidate_id", candidates),
         frame(spark, "job_offer_id", offers),
         minimum,
         block_rows=32,
+        broadcast_bytes=broadcast_bytes,
     )
     assert scored(got) == brute(candidates, offers, minimum)
 
@@ -151,7 +173,8 @@ def skill_frame(spark, key, rows):
 
 
 @pytest.mark.parametrize("minimum,block_rows", [(0.2, 4096), (0.5, 11), (1.0, 64)])
-def test_best_by_overlap(spark, skill_sides, minimum, block_rows):
+@pytest.mark.parametrize("few_offers", [0, 4096])
+def test_best_by_overlap(spark, skill_sides, minimum, block_rows, few_offers):
     candidates, offers = skill_sides
     got = overlap.best_by_overlap(
         skill_frame(spark, "candidate_id", candidates),
@@ -159,17 +182,20 @@ def test_best_by_overlap(spark, skill_sides, minimum, block_rows):
         k=6,
         min_similarity=minimum,
         block_rows=block_rows,
+        few_offers=few_offers,
     )
     assert scored(got) == brute_overlap(candidates, offers, minimum, 6)
 
 
-def test_overlapping_pairs(spark, skill_sides):
+@pytest.mark.parametrize("few_offers", [0, 4096])
+def test_overlapping_pairs(spark, skill_sides, few_offers):
     candidates, offers = skill_sides
     got = overlap.overlapping_pairs(
         skill_frame(spark, "candidate_id", candidates),
         skill_frame(spark, "job_offer_id", offers),
         0.6,
         block_rows=50,
+        few_offers=few_offers,
     )
     assert got.count() == len(scored(got))
     assert scored(got) == brute_overlap(candidates, offers, 0.6)
