@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.tables import staged
 
 # Accepted upload types; only plain text is read here.
 READABLE = ["txt"]
@@ -44,21 +49,76 @@ def has_text(df: DataFrame, column: str = "text") -> DataFrame:
 
 # -- language ----------------------------------------------------------------------
 
+CHARACTERS_AT_A_TIME = 1 << 20
+PROFILE_ROWS = 1 << 20  # largest profile that is broadcast
+
+
+def _flat() -> Column:
+    """The whole text in lower case, blanks run together."""
+    return F.regexp_replace(F.lower(text.strip(F.col("text"))), r"\s+", " ")
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts with about ``CHARACTERS_AT_A_TIME`` characters each."""
+    start, size = 0, 0
+    for at, body in enumerate(texts):
+        size += len(body)
+        if size >= CHARACTERS_AT_A_TIME:
+            yield start, at + 1
+            start, size = at + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Every character trigram of the texts as a number, and the text it is from."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    if points.size < 3:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    wide = points.astype(np.int64)
+    codes = (wide[:-2] << 42) | (wide[1:-1] << 21) | wide[2:]
+    inside = owner[:-2] == owner[2:]
+    return codes[inside], owner[:-2][inside]
+
+
+def _spelled(code: int) -> str:
+    return "".join(chr(code >> shift & 0x1FFFFF) for shift in (42, 21, 0))
 
-def _trigrams(documents: DataFrame, *keep: str) -> DataFrame:
-    """All character trigrams of the whole text, blanks run together, lower case."""
-    flat = F.regexp_replace(F.lower(F.trim("text")), r"\s+", " ")
-    return documents.select(
-        *keep, F.explode(F.regexp_extract_all(flat, F.lit("(?s)(?=(...))"), F.lit(1))).alias("gram")
+
+def _number(gram: str) -> int:
+    a, b, c = map(ord, gram)
+    return a << 42 | b << 21 | c
+
+
+def _trigram_counts(documents: DataFrame) -> DataFrame:
+    """``lang, gram, n``: counted inside each batch, then added up."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lang, part in batch.groupby("lang"):
+                texts = list(part["flat"])
+                for start, end in _slices(texts):
+                    codes, n = np.unique(_trigrams(texts[start:end])[0], return_counts=True)
+                    grams = [_spelled(c) for c in codes.tolist()]
+                    yield pd.DataFrame({"lang": lang, "gram": grams, "n": n})
+
+    flat = documents.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    return (
+        flat.select("lang", _flat().alias("flat"))
+        .mapInPandas(count, "lang string, gram string, n long")
+        .groupBy("lang", "gram")
+        .agg(F.sum("n").alias("n"))
     )
 
 
 def language_profile(documents: DataFrame, grams_per_language: int = 300) -> DataFrame:
     """Log-probability of each language's most frequent trigrams, in every language.
 
-    At most ``grams_per_language`` times languages squared rows.
+    Read from whole texts of known language. At most ``grams_per_language`` times
+    languages squared rows.
     """
-    counts = _trigrams(documents, "lang").groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    counts = staged(_trigram_counts(documents), "trigram-counts")
     common = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     vocabulary = (
         counts.withColumn("at", F.row_number().over(common))
@@ -81,15 +141,51 @@ def language_profile(documents: DataFrame, grams_per_language: int = 300) -> Dat
 def tag_language(documents: DataFrame, profile: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, language``: the likeliest language of each whole text, else ``unknown``.
 
-    The profile is small by construction, so the trigrams are weighed where the text
-    is read and only one partial sum per document and language is shuffled.
+    A profile of checked size is broadcast and texts are weighed where they are read,
+    without a shuffle; a larger one is joined to the exploded trigrams.
     """
-    weighed = (
-        _trigrams(documents, key)
-        .join(F.broadcast(profile), "gram")
-        .groupBy(key, "lang")
-        .agg(F.sum("weight").alias("weight"))
+    few = profile.select("gram", "lang", "weight").take(PROFILE_ROWS + 1)
+    if len(few) > PROFILE_ROWS:
+        return _tag_by_join(documents, profile, key)
+    languages = sorted({r.lang for r in few})
+    codes = sorted({_number(r.gram) for r in few})
+    place = {code: i for i, code in enumerate(codes)}
+    weights = np.zeros((len(codes), len(languages)))
+    for r in few:
+        weights[place[_number(r.gram)], languages.index(r.lang)] = r.weight
+    shared = documents.sparkSession.sparkContext.broadcast(
+        (np.array(codes, dtype=np.int64), weights, np.array([*languages, "unknown"], dtype=object))
+    )
+
+    def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, weight, names = shared.value
+        for batch in batches:
+            texts = list(batch["flat"])
+            found = np.full(len(texts), len(names) - 1)
+            for start, end in _slices(texts):
+                grams, owner = _trigrams(texts[start:end])
+                if not grams.size or not known.size:
+                    continue
+                at = np.minimum(np.searchsorted(known, grams), known.size - 1)
+                hit = known[at] == grams
+                at, owner = at[hit], owner[hit]
+                if not at.size:
+                    continue
+                # Rows of one text follow each other: add up each run.
+                starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                found[start + owner[starts]] = np.add.reduceat(weight[at], starts).argmax(1)
+            yield pd.DataFrame({key: batch[key], "language": names[found]})
+
+    kind = documents.schema[key].dataType.simpleString()
+    flat = documents.select(key, F.coalesce(_flat(), F.lit("")).alias("flat"))
+    return flat.mapInPandas(tag, f"{key} {kind}, language string")
+
+
+def _tag_by_join(documents: DataFrame, profile: DataFrame, key: str) -> DataFrame:
+    grams = documents.select(
+        key, F.explode(F.regexp_extract_all(_flat(), F.lit("(?s)(?=(...))"), F.lit(1))).alias("gram")
     )
+    weighed = grams.join(profile, "gram").groupBy(key, "lang").agg(F.sum("weight").alias("weight"))
     best = weighed.groupBy(key).agg(F.max_by("lang", F.struct("weight", "lang")).alias("found"))
     return documents.select(key).join(best, key, "left").select(
         key, F.coalesce("found", F.lit("unknown")).alias("language")

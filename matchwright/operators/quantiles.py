@@ -11,27 +11,27 @@ from ..sources.tables import staged
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[float], buckets: int = 1024
+    df: DataFrame, value: str, probabilities: Sequence[float], spread: float = 1 / 1024
 ) -> DataFrame:
     """Linear-interpolated quantiles of a numeric column: ``probability, quantile``.
 
-    Equal values are counted first, so copies cost nothing. A sketch cuts the distinct
-    values into buckets of about equal size; bucket totals tell which buckets hold the
-    wanted ranks, and only those are ordered, each in its own task.
+    A sketch brackets each wanted quantile by the values ``spread`` below and above it.
+    Counting the rows between the brackets tells exactly where the wanted ranks lie, and
+    only the few rows there are grouped by value and ordered. The sketch decides how
+    much work is left, never the result.
     """
-    counted = staged(
-        df.select(F.col(value).cast("double").alias("v"))
-        .filter(F.col("v").isNotNull())
-        .groupBy("v")
-        .agg(F.count("*").alias("n")),
-        "value-counts",
+    values = staged(
+        df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull()),
+        "values",
     )
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = counted.agg(
-        F.array_sort(F.array_distinct(F.percentile_approx("v", shares, buckets * 10)))
+    marks = sorted(
+        {min(max(p + side, 0.0), 1.0) for p in probabilities for side in (-spread, spread)}
+    )
+    cuts = values.agg(
+        F.array_sort(F.array_distinct(F.percentile_approx("v", marks, int(8 / spread))))
     ).scalar()
     placed = (
-        counted.withColumn("cuts", cuts)
+        values.withColumn("cuts", cuts)
         .withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("v"))))
         .drop("cuts")
     )
@@ -39,10 +39,10 @@ def exact_quantiles(
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
         placed.groupBy("bucket")
-        .agg(F.sum("n").alias("inside"))
+        .agg(F.count("*").alias("inside"))
         .withColumn("ahead", F.coalesce(F.sum("inside").over(before), F.lit(0)))
     )
-    size = counted.agg(F.sum("n")).scalar()
+    size = values.agg(F.count("*")).scalar()
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     ranks = (
         df.sparkSession.range(1)
@@ -64,12 +64,12 @@ def exact_quantiles(
         .select("bucket", "ahead", "r.*")
     )
     hit = needed.select("bucket", "ahead").distinct()
-    inside_bucket = (
-        Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    upto = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     ordered = (
         placed.join(hit, "bucket")
-        .withColumn("low", F.col("ahead") + F.coalesce(F.sum("n").over(inside_bucket), F.lit(0)))
+        .groupBy("bucket", "ahead", "v")
+        .agg(F.count("*").alias("n"))
+        .withColumn("low", F.col("ahead") + F.coalesce(F.sum("n").over(upto), F.lit(0)))
         .select(F.col("bucket").alias("at"), "v", "low", (F.col("low") + F.col("n")).alias("high"))
     )
     found = needed.join(

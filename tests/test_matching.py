@@ -294,12 +294,13 @@ def test_thresholds_without_finite_distances(spark):
     assert set(got.values()) == {2.0} and len(got) == 5
 
 
-def test_exact_quantiles_few_buckets(spark):
+@pytest.mark.parametrize("spread", [1 / 1024, 0.2, 1.0])
+def test_exact_quantiles(spark, spread):
     rng = np.random.default_rng(2)
     values = np.concatenate([rng.normal(size=3000), np.zeros(1500)])
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     p = [0.0, 0.01, 0.33, 0.5, 0.999, 1.0]
-    got = {r.probability: r["quantile"] for r in quantiles.exact_quantiles(df, "v", p, 7).collect()}
+    got = {r.probability: r["quantile"] for r in quantiles.exact_quantiles(df, "v", p, spread).collect()}
     assert [got[x] for x in p] == pytest.approx(list(np.quantile(values, p)))
 
 

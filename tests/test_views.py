@@ -217,6 +217,8 @@ def test_language_of_unseen_texts(spark):
     tagged = docs.tag_language(rest, docs.language_profile(train)).join(rest, "doc_id")
     right, whole = tagged.filter("language = lang").count(), rest.count()
     assert right >= 0.95 * whole
+    joined = docs._tag_by_join(rest, docs.language_profile(train), "doc_id")
+    assert rows(joined) == rows(tagged.select("doc_id", "language"))
     blank = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")
     assert {r.language for r in docs.tag_language(blank, docs.language_profile(train)).collect()} == {"unknown"}
 
