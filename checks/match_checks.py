@@ -181,6 +181,23 @@ SELECT candidate_id, job_offer_id, round(similarity_score, 6) AS similarity_scor
        round(distance, 6) AS distance FROM fx_matches""")
 
 
+def j08_rule_matches_of_arrivals(t: Tables) -> DataFrame:
+    """Candidates of the last registration day against every active offer."""
+    people = t.candidates()
+    day = F.to_date("created_at")
+    last = people.filter(day == people.agg(F.max(day)).scalar())
+    found = rules.rule_matches(last, t.offers().filter("status = 'active'"))
+    return _rounded(found, "similarity_score", "distance")
+
+
+J08 = sql(f"""
+SELECT candidate_id, job_offer_id, round(least(score, 0.95::DOUBLE), 6) AS similarity_score,
+       round(1.0::DOUBLE - score, 6) AS distance
+FROM {_ALL_RULE_PAIRS} WHERE score >= 0.4 AND candidate_id IN
+  (SELECT candidate_id FROM fx_candidates WHERE CAST(created_at AS DATE) =
+     (SELECT max(CAST(created_at AS DATE)) FROM fx_candidates))""")
+
+
 def m21_demo_matches(t: Tables) -> DataFrame:
     active = t.offers().filter("status = 'active'")
     return _rounded(rules.demo_matches(t.candidates(), active), "similarity_score", "distance")
@@ -422,6 +439,7 @@ CHECKS = {
     "m01_best_by_rule": (m01_best_by_rule, M01_BEST),
     "m01_rule_score_counts": (m01_rule_score_counts, M01_COUNTS),
     "m01_rule_rescore": (m01_rule_rescore, M01_RESCORE),
+    "j08_rule_matches_of_arrivals": (j08_rule_matches_of_arrivals, J08),
     "m02_flag_scores": (m02_flag_scores, M02),
     "m03_category_tier": (m03_category_tier, M03),
     "m04_last_resort": (m04_last_resort, M04),

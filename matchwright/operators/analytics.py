@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..sources.tables import staged
 from .views import filled, known
 
 TOP_COMPANIES = 10  # fixed value: companies shown
@@ -100,7 +101,9 @@ def co_occurrence(candidates: DataFrame, n: int = TOP_SKILLS) -> DataFrame:
     Each candidate is reduced to the top skills it holds; equal reductions are counted
     first, and only the counted patterns (at most 2**n) are spread to skill pairs.
     """
-    top = most_frequent(skill_frequency(candidates), "skill", "frequency", n)
+    top = staged(
+        most_frequent(skill_frequency(candidates), "skill", "frequency", n), "top-skills"
+    )
     # ``n`` skills at most: small enough to be one value.
     listed = top.agg(F.array_sort(F.collect_list("skill"))).scalar()
     held = F.array_intersect(listed, F.col("skills.technical_skills"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.vectors import fit
+from ..sources.tables import staged
 
 MATCH_KEYS = ["candidate_id", "job_offer_id"]
 MATCH_SCORES = ["similarity_score", "distance", "overall_evaluation"]
@@ -245,7 +246,7 @@ def upsert_candidates(
     """
     at = F.current_timestamp() if now is None else now
     good, _ = split_valid(profiles)
-    once = latest_per_key(clean_profiles(good), ["email"], arrival)
+    once = staged(latest_per_key(clean_profiles(good), ["email"], arrival), "profiles")
     once = once.drop(*[c for c in arrival if c not in candidates.columns])
     # The smallest id where a stored e-mail repeats: an update then reaches one row.
     ids = candidates.groupBy("email").agg(F.min("candidate_id").alias("candidate_id"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..sources.tables import staged
 
 
 def _candidate_classes(candidates: DataFrame) -> DataFrame:
@@ -76,8 +77,9 @@ def best_by_rule(
     """
     mine, theirs = _candidate_classes(candidates), _offer_classes(offers)
     by_id = Window.partitionBy("mine", "years").orderBy("candidate_id")
-    heads = (
-        mine.withColumn("at", F.row_number().over(by_id)).filter(F.col("at") <= k).drop("at")
+    heads = staged(
+        mine.withColumn("at", F.row_number().over(by_id)).filter(F.col("at") <= k).drop("at"),
+        "class-heads",
     )
     wanted = theirs.select("theirs", "required").distinct()
 
@@ -136,7 +138,7 @@ def rule_score_counts(candidates: DataFrame, offers: DataFrame) -> DataFrame:
     classes are counted, never expanded to pairs.
     """
     mine, theirs = _candidate_classes(candidates), _offer_classes(offers)
-    sizes = mine.groupBy("mine", "years").agg(F.count("*").alias("n"))
+    sizes = staged(mine.groupBy("mine", "years").agg(F.count("*").alias("n")), "class-sizes")
     wanted = theirs.select("theirs", "required").distinct()
 
     fitting = (
@@ -186,6 +188,43 @@ def rule_score_counts(candidates: DataFrame, offers: DataFrame) -> DataFrame:
     )
 
 
+def rule_matches(candidates: DataFrame, offers: DataFrame) -> DataFrame:
+    """Every rule match of a batch of candidates, such as new arrivals.
+
+    The result is by its definition nearly as large as batch times offers; for whole
+    tables use ``best_by_rule`` or ``rule_score_counts``. Only result rows are made:
+    candidates with enough years meet the offers through the required years, the others
+    through their category.
+    """
+    mine, theirs = _candidate_classes(candidates), _offer_classes(offers)
+    limits = theirs.agg(F.array_sort(F.collect_set("required"))).scalar()
+    met = (
+        mine.withColumn("limits", limits)
+        .withColumn("required", F.explode(F.filter("limits", lambda r: r <= F.col("years"))))
+        .drop("limits")
+        .join(theirs, "required")
+    )
+    short = (
+        mine.join(_contained_in(theirs), "mine")
+        .join(theirs, "theirs")
+        .filter(F.col("years") < F.col("required"))
+    )
+    columns = ["candidate_id", "job_offer_id", "mine", "theirs", "years", "required"]
+    score = scores.rule_score(F.col("mine"), F.col("theirs"), F.col("years"), F.col("required"))
+    return (
+        met.select(*columns)
+        .unionByName(short.select(*columns))
+        .withColumn("score", score)
+        .filter(F.col("score") >= scores.RULE_MINIMUM)
+        .select(
+            "candidate_id",
+            "job_offer_id",
+            F.least("score", F.lit(0.95)).alias("similarity_score"),
+            (F.lit(1.0) - F.col("score")).alias("distance"),
+        )
+    )
+
+
 def demo_matches(
     candidates: DataFrame,
     offers: DataFrame,

@@ -41,10 +41,15 @@ def global_statistics(
     def size(df: DataFrame):
         return df.agg(F.count("*")).scalar()
 
-    return analytics.score_statistics(matches).select(
+    score = F.col("similarity_score")
+    return matches.agg(
+        F.count("*").alias("nb_matches"),
+        F.coalesce(F.avg(score), F.lit(0.0)).alias("avg_match_score"),
+        F.count_if(score > 0.8).alias("excellent_matches"),
+    ).select(
         size(candidates).alias("nb_candidates"),
         size(offers).alias("nb_offers"),
-        size(matches).alias("nb_matches"),
+        "nb_matches",
         size(clients).alias("nb_clients"),
         "avg_match_score",
         "excellent_matches",

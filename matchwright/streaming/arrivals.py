@@ -34,20 +34,25 @@ def file_arrivals(
 
 
 def start_matching(
-    arrivals: DataFrame, match: Matcher, matches_path: str, checkpoint: str
+    arrivals: DataFrame,
+    match: Matcher,
+    matches_path: str,
+    checkpoint: str,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Match each batch with ``match`` and store the result; stops when all is read."""
+    """Match each batch with ``match`` and store the result.
+
+    Runs until stopped, looking for arrivals at the interval ``every``; without one it
+    stops when all that has arrived is read.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         rows = match_rows(match(batch)).withColumn(BATCH, F.lit(batch_id))
         replace_partitions(rows, matches_path, [BATCH])
 
-    return (
-        arrivals.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = arrivals.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    timing = {"availableNow": True} if every is None else {"processingTime": every}
+    return writer.trigger(**timing).start()
 
 
 def on_new_profiles(read_offers: Callable[[], DataFrame], **options) -> Matcher:

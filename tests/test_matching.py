@@ -251,6 +251,13 @@ def test_best_by_rule(spark, rule_sides, k):
     assert got == want
 
 
+def test_rule_matches(spark, rule_sides):
+    candidates, offers, c, o = rule_sides
+    want = sorted((o_, c_, round(s, 6)) for o_, c_, s in brute_rule(candidates, offers))
+    got = rules.rule_matches(c, o).collect()
+    assert sorted((r.job_offer_id, r.candidate_id, round(r.similarity_score, 6)) for r in got) == want
+
+
 def test_rule_score_counts(spark, rule_sides):
     candidates, offers, c, o = rule_sides
     want = {}
