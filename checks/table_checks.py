@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchwright.functions.text import pair_id
 from matchwright.operators import maintenance as m
-from matchwright.operators import nearest
+from matchwright.plans import matching
 from matchwright.sources import tables as src
 from matchwright.streaming import arrivals
 
@@ -41,8 +42,6 @@ def _line_scores(t: Tables) -> DataFrame:
     """One new score per line: several per pair, the last shipped one counts."""
     c, o = F.col("o_custkey"), F.col("l_suppkey")
     lines = t.raw("orders").join(t.raw("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    from matchwright.functions.text import pair_id
-
     return lines.filter("l_returnflag = 'R'").select(
         pair_id(c, o).alias("match_id"),
         c.alias("candidate_id"),
@@ -62,6 +61,17 @@ def io04_upsert_matches(t: Tables) -> DataFrame:
     )
 
 
+def io04_merge_into_stored_table(t: Tables) -> DataFrame:
+    """The same upsert into a stored table, partition by partition."""
+    path = src.new_folder(t.spark, "match-table")
+    matching.create_match_table(t.matches(), path, 16)
+    matching.merge_into_match_table(_line_scores(t), path, 16)
+    merged = src.read_table(t.spark, path).drop(matching.BUCKET)
+    return merged.withColumns(
+        {c: F.round(c, 6) for c in ("similarity_score", "distance", "overall_evaluation")}
+    )
+
+
 IO04 = """, u AS (SELECT candidate_id, job_offer_id, score, shipped FROM (
     SELECT o_custkey AS candidate_id, l_suppkey AS job_offer_id, 1.0::DOUBLE - l_discount AS score,
            l_shipdate AS shipped, row_number() OVER (PARTITION BY o_custkey, l_suppkey
@@ -253,6 +263,7 @@ CHECKS = {
     "io01_read_table": (io01_read_table, "SELECT c_custkey, c_name FROM customer"),
     "io03_append": (io03_append, sql(_MATCHES)),
     "io04_upsert_matches": (io04_upsert_matches, sql(IO04)),
+    "io04_merge_into_stored_table": (io04_merge_into_stored_table, sql(IO04)),
     "io05_replace": (io05_replace, sql(_MATCHES + " WHERE similarity_score > 0.6")),
     "io06_delete": (
         io06_delete,

@@ -32,19 +32,29 @@ def _offer_classes(offers: DataFrame) -> DataFrame:
     )
 
 
-def _contained_in(categories: DataFrame) -> DataFrame:
-    """Every substring of each distinct offer category, with the base score it earns."""
-    start = categories.select("theirs").distinct().filter(F.col("theirs").isNotNull())
-    ends = start.select(
-        "theirs", F.explode(F.sequence(F.lit(1), F.length("theirs"))).alias("first")
+def _contained_in(theirs: DataFrame, mine: DataFrame) -> DataFrame:
+    """Substrings of each distinct offer category, with the base score they earn.
+
+    Only substrings as long as some candidate category are made.
+    """
+    lengths = (
+        mine.filter(F.col("mine").isNotNull()).agg(F.collect_set(F.length("mine"))).scalar()
     )
     return (
-        ends.select(
+        theirs.select("theirs")
+        .distinct()
+        .filter(F.col("theirs").isNotNull())
+        .withColumn("lengths", F.coalesce(lengths, F.array().cast("array<int>")))
+        .select(
+            "theirs",
+            F.explode(F.filter("lengths", lambda n: n <= F.length("theirs"))).alias("size"),
+        )
+        .select(
             "theirs",
-            "first",
+            "size",
             F.explode(
-                F.sequence(F.lit(1), F.length("theirs") - F.col("first") + 1)
-            ).alias("size"),
+                F.sequence(F.lit(1), F.length("theirs") - F.col("size") + 1)
+            ).alias("first"),
         )
         .select("theirs", F.expr("substring(theirs, first, size)").alias("mine"))
         .distinct()
@@ -84,7 +94,7 @@ def best_by_rule(
     wanted = theirs.select("theirs", "required").distinct()
 
     fitting = (
-        heads.join(_contained_in(theirs), "mine")
+        heads.join(_contained_in(theirs, heads), "mine")
         .join(wanted, "theirs")
         .withColumn("score", F.col("base") + _bonus())
         .select(F.col("theirs").alias("goal"), "required", "candidate_id", "score")
@@ -142,7 +152,7 @@ def rule_score_counts(candidates: DataFrame, offers: DataFrame) -> DataFrame:
     wanted = theirs.select("theirs", "required").distinct()
 
     fitting = (
-        sizes.join(_contained_in(theirs), "mine")
+        sizes.join(_contained_in(theirs, sizes), "mine")
         .join(wanted, "theirs")
         .groupBy(F.col("theirs").alias("goal"), "required", "base", _bonus().alias("bonus"))
         .agg(F.sum("n").alias("n"))
@@ -205,7 +215,7 @@ def rule_matches(candidates: DataFrame, offers: DataFrame) -> DataFrame:
         .join(theirs, "required")
     )
     short = (
-        mine.join(_contained_in(theirs), "mine")
+        mine.join(_contained_in(theirs, mine), "mine")
         .join(theirs, "theirs")
         .filter(F.col("years") < F.col("required"))
     )

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import maintenance, nearest, overlap, tiers, views
-from ..sources.tables import staged
+from ..sources.tables import read_table, replace_partitions, staged
+
+BUCKET = "offer_bucket"
+BUCKETS = 256
 
 
 def _with_vector(df: DataFrame) -> DataFrame:
@@ -67,6 +70,33 @@ def selected_matches(
     return by_vector.unionByName(lost_candidates).unionByName(lost_offers)
 
 
+def bucketed(matches: DataFrame, buckets: int) -> DataFrame:
+    """Matches with the partition they are stored in, chosen by offer."""
+    return matches.withColumn(
+        BUCKET, F.pmod(F.xxhash64("job_offer_id"), F.lit(buckets)).cast("int")
+    )
+
+
+def create_match_table(matches: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    # Rebalanced: few files per bucket, and a large bucket is split over tasks.
+    rows = bucketed(matches, buckets).hint("rebalance", BUCKET)
+    rows.write.partitionBy(BUCKET).parquet(path)
+
+
+def merge_into_match_table(updates: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Upsert into a stored match table, rewriting only the partitions it touches.
+
+    Use the number of buckets the table was created with. The merged partitions are
+    complete in the shared folder before the stored ones are replaced.
+    """
+    new = staged(bucketed(updates, buckets), "match-updates")
+    # At most ``buckets`` numbers: the scan then lists only these partitions.
+    touched = [row[BUCKET] for row in new.select(BUCKET).distinct().collect()]
+    stored = read_table(updates.sparkSession, path).filter(F.col(BUCKET).isin(touched))
+    merged = maintenance.upsert_matches(stored, new).hint("rebalance", BUCKET)
+    replace_partitions(staged(merged, "merged-matches"), path, [BUCKET])
+
+
 def refresh_all(candidates: DataFrame, offers: DataFrame, **options) -> DataFrame:
     """The new content of the match table; write it with ``sources.replace_table``."""
     return maintenance.match_rows(best_matches(candidates, offers, **options))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from matchwright import schema
 from matchwright.operators import maintenance as m
+from matchwright.plans import matching
 from matchwright.sources import tables as src
 from matchwright.streaming import arrivals
 
@@ -177,6 +178,39 @@ def test_shared_folder_is_the_sessions(spark):
     assert any(f.startswith("three-") for f in os.listdir(named))
 
 
+def test_merge_rewrites_only_touched_partitions(spark, tmp_path):
+    path = str(tmp_path / "matches")
+    matching.create_match_table(match(spark, [(1, o, 0.5, T1) for o in range(40)]), path, 8)
+    before = {f: set(os.listdir(os.path.join(path, f))) for f in os.listdir(path) if "=" in f}
+    new = match(spark, [(1, 3, 0.9, T2), (2, 3, 0.4, T2), (1, 3, 0.7, T1)])
+    matching.merge_into_match_table(new, path, 8)
+    after = {f: set(os.listdir(os.path.join(path, f))) for f in before}
+    assert sum(before[f] != after[f] for f in before) == 1
+    got = seen(spark.read.parquet(path))
+    assert len(got) == 41
+    assert got[(1, 3)] == (0.9, T1, T2) and got[(2, 3)] == (0.4, T2, T2)
+
+
+def test_match_table_jobs(spark):
+    people = spark.createDataFrame(
+        [(1, [1.0, 0.0], ["a"]), (2, [0.0, 1.0], ["b"])],
+        "candidate_id long, skills_vector array<double>, skill_set array<string>",
+    )
+    offers = spark.createDataFrame(
+        [(10, [1.0, 0.0], ["a"], "active"), (11, [0.0, 1.0], ["b"], "closed")],
+        "job_offer_id long, skills_vector array<double>, skill_set array<string>, status string",
+    )
+    whole = matching.refresh_all(people, offers)
+    assert {k: round(v[0], 4) for k, v in seen(whole).items()} == {(1, 10): 1.0, (2, 10): 0.3679}
+    stored = match(spark, [(1, 10, 0.3, T1), (9, 9, 0.3, T1)])
+    renewed = seen(matching.refresh_selected(stored, people.filter("candidate_id = 1"), offers))
+    assert set(renewed) == {(1, 10), (9, 9)}
+    assert round(renewed[(1, 10)][0], 6) == 1.0 and renewed[(1, 10)][1] == T1
+    fresh = offers.filter("job_offer_id = 11").withColumn("status", F.lit("active"))
+    grown = matching.after_new_offers(stored, people, fresh, k=1)
+    assert set(seen(grown)) == {(1, 10), (9, 9), (2, 11)}
+
+
 # -- streams ------------------------------------------------------------------------
 
 PERSON = T.StructType(
