@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import scores, text
 from ..operators import maintenance, nearest, overlap, tiers, views
 from ..sources.tables import read_table, replace_partitions, staged
 
@@ -129,6 +129,25 @@ def match_profiles(candidates: DataFrame, offers: DataFrame, **options) -> DataF
     return tiers.fallback_cascade(candidates, offers, engine)
 
 
+def profile_intake(
+    candidates: DataFrame,
+    profiles: DataFrame,
+    offers: DataFrame,
+    arrival: list[str],
+    **options,
+) -> tuple[DataFrame, DataFrame]:
+    """Arriving profiles stored by e-mail and matched at once.
+
+    Returns the new content of the candidate table and the matches, with their tier, of
+    every candidate that was inserted or updated.
+    """
+    stored = staged(maintenance.upsert_candidates(candidates, profiles, arrival), "candidates")
+    emails = profiles.select(text.strip(F.col("email")).alias("email")).distinct()
+    skills = text.merged_skill_set(F.col("skills.technical_skills"), F.col("skills.soft_skills"))
+    touched = stored.join(emails, "email", "left_semi").withColumn("skill_set", skills)
+    return stored, match_profiles(touched, offers, **options)
+
+
 def graded(scored: DataFrame) -> DataFrame:
     """Scored pairs as match records: clamped score, distance and status."""
     score = scores.clamp(F.col("similarity_score"))

@@ -211,6 +211,27 @@ def test_match_table_jobs(spark):
     assert set(seen(grown)) == {(1, 10), (9, 9), (2, 11)}
 
 
+def test_profile_intake(spark):
+    kind = "struct<technical_skills:array<string>,soft_skills:array<string>>"
+    base = spark.createDataFrame(
+        [(3, "a@x", "IT", [1.0, 0.0], (["py"], [])), (4, "z@x", "IT", [1.0, 0.0], (["py"], []))],
+        f"candidate_id long, email string, job_category string, skills_vector array<double>, skills {kind}",
+    )
+    profiles = spark.createDataFrame(
+        [("a@x ", "IT", [0.0, 1.0], (["go"], []), 1), ("n@x", "Sales", None, (["Go"], None), 2)],
+        f"email string, job_category string, skills_vector array<double>, skills {kind}, arrival int",
+    )
+    offers = spark.createDataFrame(
+        [(10, "IT", "active", [0.0, 1.0], ["go"], T1)],
+        "job_offer_id long, job_category string, status string, skills_vector array<double>, skill_set array<string>, created_at timestamp",
+    )
+    stored, found = matching.profile_intake(base, profiles, offers, ["arrival"])
+    ids = {r.email: r.candidate_id for r in stored.collect()}
+    assert ids == {"a@x": 3, "z@x": 4, "n@x": 5}
+    got = {(r.candidate_id, r.job_offer_id, r.tier): round(r.similarity_score, 6) for r in found.collect()}
+    assert got == {(3, 10, 1): 1.0, (5, 10, 1): 1.0}
+
+
 # -- streams ------------------------------------------------------------------------
 
 PERSON = T.StructType(

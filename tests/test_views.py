@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchwright.operators import analytics as a
 from matchwright.operators import documents as docs
-from matchwright.operators import nearest, rules, views
+from matchwright.operators import nearest, quantiles, rules, views
 from matchwright.plans import dashboards
 
 DAY = datetime(2024, 1, 1)
@@ -178,6 +178,39 @@ def test_dashboards(people, offers, matches):
     assert dashboards.recruiter_dashboard(matches, offers, 7)["statistics"].count() == 2
 
 
+def test_a_third_of_the_matches_on_one_offer(spark):
+    """Hot offer and hot score: results stay whole in every grouping."""
+    n = 30_000
+    offer = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 500)
+    score = F.when(F.col("id") % 3 == 0, F.lit(0.9)).otherwise((F.col("id") % 1000) / 1000.0)
+    hot = spark.range(n, numPartitions=12).select(
+        F.col("id").cast("string").alias("match_id"),
+        F.col("id").alias("candidate_id"),
+        offer.alias("job_offer_id"),
+        score.alias("similarity_score"),
+    )
+    pdf = hot.toPandas()
+    per_offer = pdf.groupby("job_offer_id").similarity_score.agg(["count", "mean", "max"])
+    cards = spark.range(500).select(
+        F.col("id").alias("job_offer_id"), F.lit(1).alias("client_id"), F.lit("t").alias("job_title")
+    )
+    got = {r.job_offer_id: r for r in a.offer_statistics(cards, hot).collect()}
+    assert len(got) == 500 and got[0].candidate_count == per_offer.loc[0, "count"]
+    assert got[0].avg_score == pytest.approx(per_offer.loc[0, "mean"])
+    best = nearest.top_per_offer(hot, 15).collect()
+    ranked = pdf.sort_values(["similarity_score", "candidate_id"], ascending=[False, True])
+    want = ranked.groupby("job_offer_id").head(15)
+    assert {(r.job_offer_id, r.candidate_id) for r in best} == set(
+        zip(want.job_offer_id, want.candidate_id)
+    )
+    assert "WindowGroupLimit" in plan(nearest.top_per_offer(hot, 15))
+    assert sum(r["count"] for r in a.score_histogram(hot).collect()) == (pdf.similarity_score > 0).sum()
+    q = quantiles.exact_quantiles(hot, "similarity_score", [0.5, 0.9]).orderBy("probability")
+    assert [r["quantile"] for r in q.collect()] == pytest.approx(
+        list(pdf.similarity_score.quantile([0.5, 0.9]))
+    )
+
+
 # -- documents ----------------------------------------------------------------------
 
 
