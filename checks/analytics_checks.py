@@ -28,25 +28,25 @@ def _frequency(kind: str) -> str:
 
 
 def g03_categories(t: Tables) -> DataFrame:
-    return a.candidates_per_category(t.candidates())
+    return a.candidates_per_category(t.people())
 
 
 def g04_experience(t: Tables) -> DataFrame:
-    return a.candidates_per_experience(t.candidates())
+    return a.candidates_per_experience(t.people())
 
 
 def g05_education(t: Tables) -> DataFrame:
-    return a.candidates_per_education(t.candidates())
+    return a.candidates_per_education(t.people())
 
 
 def g06_row_counts(t: Tables) -> DataFrame:
     return a.row_counts(
-        candidates=t.candidates(), offers=t.offers(), matches=t.matches(), clients=t.clients()
+        candidates=t.people(), offers=t.posts(), matches=t.matches(), clients=t.clients()
     )
 
 
 def g06_global_statistics(t: Tables) -> DataFrame:
-    s = dashboards.global_statistics(t.candidates(), t.offers(), t.matches(), t.clients())
+    s = dashboards.global_statistics(t.people(), t.posts(), t.matches(), t.clients())
     return _r(s, "avg_match_score")
 
 
@@ -59,11 +59,11 @@ def g08_match_summary(t: Tables) -> DataFrame:
 
 
 def g09_offer_status(t: Tables) -> DataFrame:
-    return a.offer_status(t.offers())
+    return a.offer_status(t.posts())
 
 
 def g11_recruiter_summary(t: Tables) -> DataFrame:
-    s = a.recruiter_summary(a.offer_statistics(t.offers(), t.matches()))
+    s = a.recruiter_summary(a.offer_statistics(t.posts(), t.matches()))
     return _r(s, "avg_candidates_per_job", "overall_avg_score")
 
 
@@ -92,47 +92,47 @@ GROUP BY 1, 2"""
 
 
 def g16_top_companies(t: Tables) -> DataFrame:
-    return a.top_companies(t.matches(), t.offers())
+    return a.top_companies(t.matches(), t.posts())
 
 
 def g17_match_categories(t: Tables) -> DataFrame:
-    return a.categories_of_matches(t.matches(), t.offers())
+    return a.categories_of_matches(t.matches(), t.posts())
 
 
 def g18_mention_totals(t: Tables) -> DataFrame:
-    return a.mention_totals(t.skilled())
+    return a.mention_totals(t.skills())
 
 
 def g19_places(t: Tables) -> DataFrame:
-    return a.by_place(t.candidates())
+    return a.by_place(t.people())
 
 
 def g21_experience_bubbles(t: Tables) -> DataFrame:
-    return a.experience_bubbles(t.candidates())
+    return a.experience_bubbles(t.people())
 
 
 def g22_experience_groups(t: Tables) -> DataFrame:
-    return a.experience_groups(t.candidates())
+    return a.experience_groups(t.people())
 
 
 def g23_experience_rollups(t: Tables) -> DataFrame:
-    return a.experience_rollups(a.experience_groups(t.candidates()))
+    return a.experience_rollups(a.experience_groups(t.people()))
 
 
 def g24_experience_summary(t: Tables) -> DataFrame:
-    return _r(a.experience_summary(a.experience_groups(t.candidates())), "avg_experience")
+    return _r(a.experience_summary(a.experience_groups(t.people())), "avg_experience")
 
 
 def g25_ungroup(t: Tables) -> DataFrame:
-    return a.ungroup(a.experience_groups(t.candidates()))
+    return a.ungroup(a.experience_groups(t.people()))
 
 
 def g26_by_education(t: Tables) -> DataFrame:
-    return a.five_numbers(a.experience_groups(t.candidates()), "education_level")
+    return a.five_numbers(a.experience_groups(t.people()), "education_level")
 
 
 def g26_by_category(t: Tables) -> DataFrame:
-    return a.five_numbers(a.experience_groups(t.candidates()), "job_category")
+    return a.five_numbers(a.experience_groups(t.people()), "job_category")
 
 
 def _five(by: str) -> str:

@@ -25,11 +25,15 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def candidates(self) -> DataFrame:
+        """Candidates, created when they first ordered."""
         first = (
             self.raw("orders")
-            .groupBy(F.col("o_custkey").alias("c_custkey"))
+            .groupBy(F.col("o_custkey").alias("candidate_id"))
             .agg(F.min("o_orderdate").alias("created_at"))
         )
+        return self.people().join(first, "candidate_id", "left")
+
+    def people(self) -> DataFrame:
         c = F.col("c_custkey")
         level = F.element_at(
             F.array(*[F.lit(x) for x in ("High School", "Bachelor", "Master", "PhD", "Other")]),
@@ -39,7 +43,6 @@ class Tables:
             self.raw("customer")
             .join(self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .join(first, "c_custkey", "left")
             .select(
                 c.alias("candidate_id"),
                 F.concat(F.lit("Name"), (c % 97).cast("string")).alias("first_name"),
@@ -53,7 +56,6 @@ class Tables:
                 F.col("r_name").alias("country"),
                 F.when(c % 23 != 0, ((c * 7) % 31).cast("int")).alias("experience_years"),
                 F.when(c % 6 < 5, level).alias("education_level"),
-                "created_at",
             )
         )
 
@@ -80,20 +82,24 @@ class Tables:
         )
 
     def skilled(self) -> DataFrame:
-        return self.candidates().join(self.skills(), "candidate_id", "left")
+        return self.people().join(self.skills(), "candidate_id", "left")
 
     def offers(self) -> DataFrame:
+        """Offers, created when their supplier last shipped."""
         dated = (
             self.raw("lineitem")
-            .groupBy(F.col("l_suppkey").alias("s_suppkey"))
+            .groupBy(F.col("l_suppkey").alias("job_offer_id"))
             .agg(F.max("l_shipdate").alias("created_at"))
         )
+        return self.posts().join(dated, "job_offer_id", "left")
+
+    def posts(self) -> DataFrame:
         s = F.col("s_suppkey")
-        category = [F.lit(x) for x in ("building", "MACHINERY", "HOUSEHOLD GOODS", "AUTOMOBILE", "FURNITURE")]
+        names = ("building", "MACHINERY", "HOUSEHOLD GOODS", "AUTOMOBILE", "FURNITURE")
+        category = [F.lit(x) for x in names]
         kind = [F.lit(x) for x in ("Full-time", "Part-time", "Contract", "Internship")]
         return (
             self.raw("supplier")
-            .join(dated, "s_suppkey", "left")
             .select(
                 s.alias("job_offer_id"),
                 F.col("s_nationkey").cast("bigint").alias("client_id"),
@@ -105,7 +111,6 @@ class Tables:
                 (s % 12).cast("int").alias("experience_required"),
                 F.when(s % 10 == 9, "closed").when(s % 10 != 8, "active").alias("status"),
                 F.element_at(F.array(*kind), (s % 4 + 1).cast("int")).alias("job_type"),
-                "created_at",
             )
         )
 
@@ -126,13 +131,13 @@ class Tables:
 
     def matches(self) -> DataFrame:
         """Stored matches: a candidate and an active offer that met on some line."""
-        active = self.offers().filter(F.col("status") == "active")
+        active = self.posts().filter(F.col("status") == "active")
         met = (
             self.bought()
             .groupBy(F.col("o_custkey").alias("candidate_id"), F.col("l_suppkey").alias("job_offer_id"))
             .agg(F.min("l_shipdate").alias("created_at"), F.max("l_shipdate").alias("updated_at"))
         )
-        scored = rules.rescored(met, self.candidates(), active)
+        scored = rules.rescored(met, self.people(), active)
         return scored.select(
             text.pair_id(F.col("candidate_id"), F.col("job_offer_id")).alias("match_id"),
             "candidate_id",

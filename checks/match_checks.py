@@ -141,8 +141,8 @@ SELECT p AS probability, round(q, 6) AS quantile FROM (
 
 
 def m01_best_by_rule(t: Tables) -> DataFrame:
-    active = t.offers().filter("status = 'active'")
-    return _rounded(rules.best_by_rule(t.candidates(), active), "similarity_score", "distance")
+    active = t.posts().filter("status = 'active'")
+    return _rounded(rules.best_by_rule(t.people(), active), "similarity_score", "distance")
 
 
 _ALL_RULE_PAIRS = f"""(SELECT o.job_offer_id, c.candidate_id, {RULE_SCORE} AS score
@@ -158,8 +158,8 @@ WHERE match_rank <= 15""")
 
 
 def m01_rule_score_counts(t: Tables) -> DataFrame:
-    active = t.offers().filter("status = 'active'")
-    return _rounded(rules.rule_score_counts(t.candidates(), active), "similarity_score")
+    active = t.posts().filter("status = 'active'")
+    return _rounded(rules.rule_score_counts(t.people(), active), "similarity_score")
 
 
 M01_COUNTS = sql(f"""
@@ -199,8 +199,8 @@ FROM {_ALL_RULE_PAIRS} WHERE score >= 0.4 AND candidate_id IN
 
 
 def m21_demo_matches(t: Tables) -> DataFrame:
-    active = t.offers().filter("status = 'active'")
-    return _rounded(rules.demo_matches(t.candidates(), active), "similarity_score", "distance")
+    active = t.posts().filter("status = 'active'")
+    return _rounded(rules.demo_matches(t.people(), active), "similarity_score", "distance")
 
 
 M21 = sql(f"""
@@ -217,11 +217,11 @@ def _paired(t: Tables) -> DataFrame:
         t.matches()
         .select("candidate_id", "job_offer_id", "similarity_score")
         .join(
-            t.candidates().select("candidate_id", F.col("job_category").alias("mine")),
+            t.people().select("candidate_id", F.col("job_category").alias("mine")),
             "candidate_id",
         )
         .join(
-            t.offers().select("job_offer_id", F.col("job_category").alias("theirs")),
+            t.posts().select("job_offer_id", F.col("job_category").alias("theirs")),
             "job_offer_id",
         )
     )

@@ -47,7 +47,7 @@ def p07_client_offers(t: Tables) -> DataFrame:
 
 
 def _with_type(t: Tables) -> DataFrame:
-    return t.matches().join(t.offers().select("job_offer_id", "job_type", "company_name"), "job_offer_id")
+    return t.matches().join(t.posts().select("job_offer_id", "job_type", "company_name"), "job_offer_id")
 
 
 def p08_browse(t: Tables) -> DataFrame:
@@ -58,7 +58,7 @@ def p08_browse(t: Tables) -> DataFrame:
 
 
 def p09_choices(t: Tables) -> DataFrame:
-    return views.choices(t.offers(), "job_type")
+    return views.choices(t.posts(), "job_type")
 
 
 def p10_search(t: Tables) -> DataFrame:
@@ -76,11 +76,11 @@ WHERE c.experience_years >= 10 AND c.education_level = 'Master'
 
 
 def p12_view_guards(t: Tables) -> DataFrame:
-    return analytics.diversity(analytics.experience_groups(t.candidates()))
+    return analytics.diversity(analytics.experience_groups(t.people()))
 
 
 def j01_candidate_matches(t: Tables) -> DataFrame:
-    return views.candidate_matches(t.matches(), t.offers()).select(
+    return views.candidate_matches(t.matches(), t.posts()).select(
         "candidate_id",
         "job_offer_id",
         F.round("similarity_score", 6).alias("similarity_score"),
@@ -91,7 +91,7 @@ def j01_candidate_matches(t: Tables) -> DataFrame:
 
 
 def j02_job_candidates(t: Tables) -> DataFrame:
-    return views.job_candidates(t.candidates(), t.matches()).select(
+    return views.job_candidates(t.people(), t.matches()).select(
         "job_offer_id",
         "candidate_id",
         "first_name",
@@ -102,7 +102,7 @@ def j02_job_candidates(t: Tables) -> DataFrame:
 
 
 def j03_offer_statistics(t: Tables) -> DataFrame:
-    s = analytics.offer_statistics(t.offers(), t.matches())
+    s = analytics.offer_statistics(t.posts(), t.matches())
     return s.withColumns({c: F.round(c, 9) for c in ("avg_score", "best_score")})
 
 
@@ -146,7 +146,7 @@ FROM fx_candidates c LEFT JOIN fx_matches m USING (candidate_id) GROUP BY 1"""
 
 def j05_match_sample(t: Tables) -> DataFrame:
     """The best five matches with their offer, where it is still active."""
-    sample = views.match_sample(t.matches(), views.open_offers(t.offers()), 5)
+    sample = views.match_sample(t.matches(), views.open_offers(t.posts()), 5)
     return sample.withColumn("similarity_score", F.round("similarity_score", 6))
 
 
@@ -180,7 +180,7 @@ def j10_existing_emails(t: Tables) -> DataFrame:
 
 
 def n03_ranked_candidates(t: Tables) -> DataFrame:
-    return views.ranked_candidates(t.matches(), t.candidates())
+    return views.ranked_candidates(t.matches(), t.people())
 
 
 N03 = """SELECT job_offer_id, candidate_id, first_name, last_name, CAST(pos AS INT) AS position,
@@ -220,7 +220,7 @@ def io10_filtered_export(t: Tables) -> DataFrame:
 
 
 def io11_candidate_export(t: Tables) -> DataFrame:
-    listed = views.job_candidates(t.candidates(), t.matches()).withColumns(
+    listed = views.job_candidates(t.people(), t.matches()).withColumns(
         {"phone": F.lit(None).cast("string")}
     )
     return candidate_export(listed)
