@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..sources.tables import staged
 from .views import open_offers
 
 NEWEST_OPEN = 50  # fixed value: offers looked at in the second tier
@@ -83,18 +84,16 @@ def last_resort_tier(
 def fallback_cascade(
     candidates: DataFrame, offers: DataFrame, engine_matches: DataFrame
 ) -> DataFrame:
-    """Engine matches; the second tier for candidates without one; then the last."""
-    first = engine_matches.select(*MATCH_COLUMNS).withColumn("tier", F.lit(1))
-    lost = candidates.join(
-        engine_matches.select("candidate_id").distinct(), "candidate_id", "left_anti"
-    )
-    second = category_tier(lost, offers).withColumn("tier", F.lit(2))
-    # The second tier serves all candidates or, without open offers, none of them.
-    open_to_any = open_offers(offers, lenient=True).limit(1).agg(F.count("*")).scalar()
-    still_lost = lost.filter(open_to_any == 0)
-    third = (
-        last_resort_tier(still_lost, offers, engine_matches)
-        .select(*MATCH_COLUMNS)
-        .withColumn("tier", F.lit(3))
+    """Engine matches; the second tier for candidates without one; else the last.
+
+    The second tier serves all candidates or, without open offers, none of them.
+    """
+    engine = staged(engine_matches.select(*MATCH_COLUMNS), "engine-matches")
+    lost = candidates.join(engine.select("candidate_id").distinct(), "candidate_id", "left_anti")
+    if open_offers(offers, lenient=True).isEmpty():
+        fallback, tier = last_resort_tier(lost, offers, engine), 3
+    else:
+        fallback, tier = category_tier(lost, offers), 2
+    return engine.withColumn("tier", F.lit(1)).unionByName(
+        fallback.select(*MATCH_COLUMNS).withColumn("tier", F.lit(tier))
     )
-    return first.unionByName(second).unionByName(third)

@@ -120,11 +120,8 @@ def after_new_offers(
 
 def match_profiles(candidates: DataFrame, offers: DataFrame, **options) -> DataFrame:
     """Matches of arriving candidates: engine first, then the fallback tiers."""
-    engine = staged(
-        selected_matches(candidates, offers, **options).withColumn(
-            "distance", F.lit(1.0) - F.col("similarity_score")
-        ),
-        "engine-matches",
+    engine = selected_matches(candidates, offers, **options).withColumn(
+        "distance", F.lit(1.0) - F.col("similarity_score")
     )
     return tiers.fallback_cascade(candidates, offers, engine)
 

@@ -14,6 +14,7 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Send the package to all executors, as ``--py-files`` would; once per application.
 
+    The archive holds code only; the driver reads it and hands it to the executors.
     Not needed where the package is installed on the workers or given to spark-submit.
     """
     context = spark.sparkContext
