@@ -6,18 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import line_chunks, mixing, quality
 from .common import documents
 
 
+def op4_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return line_chunks.dedup_lines(documents(spark, folder))
+
+
 def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder)).select(*mixing.QUERY_COLUMNS)
 
 
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_line_chunks": op4_line_chunks,
     "op5_source_mixing": op5_source_mixing,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 SQL: dict[str, str] = {
+    "op4_line_chunks": line_chunks.ORACLE,
     "op5_source_mixing": mixing.ORACLE,
+    "op8_quality_rules": quality.ORACLE,
 }
