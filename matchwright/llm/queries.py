@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_chunks, mixing, quality
+from . import line_chunks, mixing, pieces, quality, sentence_spans, token_files
 from .common import documents
 
 
+def op1_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return sentence_spans.dedup_sentences(documents(spark, folder))
+
+
+def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_table(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op4_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return line_chunks.dedup_lines(documents(spark, folder))
 
@@ -22,13 +31,21 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(documents(spark, folder))
 
 
+def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.piece_table(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentence_spans": op1_sentence_spans,
+    "op2_token_files": op2_token_files,
     "op4_line_chunks": op4_line_chunks,
     "op5_source_mixing": op5_source_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_pieces": op9_pieces,
 }
 
 SQL: dict[str, str] = {
+    "op1_sentence_spans": sentence_spans.ORACLE,
     "op4_line_chunks": line_chunks.ORACLE,
     "op5_source_mixing": mixing.ORACLE,
     "op8_quality_rules": quality.ORACLE,
