@@ -74,8 +74,8 @@ def _worth(chunk: Column) -> Column:
     return F.size(F.filter(chunk, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))) >= 2
 
 
-def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 4) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed_lines, the text that is left."""
+def removed_chunks(docs: DataFrame, window: int = 2, divisor: int = 4) -> DataFrame:
+    """n_doc, n_key and the numbers of the chunks to remove, for documents that have any."""
     texts = docs.select("doc_id", "text", row_key("text").alias("key"))
     spread = (
         texts.filter("text IS NOT NULL")
@@ -109,25 +109,48 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 4) -> DataFrame
     own = other.groupBy("hash", "bytes").agg(F.min(place).alias("own_first"))
     rest = other.join(own, ["hash", "bytes"]).filter(place != F.col("own_first")).select("doc_id", "key", "chunk")
     removed = equal.unionAll(rest).groupBy("doc_id", "key").agg(F.collect_set("chunk").alias("removed"))
-    removed = removed.select(F.col("doc_id").alias("n_doc"), F.col("key").alias("n_key"), "removed")
+    return removed.select(F.col("doc_id").alias("n_doc"), F.col("key").alias("n_key"), "removed")
+
+
+def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 4) -> DataFrame:
+    """``row_`` (the other columns), doc_id, n_lines, n_removed_lines, the text that is left."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    texts = docs.select("doc_id", "text", row_key("text").alias("key"), F.struct(*others).alias("row_"))
+    removed = removed_chunks(docs, window, divisor)
+    same = F.col("doc_id").eqNullSafe(F.col("n_doc")) & F.col("key").eqNullSafe(F.col("n_key"))
 
-    pieces = F.when(F.col("removed").isNotNull(), chunks(F.col("text"), window, divisor))
-    kept = F.transform(F.array(pieces), lambda all: F.struct(
-        F.filter(all, lambda _, n: ~F.array_contains(F.col("removed"), n)).alias("left"),
-        F.flatten(F.filter(all, lambda _, n: F.array_contains(F.col("removed"), n))).alias("gone"),
-    ))[0]
+    def part(all: Column) -> Column:
+        # Set operations on chunk numbers, so that long documents stay linear.
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(all) - 1), F.col("removed"))
+        left = F.transform(numbers, lambda i: F.get(all, i))
+        return F.struct(F.array_join(F.flatten(left), "\n").alias("text"), F.size(F.flatten(left)).alias("lines"))
+
+    kept = F.when(F.col("removed").isNotNull(), F.transform(F.array(chunks(F.col("text"), window, divisor)), part)[0])
+    n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
     return (
         texts.join(removed, same, "left")
         .withColumn("kept", kept)
         .select(
+            "row_",
             "doc_id",
-            F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
-            F.coalesce(F.when(F.col("removed").isNotNull(), F.size("kept.gone")), F.lit(0)).cast("long").alias("n_removed_lines"),
-            F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.flatten("kept.left"), "\n")).alias("text"),
+            n_lines.alias("n_lines"),
+            F.when(F.col("removed").isNull(), F.lit(0)).otherwise(n_lines - F.col("kept.lines")).cast("long").alias("n_removed_lines"),
+            F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.col("kept.text")).alias("text"),
         )
     )
 
 
+def keep_lines(docs: DataFrame, window: int = 2, divisor: int = 4) -> DataFrame:
+    """``docs`` with what is left of each text and ``n_chars`` set anew.
+
+    Documents of which no word is left go; those that had no word before stay.
+    """
+    found = dedup_lines(docs, window, divisor)
+    left = found.filter((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    own = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed_lines") == 0, F.col("row_.n_chars")).otherwise(F.length("text"))} if "n_chars" in docs.columns else {"text": F.col("text")}
+    return left.select(*[own.get(c, F.col(f"row_.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
 ORACLE = r"""
 WITH texts AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 hashed AS (SELECT *, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % 2147483647) AS hs FROM texts),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_chunks, mixing, pieces, quality, sentence_spans, token_files
+from . import language, line_chunks, mixing, pieces, quality, sentence_spans, simhash, token_files
 from .common import documents
 
 
@@ -20,13 +20,18 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return line_chunks.dedup_lines(documents(spark, folder))
+    return line_chunks.dedup_lines(documents(spark, folder)).select("doc_id", "n_lines", "n_removed_lines", "text")
 
 
 def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder)).select(*mixing.QUERY_COLUMNS)
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return language.identify(docs, language.fit(docs))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(documents(spark, folder))
 
@@ -35,13 +40,19 @@ def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.piece_table(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, folder), words=4, radius=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_spans": op1_sentence_spans,
     "op2_token_files": op2_token_files,
     "op4_line_chunks": op4_line_chunks,
     "op5_source_mixing": op5_source_mixing,
+    "op7_language": op7_language,
     "op8_quality_rules": op8_quality_rules,
     "op9_pieces": op9_pieces,
+    "op10_simhash": op10_simhash,
 }
 
 SQL: dict[str, str] = {
