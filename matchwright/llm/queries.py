@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language, line_chunks, mixing, pieces, quality, sentence_spans, simhash, token_files
-from .common import documents
+from . import language, line_chunks, mixing, neighbours, pieces, quality, sentence_spans, simhash, token_files
+from .common import documents, embeddings
 
 
 def op1_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +20,10 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_table(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(embeddings(spark, folder), is_query=F.col("id") % 20 == 0, k=20)
+
+
 def op4_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return line_chunks.dedup_lines(documents(spark, folder)).select("doc_id", "n_lines", "n_removed_lines", "text")
 
@@ -47,6 +52,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_spans": op1_sentence_spans,
     "op2_token_files": op2_token_files,
+    "op3_neighbours": op3_neighbours,
     "op4_line_chunks": op4_line_chunks,
     "op5_source_mixing": op5_source_mixing,
     "op7_language": op7_language,
