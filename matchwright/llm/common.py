@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from ..sources.tables import new_folder, staged
 
-__all__ = ["WORD", "documents", "embeddings", "new_folder", "row_key", "ship", "staged", "word_count", "words"]
+__all__ = ["WORD", "documents", "embeddings", "new_folder", "release", "row_key", "ship", "staged", "word_count", "words", "written"]
 
 #: A word: a run of anything but blank, tab, line ends, vertical tab and form feed.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,3 +34,23 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/embeddings.parquet")
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and where; see ``release``."""
+    path = new_folder(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Delete written tables that nothing reads any more.
+
+    The JVM is asked to collect garbage, upon which Spark removes the shuffle files of
+    steps that are over, too.
+    """
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    jvm.System.gc()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, line_chunks, mixing, neighbours, pieces, quality, sentence_spans, simhash, token_files
+from . import language, line_chunks, mixing, neighbours, pieces, quality, sentence_spans, simhash, suffixes, token_files
 from .common import documents, embeddings
 
 
@@ -32,6 +32,11 @@ def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder)).select(*mixing.QUERY_COLUMNS)
 
 
+def op6_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.remove_repeats(documents(spark, folder), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return language.identify(docs, language.fit(docs))
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neighbours": op3_neighbours,
     "op4_line_chunks": op4_line_chunks,
     "op5_source_mixing": op5_source_mixing,
+    "op6_suffixes": op6_suffixes,
     "op7_language": op7_language,
     "op8_quality_rules": op8_quality_rules,
     "op9_pieces": op9_pieces,
