@@ -144,15 +144,19 @@ class PieceEncoder:
             raise ValueError("models with white space as suffix or user-defined pieces are not supported")
         #: Merging by rank is local; other model types weigh whole texts.
         self.by_word = model_type == 2 and not inner_space and self.escape
-        self.rules = {k.decode(): v.decode() for k, v in rules.items()}
-        # Alternatives are tried in order, so the longest come first.
-        self.pattern = re.compile("|".join(map(re.escape, sorted(self.rules, key=len, reverse=True)))) if self.rules else None
+        self.set_rules(rules)
         count = self.library.get_piece_size()
         self.bos, self.eos = self.library.bos_id(), self.library.eos_id()
         self.unknown = self.library.unk_id()
         sizes = [1 if self.library.is_byte(i) else len(self.library.id_to_piece(i).encode()) for i in range(count)]
         self.sizes = np.array(sizes, dtype=np.int64)
 
+    def set_rules(self, rules: dict[bytes, bytes]) -> None:
+        self.rules = {k.decode(): v.decode() for k, v in rules.items()}
+        # Alternatives are tried in order, so the longest come first.
+        longest_first = sorted(self.rules, key=len, reverse=True)
+        self.pattern = re.compile("|".join(map(re.escape, longest_first))) if self.rules else None
+
     def normalise(self, text: str) -> tuple[str, Alignment]:
         """The normalised text and the alignment of its bytes."""
         if not text:
@@ -209,9 +213,8 @@ class PieceEncoder:
             while out and out[-1] == mark and (len(out) > 1 or not self.prefix):
                 out.pop(), normal.pop(), original.pop(), fixed.pop()
                 have -= len(mark.encode())
-        end = original[-1] + (0 if not out else 0) if not normal else came
         normal.append(have)
-        original.append(end)
+        original.append(came)
         fixed.append(True)
         return "".join(out), Alignment(normal, original, fixed)
 
