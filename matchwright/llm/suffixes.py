@@ -42,42 +42,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, ship, written
+from .rolling import BASES, window_hashes
 
 GRAM = 32
 #: Bytes that are looked at together; longer texts are cut with an overlap.
 PIECE = 1 << 20
 _LOW = np.uint64((1 << 21) - 1)
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so they have inverses
-_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _table(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2**64."""
-    size = 1 << size.bit_length()
-    if (base, size) not in _powers:
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            row = np.full(size, b, dtype=np.uint64)
-            row[0] = 1
-            both.append(np.multiply.accumulate(row))
-        _powers[base, size] = both[0], both[1]
-    return _powers[base, size]
-
-
-def window_hashes(data: np.ndarray, width: int, base: int = _BASES[0]) -> np.ndarray:
-    """A 64-bit hash of every window of ``width`` bytes."""
-    n = data.size
-    if n < width:
-        return np.empty(0, np.uint64)
-    up, down = _table(base, n + 1)
-    letters = np.random.default_rng(base & 0xFFFF).integers(1, 1 << 63, 256, dtype=np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(letters[data] * up[:n], out=sums[1:])
-    out = (sums[width:] - sums[: n - width + 1]) * down[: n - width + 1]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(29))
-
 
 def contexts(data: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Anchor hash, text number, first string and number of strings of each context.
@@ -239,7 +209,7 @@ def _find(parts: list[bytes], h: np.ndarray, c: np.ndarray, weights: np.ndarray,
             own = np.flatnonzero(is_one[first[i] : first[i] + counts[i]])
             data = np.frombuffer(parts[i], np.uint8)
             entry = np.empty(own.size, _ENTRY)
-            entry["d1"], entry["d2"] = (window_hashes(data, length, b)[own] for b in _BASES)
+            entry["d1"], entry["d2"] = (window_hashes(data, length, b)[own] for b in BASES)
             entry["h"], entry["c"], entry["j"] = h[i], c[i], own
             entry["settled"] = repeated[first[i] + own]
             entries.append(entry)

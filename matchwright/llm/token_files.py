@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder, ship
+from .rolling import BASES, stretch_hashes
 
 MAGIC = b"PFR1"
 BLOCK = 1024
@@ -46,18 +47,16 @@ _HEAD, _BLOCK_HEAD = struct.Struct("<4sQII"), struct.Struct("<IBH")
 
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
     """Rows of values below 2**width as rows of bytes, lowest bit first."""
-    bits = np.empty((*rows.shape, width), dtype=np.uint8)
-    for b in range(width):
-        bits[:, :, b] = (rows >> np.uint32(b)) & np.uint32(1)
+    data = np.ascontiguousarray(rows, dtype="<u4").view(np.uint8).reshape(*rows.shape, 4)
+    bits = np.unpackbits(data, axis=2, bitorder="little", count=width)
     return np.packbits(bits.reshape(rows.shape[0], -1), axis=1, bitorder="little")
 
 
 def _unpack(data: np.ndarray, count: int, width: int) -> np.ndarray:
-    bits = np.unpackbits(data, axis=1, bitorder="little")[:, : count * width].reshape(data.shape[0], count, width)
-    out = np.zeros((data.shape[0], count), dtype=np.uint32)
-    for b in range(width):
-        out |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
-    return out
+    bits = np.unpackbits(data, axis=1, bitorder="little", count=count * width).reshape(data.shape[0], count, width)
+    whole = np.zeros((data.shape[0], count, 32), np.uint8)
+    whole[:, :, :width] = bits
+    return np.packbits(whole, axis=2, bitorder="little").view("<u4")[:, :, 0]
 
 
 def encode_segment(values: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> bytes:
@@ -131,11 +130,22 @@ def decode_blocks(segment: bytes, first: int = 0, last: int | None = None) -> np
     return np.concatenate(out + [found[i] for i in range(first, last)])
 
 
-#: Letters and marks for which splitting in Python agrees with the tokenizer's own: the
+#: Letters and marks for which splitting here agrees with the tokenizer's own: the
 #: first 384 code points' letters but those with special case rules, and common marks.
 _LETTERS = "a-zß-öø-ÿĀ-įĲ-ňŊ-ž"
-_OUTSIDE = re.compile("[^\\x00-\\x7f¡«»¿À-ÖØ-öø-ÿĀ-įĲ-ňŊ-ž‐-‧]|<\\|")
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \\t-\\r0-9{_LETTERS}]+")
+_BLANK, _LETTER, _DIGIT, _MARK, _ELSE = range(5)
+
+
+def _classes() -> np.ndarray:
+    """The class of each 16-bit unit of a lower-cased text."""
+    out = np.full(1 << 16, _ELSE, np.uint8)
+    plain = "".join(map(chr, range(128))) + "¡«»¿" + "".join(map(chr, range(0x2010, 0x2028)))
+    out[[ord(c) for c in plain]] = _MARK
+    out[[ord(c) for c in " \t\n\v\f\r"]] = _BLANK
+    out[ord("0") : ord("9") + 1] = _DIGIT
+    letter = re.compile(f"[{_LETTERS}]")
+    out[[i for i in range(0x180) if letter.match(chr(i))]] = _LETTER
+    return out
 
 
 class WordEncoder:
@@ -144,32 +154,134 @@ class WordEncoder:
     For the tokenizer kind of ``word_bpe_49k.json`` (lower case, words split by pattern,
     white space dropped) the ids of a text are those of its words in order. So each
     distinct word goes through the library once and is remembered, up to ``remember``
-    words at a time. Texts with characters outside the plain alphabets above, or with
-    what might be a special token, are encoded whole.
+    words at a time. Texts are split together: the classes of their characters give the
+    words of the pattern, and equal words are known by two 64-bit hashes. Texts with
+    characters outside the plain alphabets above, or with what might be a special token,
+    are encoded whole.
     """
 
-    def __init__(self, path: str, remember: int = 300_000) -> None:
-        from tokenizers import Tokenizer
+    UNITS = 500_000
+
+    def __init__(self, path: str, remember: int = 1_000_000) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remember = remember
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+        self.classes = _classes()
+        # The byte alphabet: what each byte of a word is written as in the vocabulary.
+        alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        ascii_ = {b: alphabet.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
+        taken = sorted(set(pre_tokenizers.ByteLevel.alphabet()) - set(ascii_.values()), key=ord)
+        shown = [b for b in range(128, 256) if chr(b) in taken and b >= 0xA1 and b != 0xAD]
+        rest = [c for c in taken if ord(c) > 255]
+        hidden = [b for b in range(128, 256) if b not in shown]
+        self.written = str.maketrans(ascii_ | {b: chr(b) for b in shown} | dict(zip(hidden, rest[-len(hidden) :], strict=True)))
+        self._forget()
+
+    def _forget(self) -> None:
+        # Of each known word, by its first hash: the second, and where its ids are.
+        self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.first, self.count = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.all_ids = np.empty(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[bytes]) -> None:
+        """Remember words that are not known yet; ``keys`` ascend."""
+        tokenize, written = self.tokenizer.model.tokenize, self.written
+        found = [[t.id for t in tokenize(w.decode("utf-16-le").encode().decode("latin-1").translate(written))] for w in words]
+        count = np.array([len(x) for x in found], np.int32)
+        first = self.all_ids.size + np.cumsum(count) - count
+        self.all_ids = np.concatenate([self.all_ids, np.array([i for x in found for i in x], np.uint32)])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.checks = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
+        self.first, self.count = np.insert(self.first, at, first), np.insert(self.count, at, count)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _words(self, data: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last unit (exclusive) of each word of the tokenizer's pattern."""
+        edges = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)]))
+        stops = np.append(edges[1:], data.size)
+        # An apostrophe on its own takes the ending behind it along: 's 't 'm 'd 're 've 'll
+        quote = np.flatnonzero((stops - edges == 1) & (data[edges] == ord("'")))
+        quote = quote[quote + 1 < edges.size]
+        quote = quote[kind[edges[quote + 1]] == _LETTER]
+        if quote.size:
+            start = edges[quote + 1]
+            one, two = data[start], data[np.minimum(start + 1, data.size - 1)]
+            longer = stops[quote + 1] - start > 1
+            pairs = [(one == ord(a)) & (two == ord(b)) & longer for a, b in ("re", "ve", "ll")]
+            taken = np.where(np.isin(one, [ord(c) for c in "stmd"]), 1, np.where(pairs[0] | pairs[1] | pairs[2], 2, 0))
+            stops[quote] += taken
+            edges[quote + 1] += taken
+        word = (kind[np.minimum(edges, data.size - 1)] != _BLANK) & (stops > edges)
+        return edges[word], stops[word]
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        units = [t.lower().encode("utf-16-le", "surrogatepass") for t in texts]
+        raw = b"\n\0".join([*units, b""])
+        data = np.frombuffer(raw, "<u2")
+        ends = np.cumsum([len(u) // 2 + 1 for u in units])
+        kind = self.classes[data]
+        apart = np.array(["<|" in t for t in texts], dtype=bool)
+        apart[np.searchsorted(ends, np.flatnonzero(kind == _ELSE), side="right")] = True
+        edges, stops = self._words(data, kind)
+        if apart.any():
+            plain = ~apart[np.searchsorted(ends, edges, side="right")]
+            edges, stops = edges[plain], stops[plain]
+        if not edges.size:
+            return [self._whole(t) if away else b"" for t, away in zip(texts, apart, strict=True)]
+        second = stretch_hashes(data, edges, stops, BASES[1])
+        keys, one, which = np.unique(stretch_hashes(data, edges, stops), return_index=True, return_inverse=True)
+        if self.keys.size + keys.size > self.remember:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, self.keys.size - 1))
+        new = np.flatnonzero(self.keys[at] != keys) if self.keys.size else np.arange(keys.size)
+        if new.size:
+            places = zip((2 * edges[one[new]]).tolist(), (2 * stops[one[new]]).tolist(), strict=True)
+            self._learn(keys[new], second[one[new]], [raw[a:b] for a, b in places])
+        number = np.searchsorted(self.keys, keys)[which]
+        if (self.checks[number] != second).any():  # two words with one hash: practically never
+            return [self._whole(t) for t in texts]
+        counts = self.count[number].astype(np.int64)
+        done = np.cumsum(counts)
+        ids = self.all_ids[np.arange(done[-1]) + np.repeat(self.first[number] - (done - counts), counts)]
+        upto = np.concatenate([[0], done])[np.searchsorted(edges, np.concatenate([[0], ends]))]
+        return [
+            self._whole(t) if away else ids[a:b].astype("<u4").tobytes()
+            for t, away, a, b in zip(texts, apart, upto[:-1], upto[1:], strict=True)
+        ]
+
+    def encode_all(self, texts: Sequence[str]) -> Iterator[bytes]:
+        """The ids of each text, little-endian unsigned 32-bit."""
+        waiting: list[str] = []
+        size = 0
+        for text in texts:
+            if len(text) > self.UNITS:
+                yield from self._together(waiting)
+                waiting, size = [], 0
+                if "<|" in text:  # special tokens are found in the whole text only
+                    yield self._whole(text)
+                    continue
+                parts, at = [], 0
+                while at < len(text):  # white space separates words whatever surrounds it
+                    stop = text.rfind(" ", at, at + self.UNITS) + 1 or text.find(" ", at) + 1 or len(text)
+                    parts.append(text[at:stop])
+                    at = stop
+                yield b"".join(self._together([p])[0] for p in parts)
+                continue
+            waiting.append(text)
+            size += len(text)
+            if size >= self.UNITS:
+                yield from self._together(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield from self._together(waiting)
 
     def encode(self, text: str) -> bytes:
-        if _OUTSIDE.search(text):
-            return self._whole([text])[0]
-        words = _SPLIT.findall(text.lower())
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.remember:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            known.update(zip(new, self._whole(new), strict=True))
-        return b"".join(map(known.__getitem__, words))
+        return next(iter(self.encode_all([text])))
 
 
 SEGMENTS = "part int, seq int, docs long, tokens long, ids binary, lengths binary, doc_base long, doc_steps binary, doc_nulls long"
@@ -214,8 +326,9 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int, path: str, segm
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    own = encoder.encode(text or "") + end
+                texts = [t or "" for t in some.column(1).to_pylist()]
+                for doc_id, own in zip(some.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
+                    own += end
                     ids.append(own)
                     names.append(doc_id)
                     size += len(own) // 4

@@ -39,12 +39,21 @@ def test_outliers_go_to_the_exception_list():
 
 
 def test_words_equal_whole_texts():
-    tokenizer, encoder = Tokenizer.from_file(WORDS), token_files.WordEncoder(WORDS, remember=3)
-    for text in TEXTS:
+    tokenizer, encoder = Tokenizer.from_file(WORDS), token_files.WordEncoder(WORDS, remember=30)
+    ends = ["'s", "'some", "''s", "x''t", "don't've", "we're they'll I'd've 'm 'r 'v", "'", "a'", "'ll'", "it's'", "5's", "'RE", "l'été"]
+    for text in TEXTS + ends + [" ".join(ends)]:
         ids = tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids
 
 
+def test_long_texts_are_split_at_blanks(monkeypatch):
+    monkeypatch.setattr(token_files.WordEncoder, "UNITS", 40)
+    tokenizer, encoder = Tokenizer.from_file(WORDS), token_files.WordEncoder(WORDS)
+    texts = ["some words and more " * 30, "x" * 300, "a " * 10 + "y" * 90 + " b", "short", "<|endoftext|> " * 20]
+    for text, own in zip(texts, encoder.encode_all(texts), strict=True):
+        assert np.frombuffer(own, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_token_table(spark):
     df = docs(spark, odd_texts() + TEXTS)
     got = sorted(map(tuple, token_files.token_table(clashing(df), WORDS).collect()), key=lambda r: r[1])
