@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchwright.operators import analytics as a
 from matchwright.plans import dashboards
 
-from .fixtures import Tables, sql
+from .fixtures import Tables, placed, sql
 
 
 def _r(df: DataFrame, *columns: str) -> DataFrame:
@@ -16,27 +16,28 @@ def _r(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def g01_technical_skills(t: Tables) -> DataFrame:
-    return a.skill_frequency(t.skills(), "technical_skills")
+    return placed(a.skill_frequency(t.skills(), "technical_skills"))
 
 
 def g02_soft_skills(t: Tables) -> DataFrame:
-    return a.skill_frequency(t.skills(), "soft_skills")
+    return placed(a.skill_frequency(t.skills(), "soft_skills"))
 
 
 def _frequency(kind: str) -> str:
-    return f"SELECT skill, count(*) AS frequency FROM fx_skill WHERE kind = '{kind}' GROUP BY 1"
+    return f"""SELECT skill, frequency, CAST(row_number() OVER (ORDER BY frequency DESC, skill) AS INT) AS place
+FROM (SELECT skill, count(*) AS frequency FROM fx_skill WHERE kind = '{kind}' GROUP BY 1)"""
 
 
 def g03_categories(t: Tables) -> DataFrame:
-    return a.candidates_per_category(t.people())
+    return placed(a.candidates_per_category(t.people()))
 
 
 def g04_experience(t: Tables) -> DataFrame:
-    return a.candidates_per_experience(t.people())
+    return placed(a.candidates_per_experience(t.people()))
 
 
 def g05_education(t: Tables) -> DataFrame:
-    return a.candidates_per_education(t.people())
+    return placed(a.candidates_per_education(t.people()))
 
 
 def g06_row_counts(t: Tables) -> DataFrame:
@@ -200,7 +201,8 @@ LEFT JOIN (SELECT candidate_id, count(*) AS n FROM fx_skill GROUP BY 1) s USING
 LEFT JOIN (SELECT o_custkey AS candidate_id, count(DISTINCT o_orderpriority) AS n
            FROM orders GROUP BY 1) e USING (candidate_id)"""
 
-_COUNT = "SELECT {c}, count(*) AS count FROM fx_candidates {w} GROUP BY 1"
+_COUNT = """SELECT {c}, count, CAST(row_number() OVER (ORDER BY {o}) AS INT) AS place
+FROM (SELECT {c}, count(*) AS count FROM fx_candidates {w} GROUP BY 1)"""
 _GROUPS = """SELECT experience_years, job_category, education_level, count(*) AS count
 FROM fx_candidates WHERE experience_years IS NOT NULL GROUP BY 1, 2, 3"""
 _DAILY = """SELECT CAST(created_at AS DATE) AS date, job_category, count(*) AS daily_count
@@ -211,12 +213,12 @@ CHECKS = {
     "g02_soft_skills": (g02_soft_skills, sql(_frequency("soft"))),
     "g03_categories": (
         g03_categories,
-        sql(_COUNT.format(c="job_category", w="WHERE job_category <> ''")),
+        sql(_COUNT.format(c="job_category", w="WHERE job_category <> ''", o="count DESC, job_category")),
     ),
-    "g04_experience": (g04_experience, sql(_COUNT.format(c="experience_years", w=""))),
+    "g04_experience": (g04_experience, sql(_COUNT.format(c="experience_years", w="", o="experience_years NULLS LAST"))),
     "g05_education": (
         g05_education,
-        sql(_COUNT.format(c="education_level", w="WHERE education_level <> ''")),
+        sql(_COUNT.format(c="education_level", w="WHERE education_level <> ''", o="count DESC, education_level")),
     ),
     "g06_row_counts": (
         g06_row_counts,

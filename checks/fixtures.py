@@ -6,7 +6,7 @@ the comparison SQL. All tables are used whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchwright import ship
@@ -115,7 +115,7 @@ class Tables:
         )
 
     def offer_skills(self) -> DataFrame:
-        """``job_offer_id, technical_skills``: the five names a supplier ships most."""
+        """``job_offer_id, technical_skills``: all names a supplier ships, most shipped first."""
         counted = (
             self.raw("lineitem")
             .join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -124,9 +124,9 @@ class Tables:
         )
         entry = F.struct((-F.col("n")).alias("n"), "skill")
         return counted.groupBy("job_offer_id").agg(
-            F.transform(
-                F.slice(F.array_sort(F.collect_list(entry)), 1, 5), lambda e: e["skill"]
-            ).alias("technical_skills")
+            F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["skill"]).alias(
+                "technical_skills"
+            )
         )
 
     def matches(self) -> DataFrame:
@@ -211,11 +211,8 @@ CTES = {
        (SELECT l_suppkey, max(l_shipdate) AS created_at FROM lineitem GROUP BY 1) d
        ON l_suppkey = s_suppkey""",
     "fx_offer_skill": """
-  SELECT job_offer_id, skill FROM (
-    SELECT l_suppkey AS job_offer_id, p_name AS skill,
-           row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, p_name) AS pos
-    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, p_name)
-  WHERE pos <= 5""",
+  SELECT DISTINCT l_suppkey AS job_offer_id, p_name AS skill
+  FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "fx_matches": f"""
   SELECT md5(candidate_id || '-' || job_offer_id) AS match_id, candidate_id, job_offer_id,
          least(score, 0.95::DOUBLE) AS similarity_score, 1.0::DOUBLE - score AS distance,
@@ -235,6 +232,13 @@ CTES = {
 }
 
 
+def placed(df: DataFrame, *keys: str) -> DataFrame:
+    """The place of each row in the order it came in, inside its key if one is given."""
+    window = Window.partitionBy(*keys).orderBy("_at") if keys else Window.orderBy("_at")
+    at = df.withColumn("_at", F.monotonically_increasing_id())
+    return at.withColumn("place", F.row_number().over(window)).drop("_at")
+
+
 def sql(body: str) -> str:
     """The comparison SQL with the shared recipes in front of it."""
     recipes = ",\n".join(f"{name} AS ({text_})" for name, text_ in CTES.items())

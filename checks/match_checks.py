@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchwright.functions import scores, vectors
-from matchwright.operators import nearest, overlap, quantiles, rules, tiers
+from matchwright.operators import maintenance, nearest, overlap, quantiles, rules, tiers
 from matchwright.plans import matching
 
 from .fixtures import RULE_SCORE, Tables, sql
 
-BROWSER_MINIMUM = 0.5  # the match browser's own default minimum
-
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
@@ -33,6 +31,12 @@ def m18_best_candidates(t: Tables) -> DataFrame:
     return _rounded(found, "similarity_score")
 
 
+def m18_through_cells(t: Tables) -> DataFrame:
+    """The same where neither side fits in memory."""
+    found = nearest.best_candidates(t.vectors("candidate_id"), t.vectors("job_offer_id"), broadcast_bytes=0)
+    return _rounded(found, "similarity_score")
+
+
 M18 = sql(f"""
 SELECT job_offer_id, candidate_id, round(s, 6) AS similarity_score,
        CAST(match_rank AS INT) AS match_rank
@@ -42,16 +46,18 @@ FROM (SELECT *, row_number() OVER (PARTITION BY job_offer_id ORDER BY s DESC, ca
 WHERE match_rank <= 15""")
 
 
-def m19_similar_pairs(t: Tables) -> DataFrame:
-    found = nearest.similar_pairs(
-        t.vectors("candidate_id"), t.vectors("job_offer_id"), BROWSER_MINIMUM
-    )
+def m19_best_offers(t: Tables) -> DataFrame:
+    found = nearest.best_offers(t.vectors("candidate_id"), t.vectors("job_offer_id"))
     return _rounded(found, "similarity_score")
 
 
 M19 = sql(f"""
-SELECT job_offer_id, candidate_id, round(s, 6) AS similarity_score
-FROM ({_unit_pairs_sql("true")}) WHERE s >= {BROWSER_MINIMUM}""")
+SELECT job_offer_id, candidate_id, round(s, 6) AS similarity_score,
+       CAST(match_rank AS INT) AS match_rank
+FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY s DESC, job_offer_id)
+               AS match_rank
+      FROM ({_unit_pairs_sql("true")}) WHERE s >= 0.2)
+WHERE match_rank <= 15""")
 
 
 def _label_pairs(t: Tables) -> DataFrame:
@@ -181,21 +187,19 @@ SELECT candidate_id, job_offer_id, round(similarity_score, 6) AS similarity_scor
        round(distance, 6) AS distance FROM fx_matches""")
 
 
-def j08_rule_matches_of_arrivals(t: Tables) -> DataFrame:
-    """Candidates of the last registration day against every active offer."""
-    people = t.candidates()
-    day = F.to_date("created_at")
-    last = people.filter(day == people.agg(F.max(day)).scalar())
-    found = rules.rule_matches(last, t.offers().filter("status = 'active'"))
-    return _rounded(found, "similarity_score", "distance")
+def j08_best_offers_by_rule(t: Tables) -> DataFrame:
+    """Every candidate against every active offer: the best 15 of each candidate."""
+    active = t.posts().filter("status = 'active'")
+    return _rounded(rules.best_offers_by_rule(t.people(), active), "similarity_score", "distance")
 
 
 J08 = sql(f"""
 SELECT candidate_id, job_offer_id, round(least(score, 0.95::DOUBLE), 6) AS similarity_score,
-       round(1.0::DOUBLE - score, 6) AS distance
-FROM {_ALL_RULE_PAIRS} WHERE score >= 0.4 AND candidate_id IN
-  (SELECT candidate_id FROM fx_candidates WHERE CAST(created_at AS DATE) =
-     (SELECT max(CAST(created_at AS DATE)) FROM fx_candidates))""")
+       round(1.0::DOUBLE - score, 6) AS distance, CAST(match_rank AS INT) AS match_rank
+FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id
+                                   ORDER BY round(score, 6) DESC, job_offer_id) AS match_rank
+      FROM {_ALL_RULE_PAIRS} WHERE score >= 0.4)
+WHERE match_rank <= 15""")
 
 
 def m21_demo_matches(t: Tables) -> DataFrame:
@@ -258,17 +262,37 @@ FROM fx_matches""")
 
 
 def m17_seeded_jitter(t: Tables) -> DataFrame:
-    """Stored scores with the record noise: how many stay in range and in place."""
-    noise = scores.jitter([F.col("candidate_id"), F.col("job_offer_id")], -0.05, 0.05, 7)
-    again = scores.jitter([F.col("candidate_id"), F.col("job_offer_id")], -0.05, 0.05, 7)
-    return t.matches().agg(
-        F.count("*").alias("pairs"),
-        F.count_if((noise >= -0.05) & (noise < 0.05)).alias("in_range"),
-        F.count_if(noise == again).alias("repeatable"),
+    """The second tier with its tie-breaking bonus."""
+    found = tiers.category_tier(t.candidates(), t.offers(), noise=0.3, seed=7)
+    return _rounded(found, "similarity_score", "distance")
+
+
+_JITTER = """(('0x' || substr(md5(c.candidate_id || chr(31) || o.job_offer_id || chr(31) || '7'), 1, 13))::BIGINT
+  / 4503599627370496.0::DOUBLE * 0.3::DOUBLE)"""
+
+M17_TEXT = f"""
+SELECT candidate_id, job_offer_id, round(s, 6) AS similarity_score, round(1.0::DOUBLE - s, 6) AS distance
+FROM (SELECT candidate_id, job_offer_id, least({{tier}} + {_JITTER}, 0.95::DOUBLE) AS s
+      FROM fx_candidates c,
+           (SELECT * FROM fx_offers WHERE status = 'active' OR status IS NULL
+            ORDER BY created_at DESC NULLS LAST, job_offer_id LIMIT 50) o)
+WHERE s >= 0.2"""
+
+
+def m17_jittered_records(t: Tables) -> DataFrame:
+    """Match records with the bonus that M-16 allows, which moves status borders."""
+    return _rounded(
+        matching.graded(t.matches(), noise=0.05, seed=7), "similarity_score", "distance", "overall_match_percentage"
     )
 
 
-M17 = sql("SELECT count(*) AS pairs, count(*) AS in_range, count(*) AS repeatable FROM fx_matches")
+M17_RECORDS = sql(f"""
+SELECT candidate_id, job_offer_id, round(s, 6) AS similarity_score, round(1.0::DOUBLE - s, 6) AS distance,
+       CASE WHEN s > 0.6 THEN 'good' WHEN s > 0.3 THEN 'fair' ELSE 'poor' END AS status,
+       round(s, 6) AS overall_match_percentage
+FROM (SELECT c.candidate_id, c.job_offer_id, least(greatest(similarity_score - 0.05::DOUBLE
+        + (('0x' || substr(md5(c.candidate_id || chr(31) || c.job_offer_id || chr(31) || '7'), 1, 13))::BIGINT
+           / 4503599627370496.0::DOUBLE * 0.1::DOUBLE), 0), 1) AS s FROM fx_matches c)""")
 
 
 # -- overlap ------------------------------------------------------------------------
@@ -287,6 +311,12 @@ def m14_best_by_overlap(t: Tables) -> DataFrame:
     return _rounded(overlap.best_by_overlap(mine, theirs), "similarity_score")
 
 
+def m14_through_index(t: Tables) -> DataFrame:
+    """The same where the offers do not fit in memory."""
+    mine, theirs = _skill_sides(t)
+    return _rounded(overlap.best_by_overlap(mine, theirs, few_offers=0), "similarity_score")
+
+
 M14_BEST = sql("""
 SELECT job_offer_id, candidate_id, round(s, 6) AS similarity_score,
        CAST(pos AS INT) AS match_rank
@@ -384,21 +414,33 @@ SELECT candidate_id, job_offer_id, round(s, 6) AS similarity_score,
 
 
 def m05_cascade(t: Tables) -> DataFrame:
+    """A second tier that asks for a fitting category leaves some to the third."""
     good = t.matches().filter("similarity_score >= 0.6")
-    found = tiers.fallback_cascade(t.candidates(), t.offers(), good)
+    found = tiers.fallback_cascade(t.candidates(), t.offers(), good, min_category=0.6)
     return _rounded(found, "similarity_score", "distance")
 
 
 M05 = sql(f"""
-, good AS (SELECT * FROM fx_matches WHERE similarity_score >= 0.6)
+, good AS (SELECT * FROM fx_matches WHERE similarity_score >= 0.6),
+second AS (
+  SELECT candidate_id, job_offer_id, {_TIER_SCORE} AS s
+  FROM fx_candidates c,
+       (SELECT * FROM fx_offers WHERE status = 'active' OR status IS NULL
+        ORDER BY created_at DESC NULLS LAST, job_offer_id LIMIT 50) o
+  WHERE c.candidate_id NOT IN (SELECT candidate_id FROM good) AND {_TIER_SCORE} >= 0.6)
 SELECT candidate_id, job_offer_id, round(similarity_score, 6) AS similarity_score,
        round(distance, 6) AS distance, 1 AS tier FROM good
 UNION ALL
-SELECT candidate_id, job_offer_id, round({_TIER_SCORE}, 6), round(1.0::DOUBLE - {_TIER_SCORE}, 6), 2
-FROM fx_candidates c,
-     (SELECT * FROM fx_offers WHERE status = 'active' OR status IS NULL
-      ORDER BY created_at DESC NULLS LAST, job_offer_id LIMIT 50) o
-WHERE c.candidate_id NOT IN (SELECT candidate_id FROM good)""")
+SELECT candidate_id, job_offer_id, round(s, 6), round(1.0::DOUBLE - s, 6), 2 FROM second
+UNION ALL
+SELECT candidate_id, job_offer_id, round(s, 6), round(1.0::DOUBLE - s, 6), 3
+FROM (SELECT c.candidate_id, o.job_offer_id, 0.6::DOUBLE + 0.05::DOUBLE * o.i AS s
+      FROM fx_candidates c, (SELECT job_offer_id, i FROM (
+           SELECT job_offer_id, row_number() OVER (ORDER BY created_at DESC NULLS LAST, job_offer_id) - 1
+                    AS i FROM fx_offers) WHERE i < 10) o
+      WHERE NOT EXISTS (SELECT 1 FROM good m WHERE m.candidate_id = c.candidate_id AND m.job_offer_id = o.job_offer_id))
+WHERE candidate_id NOT IN (SELECT candidate_id FROM good)
+  AND candidate_id NOT IN (SELECT candidate_id FROM second)""")
 
 
 def m05_cascade_without_open_offers(t: Tables) -> DataFrame:
@@ -416,30 +458,37 @@ WHERE candidate_id NOT IN (SELECT candidate_id FROM fx_matches)""")
 
 
 def m20_new_offers(t: Tables) -> DataFrame:
-    """Open offers of the newest month get their best candidates by rule."""
-    active = t.offers().filter("status = 'active'")
-    newest = active.filter(
-        F.trunc("created_at", "month")
-        == active.agg(F.max(F.trunc("created_at", "month"))).scalar()
+    """A match table after every offer has come in as new: the best 15 of each are merged."""
+    e = t.raw("embeddings")
+    stored = e.groupBy(F.col("label").cast("long").alias("job_offer_id")).agg(F.min("vec_id").alias("candidate_id"))
+    stored = maintenance.match_rows(stored.withColumn("similarity_score", F.lit(0.25)), F.lit("2000-01-01").cast("timestamp"))
+    skills = F.array().cast("array<string>")
+    mine = t.vectors("candidate_id").withColumn("skill_set", skills)
+    theirs = t.vectors("job_offer_id").withColumn("skill_set", skills).withColumn("status", F.lit("active"))
+    merged = matching.after_new_offers(stored, mine, theirs)
+    return merged.select(
+        "match_id", "candidate_id", "job_offer_id", F.round("similarity_score", 6).alias("similarity_score"),
+        (F.year("created_at") == 2000).alias("stored_before"),
     )
-    return _rounded(rules.best_by_rule(t.candidates(), newest, 5), "similarity_score", "distance")
 
 
 M20 = sql(f"""
-SELECT job_offer_id, candidate_id, round(least(score, 0.95::DOUBLE), 6) AS similarity_score,
-       round(1.0::DOUBLE - score, 6) AS distance, CAST(match_rank AS INT) AS match_rank
-FROM (SELECT *, row_number() OVER (PARTITION BY job_offer_id
-                                   ORDER BY round(score, 6) DESC, candidate_id) AS match_rank
-      FROM {_ALL_RULE_PAIRS} WHERE score >= 0.4 AND job_offer_id IN
-        (SELECT job_offer_id FROM fx_offers WHERE status = 'active' AND date_trunc('month', created_at)
-           = (SELECT max(date_trunc('month', created_at)) FROM fx_offers WHERE status = 'active')))
-WHERE match_rank <= 5""")
+, fresh AS (
+  SELECT job_offer_id, candidate_id, round(s, 6) AS s
+  FROM (SELECT *, row_number() OVER (PARTITION BY job_offer_id ORDER BY s DESC, candidate_id) AS match_rank
+        FROM ({_unit_pairs_sql("true")}) WHERE s >= 0.2)
+  WHERE match_rank <= 15),
+stored AS (SELECT CAST(label AS BIGINT) AS job_offer_id, min(vec_id) AS candidate_id FROM embeddings GROUP BY 1)
+SELECT md5(coalesce(f.candidate_id, b.candidate_id) || '-' || coalesce(f.job_offer_id, b.job_offer_id)) AS match_id,
+       coalesce(f.candidate_id, b.candidate_id) AS candidate_id, coalesce(f.job_offer_id, b.job_offer_id) AS job_offer_id,
+       coalesce(f.s, 0.25::DOUBLE) AS similarity_score, b.candidate_id IS NOT NULL AS stored_before
+FROM fresh f FULL JOIN stored b ON f.candidate_id = b.candidate_id AND f.job_offer_id = b.job_offer_id""")
 
 CHECKS = {
     "m01_best_by_rule": (m01_best_by_rule, M01_BEST),
     "m01_rule_score_counts": (m01_rule_score_counts, M01_COUNTS),
     "m01_rule_rescore": (m01_rule_rescore, M01_RESCORE),
-    "j08_rule_matches_of_arrivals": (j08_rule_matches_of_arrivals, J08),
+    "j08_rule_matches_of_arrivals": (j08_best_offers_by_rule, J08),
     "m02_flag_scores": (m02_flag_scores, M02),
     "m03_category_tier": (m03_category_tier, M03),
     "m04_last_resort": (m04_last_resort, M04),
@@ -450,12 +499,15 @@ CHECKS = {
     "m13_thresholds": (m13_thresholds, M13),
     "m13_score_quantiles": (m13_score_quantiles, M13_QUANTILES),
     "m14_best_by_overlap": (m14_best_by_overlap, M14_BEST),
+    "m14_through_index": (m14_through_index, M14_BEST),
     "m14_overlap_of_matches": (m14_overlap_of_matches, M14_PAIRS),
     "m15_vector_or_overlap": (m15_vector_or_overlap, M15),
     "m16_match_records": (m16_match_records, M16),
-    "m17_seeded_jitter": (m17_seeded_jitter, M17),
+    "m17_seeded_jitter": (m17_seeded_jitter, sql(M17_TEXT.format(tier=_TIER_SCORE))),
+    "m17_jittered_records": (m17_jittered_records, M17_RECORDS),
     "m18_best_candidates": (m18_best_candidates, M18),
-    "m19_similar_pairs": (m19_similar_pairs, M19),
+    "m18_through_cells": (m18_through_cells, M18),
+    "m19_similar_pairs": (m19_best_offers, M19),
     "m20_new_offers": (m20_new_offers, M20),
     "m21_demo_matches": (m21_demo_matches, M21),
 }

@@ -12,7 +12,7 @@ from matchwright.sources import tables as src
 from matchwright.streaming import arrivals
 
 from .fixtures import Tables, sql
-from .match_checks import BROWSER_MINIMUM, M18
+from .match_checks import M18, M19
 
 
 def _scores(df: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def _line_scores(t: Tables) -> DataFrame:
     """One new score per line: several per pair, the last shipped one counts."""
     c, o = F.col("o_custkey"), F.col("l_suppkey")
     lines = t.raw("orders").join(t.raw("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return lines.filter("l_returnflag = 'R'").select(
+    return lines.select(
         pair_id(c, o).alias("match_id"),
         c.alias("candidate_id"),
         o.alias("job_offer_id"),
@@ -65,7 +65,7 @@ def io04_merge_into_stored_table(t: Tables) -> DataFrame:
     """The same upsert into a stored table, partition by partition."""
     path = src.new_folder(t.spark, "match-table")
     matching.create_match_table(t.matches(), path, 16)
-    matching.merge_into_match_table(_line_scores(t), path, 16)
+    matching.merge_into_match_table(_line_scores(t), path)
     merged = src.read_table(t.spark, path).drop(matching.BUCKET)
     return merged.withColumns(
         {c: F.round(c, 6) for c in ("similarity_score", "distance", "overall_evaluation")}
@@ -76,7 +76,7 @@ IO04 = """, u AS (SELECT candidate_id, job_offer_id, score, shipped FROM (
     SELECT o_custkey AS candidate_id, l_suppkey AS job_offer_id, 1.0::DOUBLE - l_discount AS score,
            l_shipdate AS shipped, row_number() OVER (PARTITION BY o_custkey, l_suppkey
              ORDER BY l_shipdate DESC, l_discount) AS rn
-    FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R') WHERE rn = 1)
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey) WHERE rn = 1)
 SELECT md5(candidate_id || '-' || job_offer_id) AS match_id, candidate_id, job_offer_id,
        round(coalesce(u.score, b.similarity_score), 6) AS similarity_score,
        round(coalesce(1 - u.score, b.distance), 6) AS distance,
@@ -248,9 +248,7 @@ def _run(t: Tables, rows: DataFrame, match: arrivals.Matcher) -> DataFrame:
 
 
 def s01_new_profiles(t: Tables) -> DataFrame:
-    match = arrivals.on_new_profiles(
-        lambda: _standing(t, "job_offer_id"), min_similarity=BROWSER_MINIMUM
-    )
+    match = arrivals.on_new_profiles(lambda: _standing(t, "job_offer_id"))
     return _run(t, _arriving(t, "candidate_id"), match)
 
 
@@ -279,10 +277,7 @@ CHECKS = {
     "io09_skills": (io09_skills, IO09),
     "s01_new_profiles": (
         s01_new_profiles,
-        sql(f"""SELECT c.vec_id AS candidate_id, o.vec_id AS job_offer_id,
-                  round(exp(-power(list_distance(c.u, o.u), 2) / 2.0::DOUBLE), 6) AS similarity_score
-                FROM fx_unit c, fx_unit o
-                WHERE exp(-power(list_distance(c.u, o.u), 2) / 2.0::DOUBLE) >= {BROWSER_MINIMUM}"""),
+        f"SELECT candidate_id, job_offer_id, similarity_score FROM ({M19})",
     ),
     "s02_new_offers": (
         s02_new_offers,

@@ -364,21 +364,44 @@ def d04_language(t: Tables) -> DataFrame:
     return docs.tag_language(d, docs.language_profile(d))
 
 
-D04 = r"""WITH flat AS (SELECT doc_id, lang, string_split(
-    regexp_replace(lower(trim(text)), '\s+', ' ', 'g'), '') AS c FROM documents),
-g AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1),
-        lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM flat),
-n AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY 1, 2),
-v AS (SELECT DISTINCT gram FROM (SELECT gram, row_number() OVER (PARTITION BY lang
-        ORDER BY n DESC, gram) AS pos FROM n) WHERE pos <= 300),
-tot AS (SELECT lang, sum(n) AS total FROM n SEMI JOIN v USING (gram) GROUP BY 1),
+def d04_language_by_join(t: Tables) -> DataFrame:
+    """The same with a profile too large to broadcast."""
+    d = t.raw("documents")
+    return docs.tag_language(d, docs.language_profile(d), broadcast_rows=0)
+
+
+def d04_language_of_turns(t: Tables) -> DataFrame:
+    """Texts that took no part in the profile."""
+    turns = t.raw("conversations").withColumn("turn_id", F.concat_ws("-", "conv_id", "turn"))
+    return docs.tag_language(turns.select("turn_id", "text").dropDuplicates(["turn_id"]), docs.language_profile(t.raw("documents")), "turn_id")
+
+
+_PROFILE = r"""flat AS (SELECT lang, string_split(
+    regexp_replace(lower(trim(text)), '\s+', ' ', 'g'), '') AS c FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
+n AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest(list_transform(range(1, len(c) - 1),
+        lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM flat) GROUP BY 1, 2),
+v AS (SELECT DISTINCT gram FROM n),
+tot AS (SELECT lang, sum(n) AS total FROM n GROUP BY 1),
 w AS (SELECT v.gram, tot.lang,
-             ln((coalesce(n.n, 0) + 1.0) / (tot.total + (SELECT count(*) FROM v))) AS w
-      FROM v CROSS JOIN tot LEFT JOIN n ON n.gram = v.gram AND n.lang = tot.lang),
-d AS (SELECT doc_id, gram, count(*) AS k FROM g SEMI JOIN v USING (gram) GROUP BY 1, 2),
-s AS (SELECT doc_id, w.lang, sum(k * w) AS s FROM d JOIN w USING (gram) GROUP BY 1, 2)
-SELECT documents.doc_id, coalesce(b.lang, 'unknown') AS language
-FROM documents LEFT JOIN (SELECT doc_id, arg_max(lang, s) AS lang FROM s GROUP BY 1) b USING (doc_id)"""
+             CAST(round(ln((coalesce(n.n, 0) + 1.0::DOUBLE) / (tot.total + (SELECT count(*) FROM v))) * 1e6) AS BIGINT) AS w
+      FROM v CROSS JOIN tot LEFT JOIN n ON n.gram = v.gram AND n.lang = tot.lang)"""
+
+
+def _tagged_sql(table: str, key: str) -> str:
+    return rf"""WITH {_PROFILE},
+own AS (SELECT DISTINCT ON ({key}) {key} AS key, text FROM {table}),
+d AS (SELECT key, gram, count(*) AS k FROM (SELECT key, unnest(list_transform(range(1, len(c) - 1),
+        lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram
+      FROM (SELECT key, string_split(regexp_replace(lower(trim(text)), '\s+', ' ', 'g'), '') AS c FROM own)) GROUP BY 1, 2),
+s AS (SELECT key, w.lang, sum(k * w) AS s FROM d JOIN w USING (gram) GROUP BY 1, 2),
+b AS (SELECT key, lang FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s DESC, lang) AS place FROM s) WHERE place = 1)"""
+
+
+D04 = _tagged_sql("documents", "doc_id") + """
+SELECT key AS doc_id, coalesce(b.lang, 'unknown') AS language FROM own LEFT JOIN b USING (key)"""
+
+D04_TURNS = _tagged_sql("conversations", "conv_id || '-' || turn") + """
+SELECT key AS turn_id, coalesce(b.lang, 'unknown') AS language FROM own LEFT JOIN b USING (key)"""
 
 
 CHECKS = {
@@ -497,4 +520,6 @@ CHECKS = {
         r"SELECT doc_id, n_chars FROM documents WHERE regexp_matches(text, '\S')",
     ),
     "d04_language": (d04_language, D04),
+    "d04_language_by_join": (d04_language_by_join, D04),
+    "d04_language_of_turns": (d04_language_of_turns, D04_TURNS),
 }

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from matchwright.operators import analytics, views
 from matchwright.operators.tiers import newest_offers
-from matchwright.sources.tables import candidate_export
+from matchwright.sources.tables import candidate_export, export_csv, new_folder
 
-from .fixtures import Tables, sql
+from .fixtures import Tables, placed, sql
 
 
 def p01_projection(t: Tables) -> DataFrame:
@@ -43,7 +43,8 @@ def p06_point_lookup(t: Tables) -> DataFrame:
 
 
 def p07_client_offers(t: Tables) -> DataFrame:
-    return views.client_offers(t.offers()).select("client_id", "job_offer_id", "job_title")
+    listed = placed(views.client_offers(t.offers()), "client_id")
+    return listed.select("client_id", "job_offer_id", "job_title", "place")
 
 
 def _with_type(t: Tables) -> DataFrame:
@@ -52,8 +53,8 @@ def _with_type(t: Tables) -> DataFrame:
 
 def p08_browse(t: Tables) -> DataFrame:
     kept = views.browse_matches(_with_type(t), 0.5, "Contract", "Company Name")
-    return kept.select(
-        "company_name", "candidate_id", "job_offer_id", F.round("similarity_score", 6).alias("score")
+    return placed(kept).select(
+        "company_name", "candidate_id", "job_offer_id", F.round("similarity_score", 6).alias("score"), "place"
     )
 
 
@@ -79,8 +80,13 @@ def p12_view_guards(t: Tables) -> DataFrame:
     return analytics.diversity(analytics.experience_groups(t.people()))
 
 
+def p12_skill_and_place_guards(t: Tables) -> DataFrame:
+    return analytics.guards(analytics.skill_frequency(t.skills()), t.people())
+
+
 def j01_candidate_matches(t: Tables) -> DataFrame:
-    return views.candidate_matches(t.matches(), t.posts()).select(
+    return placed(views.candidate_matches(t.matches(), t.posts()), "candidate_id").select(
+        "place",
         "candidate_id",
         "job_offer_id",
         F.round("similarity_score", 6).alias("similarity_score"),
@@ -91,7 +97,8 @@ def j01_candidate_matches(t: Tables) -> DataFrame:
 
 
 def j02_job_candidates(t: Tables) -> DataFrame:
-    return views.job_candidates(t.people(), t.matches()).select(
+    return placed(views.job_candidates(t.people(), t.matches()), "job_offer_id").select(
+        "place",
         "job_offer_id",
         "candidate_id",
         "first_name",
@@ -208,15 +215,19 @@ def l03_newest_offers(t: Tables) -> DataFrame:
 
 
 def l05_sorted_by_date(t: Tables) -> DataFrame:
-    return views.browse_matches(_with_type(t), 0.8, "All", "Date").select(
-        "candidate_id", "job_offer_id", "updated_at"
+    return placed(views.browse_matches(_with_type(t), 0.8, "All", "Date")).select(
+        "candidate_id", "job_offer_id", "updated_at", "place"
     )
 
 
 def io10_filtered_export(t: Tables) -> DataFrame:
-    return views.browse_matches(_with_type(t), 0.5).select(
+    """Matches of the browser written as CSV and read back."""
+    kept = views.browse_matches(_with_type(t), 0.5).select(
         "match_id", "candidate_id", "job_offer_id", "job_type", "company_name"
     )
+    path = new_folder(t.spark, "exported")
+    export_csv(kept, path)
+    return t.spark.read.option("header", True).schema(kept.schema).csv(path)
 
 
 def io11_candidate_export(t: Tables) -> DataFrame:
@@ -248,11 +259,13 @@ CHECKS = {
     "p06_point_lookup": (p06_point_lookup, sql("SELECT * FROM fx_candidates WHERE candidate_id = 42")),
     "p07_client_offers": (
         p07_client_offers,
-        sql("SELECT client_id, job_offer_id, job_title FROM fx_offers"),
+        sql("""SELECT client_id, job_offer_id, job_title, CAST(row_number() OVER (PARTITION BY client_id
+                 ORDER BY created_at DESC NULLS LAST, job_offer_id) AS INT) AS place FROM fx_offers"""),
     ),
     "p08_browse": (
         p08_browse,
-        sql("""SELECT company_name, candidate_id, job_offer_id, round(similarity_score, 6) AS score
+        sql("""SELECT company_name, candidate_id, job_offer_id, round(similarity_score, 6) AS score,
+                      CAST(row_number() OVER (ORDER BY company_name, candidate_id, job_offer_id) AS INT) AS place
                FROM fx_matches JOIN fx_offers USING (job_offer_id)
                WHERE similarity_score >= 0.5 AND job_type = 'Contract'"""),
     ),
@@ -269,16 +282,26 @@ CHECKS = {
                FROM (SELECT DISTINCT experience_years, job_category, education_level
                      FROM fx_candidates WHERE experience_years IS NOT NULL)"""),
     ),
+    "p12_skill_and_place_guards": (
+        p12_skill_and_place_guards,
+        sql("""SELECT *, skills > 5 AS show_skills, countries > 1 AS show_countries FROM (
+                 SELECT (SELECT count(DISTINCT skill) FROM fx_skill WHERE kind = 'technical') AS skills,
+                        (SELECT count(DISTINCT country) FROM fx_candidates) AS countries)"""),
+    ),
     "j01_candidate_matches": (
         j01_candidate_matches,
         sql("""SELECT candidate_id, job_offer_id, round(similarity_score, 6) AS similarity_score,
-                      job_title, company_name, job_category
-               FROM fx_matches JOIN fx_offers USING (job_offer_id)"""),
+                      job_title, company_name, job_category,
+                      CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY similarity_score DESC,
+                        m.created_at DESC NULLS LAST, job_offer_id) AS INT) AS place
+               FROM fx_matches m JOIN fx_offers USING (job_offer_id)"""),
     ),
     "j02_job_candidates": (
         j02_job_candidates,
         sql("""SELECT job_offer_id, candidate_id, first_name, email,
-                      round(similarity_score, 6) AS similarity_score, m.created_at AS match_created_at
+                      round(similarity_score, 6) AS similarity_score, m.created_at AS match_created_at,
+                      CAST(row_number() OVER (PARTITION BY job_offer_id
+                        ORDER BY similarity_score DESC, candidate_id) AS INT) AS place
                FROM fx_candidates c JOIN fx_matches m USING (candidate_id)"""),
     ),
     "j03_offer_statistics": (
@@ -316,8 +339,9 @@ CHECKS = {
     ),
     "l05_sorted_by_date": (
         l05_sorted_by_date,
-        sql("""SELECT candidate_id, job_offer_id, updated_at FROM fx_matches
-               WHERE similarity_score >= 0.8"""),
+        sql("""SELECT candidate_id, job_offer_id, updated_at, CAST(row_number() OVER (
+                 ORDER BY updated_at DESC, candidate_id, job_offer_id) AS INT) AS place
+               FROM fx_matches WHERE similarity_score >= 0.8"""),
     ),
     "io10_filtered_export": (
         io10_filtered_export,

@@ -63,8 +63,9 @@ def overlap(candidate_skills: Column, offer_skills: Column) -> Column:
 
 def jitter(keys: list[Column], low: float, high: float, seed: int) -> Column:
     """Tie-breaking noise in ``[low, high)`` that depends on keys and seed only."""
-    share = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    return F.lit(low) + share * F.lit(high - low)
+    named = F.concat_ws("\u001f", *[k.cast("string") for k in keys], F.lit(str(seed)))
+    digits = F.conv(F.substring(F.md5(named.cast("binary")), 1, 13), 16, 10).cast("long")
+    return F.lit(low) + digits / F.lit(float(1 << 52)) * F.lit(high - low)
 
 
 def status(score: Column) -> Column:

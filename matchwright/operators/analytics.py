@@ -220,16 +220,14 @@ def five_numbers(groups: DataFrame, by: str, value: str = "experience_years") ->
     )
 
 
+def distinct_values(column: str) -> Column:
+    """How many values a column has, NULL being a value of its own; 0 without rows."""
+    return F.count_distinct(column) + F.coalesce(F.max(F.col(column).isNull().cast("int")), F.lit(0))
+
+
 def diversity(groups: DataFrame) -> DataFrame:
     """The numbers that decide whether a detailed view is worth showing."""
-    counts = groups.agg(
-        F.count("*").alias("rows"),
-        # NULL is a category of its own here.
-        (
-            F.count_distinct("job_category")
-            + F.max(F.col("job_category").isNull().cast("int"))
-        ).alias("categories"),
-    )
+    counts = groups.agg(F.count("*").alias("rows"), distinct_values("job_category").alias("categories"))
     return counts.select(
         "rows",
         "categories",
@@ -238,6 +236,20 @@ def diversity(groups: DataFrame) -> DataFrame:
     )
 
 
+def guards(skills: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Whether skill and country views have enough to show.
+
+    ``skills``: one row per skill. More than five skills, more than one country.
+    """
+    countries = known(candidates, "country").agg(F.count_distinct("country")).scalar()
+    return skills.agg(F.count("*").alias("skills")).select("skills", countries.alias("countries")).select(
+        "skills",
+        "countries",
+        (F.col("skills") > 5).alias("show_skills"),
+        (F.col("countries") > 1).alias("show_countries"),
+    )
+
+
 # -- time ------------------------------------------------------------------------
 
 

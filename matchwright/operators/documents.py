@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -112,49 +112,48 @@ def _trigram_counts(documents: DataFrame) -> DataFrame:
     )
 
 
-def language_profile(documents: DataFrame, grams_per_language: int = 300) -> DataFrame:
-    """Log-probability of each language's most frequent trigrams, in every language.
+def language_profile(documents: DataFrame) -> DataFrame:
+    """Log-probability of every trigram of the texts, in every language.
 
-    Read from whole texts of known language. At most ``grams_per_language`` times
-    languages squared rows.
+    Read from whole texts of known language. Weights are whole millionths, so adding
+    them gives the same sum in any order and equal sums are true ties.
     """
     counts = staged(_trigram_counts(documents), "trigram-counts")
-    common = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    vocabulary = (
-        counts.withColumn("at", F.row_number().over(common))
-        .filter(F.col("at") <= grams_per_language)
-        .select("gram")
-        .distinct()
-    )
-    inside = counts.join(vocabulary, "gram", "left_semi")
-    totals = inside.groupBy("lang").agg(F.sum("n").alias("total"))
+    vocabulary = counts.select("gram").distinct()
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     size = vocabulary.agg(F.count("*")).scalar()
     languages = totals.agg(F.collect_list(F.struct("lang", "total"))).scalar()
     every = vocabulary.select("gram", F.explode(languages).alias("l")).select("gram", "l.*")
-    return every.join(inside, ["gram", "lang"], "left").select(
-        "gram",
-        "lang",
-        F.log((F.coalesce("n", F.lit(0)) + 1.0) / (F.col("total") + size)).alias("weight"),
+    chance = F.log((F.coalesce("n", F.lit(0)) + 1.0) / (F.col("total") + size))
+    return every.join(counts, ["gram", "lang"], "left").select(
+        "gram", "lang", F.round(chance * 1e6).cast("long").alias("weight")
     )
 
 
-def tag_language(documents: DataFrame, profile: DataFrame, key: str = "doc_id") -> DataFrame:
+def _spread(documents: DataFrame) -> DataFrame:
+    """Parts of bounded size, whatever the files: whole texts are weighed in Python."""
+    return documents.repartition(documents.sparkSession.sparkContext.defaultParallelism)
+
+
+def tag_language(
+    documents: DataFrame, profile: DataFrame, key: str = "doc_id", broadcast_rows: int = PROFILE_ROWS
+) -> DataFrame:
     """``key, language``: the likeliest language of each whole text, else ``unknown``.
 
-    A profile of checked size is broadcast and texts are weighed where they are read,
-    without a shuffle; a larger one is joined to the exploded trigrams.
+    Equal weights go to the first language by name. A profile of checked size is
+    broadcast and texts are weighed where they are read; a larger one is joined to the
+    trigrams, counted per text. Both give the same result.
     """
-    few = profile.select("gram", "lang", "weight").take(PROFILE_ROWS + 1)
-    if len(few) > PROFILE_ROWS:
+    few = profile.select("gram", "lang", "weight").limit(broadcast_rows + 1).toPandas()
+    if len(few) > broadcast_rows:
         return _tag_by_join(documents, profile, key)
-    languages = sorted({r.lang for r in few})
-    codes = sorted({_number(r.gram) for r in few})
-    place = {code: i for i, code in enumerate(codes)}
-    weights = np.zeros((len(codes), len(languages)))
-    for r in few:
-        weights[place[_number(r.gram)], languages.index(r.lang)] = r.weight
+    languages, column = np.unique(few["lang"].to_numpy(dtype=object), return_inverse=True)
+    numbers = np.array([_number(g) for g in few["gram"]], dtype=np.int64)
+    codes, row = np.unique(numbers, return_inverse=True)
+    weights = np.zeros((len(codes), len(languages)), dtype=np.int64)
+    weights[row, column] = few["weight"].to_numpy()
     shared = documents.sparkSession.sparkContext.broadcast(
-        (np.array(codes, dtype=np.int64), weights, np.array([*languages, "unknown"], dtype=object))
+        (codes, weights, np.array([*languages, "unknown"], dtype=object))
     )
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,16 +176,25 @@ def tag_language(documents: DataFrame, profile: DataFrame, key: str = "doc_id")
             yield pd.DataFrame({key: batch[key], "language": names[found]})
 
     kind = documents.schema[key].dataType.simpleString()
-    flat = documents.select(key, F.coalesce(_flat(), F.lit("")).alias("flat"))
+    flat = _spread(documents).select(key, F.coalesce(_flat(), F.lit("")).alias("flat"))
     return flat.mapInPandas(tag, f"{key} {kind}, language string")
 
 
 def _tag_by_join(documents: DataFrame, profile: DataFrame, key: str) -> DataFrame:
-    grams = documents.select(
-        key, F.explode(F.regexp_extract_all(_flat(), F.lit("(?s)(?=(...))"), F.lit(1))).alias("gram")
-    )
-    weighed = grams.join(profile, "gram").groupBy(key, "lang").agg(F.sum("weight").alias("weight"))
-    best = weighed.groupBy(key).agg(F.max_by("lang", F.struct("weight", "lang")).alias("found"))
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, keys = list(batch["flat"]), batch[key].to_numpy()
+            for start, end in _slices(texts):
+                codes, owner = _trigrams(texts[start:end])
+                pairs, n = np.unique(np.stack([owner, codes]), axis=1, return_counts=True)
+                grams = [_spelled(c) for c in pairs[1].tolist()]
+                yield pd.DataFrame({key: keys[start + pairs[0]], "gram": grams, "n": n})
+
+    kind = documents.schema[key].dataType.simpleString()
+    flat = _spread(documents).select(key, F.coalesce(_flat(), F.lit("")).alias("flat"))
+    grams = flat.mapInPandas(count, f"{key} {kind}, gram string, n long")
+    weighed = grams.join(profile, "gram").groupBy(key, "lang").agg(F.sum(F.col("n") * F.col("weight")).alias("weight"))
+    best = weighed.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("weight"), "lang")).alias("found"))
     return documents.select(key).join(best, key, "left").select(
         key, F.coalesce("found", F.lit("unknown")).alias("language")
     )

@@ -207,6 +207,33 @@ def best_by_overlap(
     return top_per_offer(found.unionByName(open_to_all), k)
 
 
+def best_offers_by_overlap(
+    candidates: DataFrame,
+    offers: DataFrame,
+    k: int = scores.MATCHES_PER_OFFER,
+    min_similarity: float = scores.MIN_SIMILARITY,
+    **how,
+) -> DataFrame:
+    """The ``k`` offers whose skills each candidate covers best, ties by offer id.
+
+    An offer without skills scores 1 with everyone: the ``k`` smallest such ids are
+    found once and handed to every candidate.
+    """
+    asking = offers.filter(F.size("skill_set") > 0)
+    found = overlapping_pairs(candidates, asking, min_similarity, **how)
+    empty = offers.filter(F.size("skill_set") == 0).select("job_offer_id")
+    few = empty.orderBy("job_offer_id").limit(k).agg(F.collect_list("job_offer_id")).scalar()
+    open_to_all = candidates.select(F.explode(few).alias("job_offer_id"), "candidate_id").withColumn(
+        "similarity_score", F.lit(1.0)
+    )
+    best = Window.partitionBy("candidate_id").orderBy(F.desc("similarity_score"), "job_offer_id")
+    return (
+        found.unionByName(open_to_all.select(*found.columns))
+        .withColumn("match_rank", F.row_number().over(best))
+        .filter(F.col("match_rank") <= k)
+    )
+
+
 def overlapping_pairs(
     candidates: DataFrame,
     offers: DataFrame,

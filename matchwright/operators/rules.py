@@ -198,40 +198,63 @@ def rule_score_counts(candidates: DataFrame, offers: DataFrame) -> DataFrame:
     )
 
 
-def rule_matches(candidates: DataFrame, offers: DataFrame) -> DataFrame:
-    """Every rule match of a batch of candidates, such as new arrivals.
+def best_offers_by_rule(
+    candidates: DataFrame, offers: DataFrame, k: int = scores.MATCHES_PER_OFFER
+) -> DataFrame:
+    """The ``k`` best rule matches of every candidate, ties by offer id.
 
-    The result is by its definition nearly as large as batch times offers; for whole
-    tables use ``best_by_rule`` or ``rule_score_counts``. Only result rows are made:
-    candidates with enough years meet the offers through the required years, the others
-    through their category.
+    The mirror of ``best_by_rule``: an offer class sends its ``k`` smallest ids, classes
+    of candidates meet them, and every candidate takes the result of its class. So the
+    output is at most ``k`` rows per candidate, whatever the number of offers.
     """
     mine, theirs = _candidate_classes(candidates), _offer_classes(offers)
-    limits = theirs.agg(F.array_sort(F.collect_set("required"))).scalar()
-    met = (
-        mine.withColumn("limits", limits)
-        .withColumn("required", F.explode(F.filter("limits", lambda r: r <= F.col("years"))))
-        .drop("limits")
-        .join(theirs, "required")
+    by_id = Window.partitionBy("theirs", "required").orderBy("job_offer_id")
+    heads = staged(
+        theirs.withColumn("at", F.row_number().over(by_id)).filter(F.col("at") <= k).drop("at"),
+        "offer-heads",
     )
-    short = (
-        mine.join(_contained_in(theirs, mine), "mine")
-        .join(theirs, "theirs")
-        .filter(F.col("years") < F.col("required"))
+    wanted = mine.select("mine", "years").distinct()
+    fitting = (
+        wanted.join(_contained_in(theirs, mine), "mine")
+        .join(heads, "theirs")
+        .withColumn("score", F.col("base") + _bonus())
+        .select(F.col("mine").alias("goal"), "years", "job_offer_id", "score")
     )
-    columns = ["candidate_id", "job_offer_id", "mine", "theirs", "years", "required"]
-    score = scores.rule_score(F.col("mine"), F.col("theirs"), F.col("years"), F.col("required"))
-    return (
-        met.select(*columns)
-        .unionByName(short.select(*columns))
-        .withColumn("score", score)
-        .filter(F.col("score") >= scores.RULE_MINIMUM)
+    # Offers whose category does not fit count for the bonus alone.
+    by_required = Window.partitionBy("required").orderBy("job_offer_id")
+    easiest = (
+        heads.withColumn("at", F.row_number().over(by_required)).filter(F.col("at") <= k).drop("at")
+    )
+    limits = wanted.agg(F.array_sort(F.collect_set("years"))).scalar()
+    by_years = Window.partitionBy("years").orderBy("job_offer_id")
+    other = (
+        easiest.withColumn("limits", limits)
         .select(
-            "candidate_id",
             "job_offer_id",
-            F.least("score", F.lit(0.95)).alias("similarity_score"),
-            (F.lit(1.0) - F.col("score")).alias("distance"),
+            F.explode(F.filter("limits", lambda y: y >= F.col("required"))).alias("years"),
         )
+        .withColumn("at", F.row_number().over(by_years))
+        .filter(F.col("at") <= k)
+        .join(wanted, "years")
+        .select(F.col("mine").alias("goal"), "years", "job_offer_id", F.lit(0.3 + 0.1).alias("score"))
+    )
+    best = Window.partitionBy("goal", "years").orderBy(F.desc("score"), "job_offer_id")
+    per_class = (
+        fitting.unionByName(other)
+        .groupBy("goal", "years", "job_offer_id")
+        .agg(F.max("score").alias("score"))
+        .filter(F.col("score") >= scores.RULE_MINIMUM)
+        .withColumn("match_rank", F.row_number().over(best))
+        .filter(F.col("match_rank") <= k)
+        .withColumnRenamed("years", "goal_years")
+    )
+    same = F.col("mine").eqNullSafe(F.col("goal")) & (F.col("years") == F.col("goal_years"))
+    return mine.join(per_class, same).select(
+        "candidate_id",
+        "job_offer_id",
+        F.least("score", F.lit(0.95)).alias("similarity_score"),
+        (F.lit(1.0) - F.col("score")).alias("distance"),
+        "match_rank",
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..sources.tables import staged
 from .views import open_offers
 
 NEWEST_OPEN = 50  # fixed value: offers looked at in the second tier
@@ -82,18 +81,19 @@ def last_resort_tier(
 
 
 def fallback_cascade(
-    candidates: DataFrame, offers: DataFrame, engine_matches: DataFrame
+    candidates: DataFrame,
+    offers: DataFrame,
+    engine_matches: DataFrame,
+    min_category: float = scores.MIN_SIMILARITY,
 ) -> DataFrame:
     """Engine matches; the second tier for candidates without one; else the last.
 
-    The second tier serves all candidates or, without open offers, none of them.
+    Each tier serves the candidates that the tiers before it gave nothing to.
     """
-    engine = staged(engine_matches.select(*MATCH_COLUMNS), "engine-matches")
+    engine = engine_matches.select(*MATCH_COLUMNS)
     lost = candidates.join(engine.select("candidate_id").distinct(), "candidate_id", "left_anti")
-    if open_offers(offers, lenient=True).isEmpty():
-        fallback, tier = last_resort_tier(lost, offers, engine), 3
-    else:
-        fallback, tier = category_tier(lost, offers), 2
-    return engine.withColumn("tier", F.lit(1)).unionByName(
-        fallback.select(*MATCH_COLUMNS).withColumn("tier", F.lit(tier))
-    )
+    second = category_tier(lost, offers).filter(F.col("similarity_score") >= min_category)
+    still = lost.join(second.select("candidate_id").distinct(), "candidate_id", "left_anti")
+    tiers = [engine, second, last_resort_tier(still, offers, engine)]
+    found = [t.select(*MATCH_COLUMNS).withColumn("tier", F.lit(i)) for i, t in enumerate(tiers, 1)]
+    return found[0].unionByName(found[1]).unionByName(found[2])

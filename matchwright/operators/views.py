@@ -79,25 +79,28 @@ def browse_matches(
 # -- joins ---------------------------------------------------------------------
 
 
+def _best_first(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """Rows of a key side by side, in order; no global sort over the keys."""
+    return rows.repartition(key).sortWithinPartitions(key, *order)
+
+
 def candidate_matches(
     matches: DataFrame, offers: DataFrame, candidate_id: int | None = None
 ) -> DataFrame:
-    """Matches with their offers, best first; for one candidate or for all."""
+    """Matches with their offers, best first; for one candidate, or for each of all."""
     mine = matches if candidate_id is None else by_key(matches, "candidate_id", candidate_id)
     card = offers.select("job_offer_id", *[c for c in OFFER_CARD if c in offers.columns])
-    order = [] if candidate_id is not None else ["candidate_id"]
-    return mine.join(card, "job_offer_id").orderBy(
-        *order,
-        F.desc("similarity_score"),
-        F.desc_nulls_last("created_at"),
-        "job_offer_id",
-    )
+    order = [F.desc("similarity_score"), F.desc_nulls_last("created_at"), F.col("job_offer_id")]
+    joined = mine.join(card, "job_offer_id")
+    if candidate_id is None:
+        return _best_first(joined, "candidate_id", *order)
+    return joined.orderBy(*order)
 
 
 def job_candidates(
     candidates: DataFrame, matches: DataFrame, job_offer_id: int | None = None
 ) -> DataFrame:
-    """Matched candidates, best first; for one offer or for all."""
+    """Matched candidates, best first; for one offer, or for each of all."""
     mine = matches if job_offer_id is None else by_key(matches, "job_offer_id", job_offer_id)
     scored = mine.select(
         "candidate_id",
@@ -107,10 +110,11 @@ def job_candidates(
         "overall_evaluation",
         F.col("created_at").alias("match_created_at"),
     )
-    order = [] if job_offer_id is not None else ["job_offer_id"]
-    return candidates.join(scored, "candidate_id").orderBy(
-        *order, F.desc("similarity_score"), "candidate_id"
-    )
+    order = [F.desc("similarity_score"), F.col("candidate_id")]
+    joined = candidates.join(scored, "candidate_id")
+    if job_offer_id is None:
+        return _best_first(joined, "job_offer_id", *order)
+    return joined.orderBy(*order)
 
 
 def match_sample(matches: DataFrame, offers: DataFrame, n: int = 5) -> DataFrame:
@@ -212,7 +216,8 @@ def search_candidates(
     The average is ranked to nine decimals: adding in another order changes nothing.
     """
     found = reduce(lambda df, c: df.filter(c), search_filter(**criteria), candidates)
-    totals = matches.groupBy("candidate_id").agg(
+    theirs = matches.join(found.select("candidate_id"), "candidate_id", "left_semi")
+    totals = theirs.groupBy("candidate_id").agg(
         F.avg("similarity_score").alias("avg_match_score"),
         F.count("match_id").alias("total_matches"),
     )

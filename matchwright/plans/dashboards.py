@@ -57,6 +57,7 @@ def global_statistics(
 
 
 def experience_dashboard(candidates: DataFrame) -> dict[str, DataFrame]:
+    """Five results of one table of groups; wrap their use in ``cached(result["groups"])``."""
     groups = analytics.experience_groups(candidates)
     return {
         "groups": groups,
@@ -90,7 +91,8 @@ def recruiter_dashboard(
     matches: DataFrame, offers: DataFrame, client_id: int
 ) -> dict[str, DataFrame]:
     mine = views.by_key(offers, "client_id", client_id)
-    statistics = analytics.offer_statistics(mine, matches)
+    theirs = matches.join(mine.select("job_offer_id"), "job_offer_id", "left_semi")
+    statistics = analytics.offer_statistics(mine, theirs)
     return {
         "offers": views.client_offers(offers, client_id),
         "statistics": statistics.orderBy(F.desc("candidate_count"), "job_offer_id"),

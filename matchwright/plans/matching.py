@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
@@ -52,22 +52,26 @@ def best_matches(
 def selected_matches(
     candidates: DataFrame,
     offers: DataFrame,
+    k: int = scores.MATCHES_PER_OFFER,
     min_similarity: float = scores.MIN_SIMILARITY,
     sigma: float = 1.0,
     zero_vector: str = "match",
 ) -> DataFrame:
-    """Every open offer that is similar enough, for a chosen set of candidates."""
+    """The ``k`` best open offers that are similar enough, for chosen candidates."""
     active = views.open_offers(offers)
-    by_vector = nearest.similar_pairs(
-        _with_vector(candidates), _with_vector(active), min_similarity, sigma, zero_vector
+    by_vector = nearest.best_offers(
+        _with_vector(candidates), _with_vector(active), k, min_similarity, sigma, zero_vector
     )
-    lost_candidates = overlap.overlapping_pairs(
-        _without_vector(candidates), active, min_similarity
+    lost_candidates = overlap.best_offers_by_overlap(
+        _without_vector(candidates), active, k, min_similarity
     )
-    lost_offers = overlap.overlapping_pairs(
-        _with_vector(candidates), _without_vector(active), min_similarity
+    lost_offers = overlap.best_offers_by_overlap(
+        _with_vector(candidates), _without_vector(active), k, min_similarity
     )
-    return by_vector.unionByName(lost_candidates).unionByName(lost_offers)
+    found = by_vector.unionByName(lost_candidates).unionByName(lost_offers).drop("match_rank")
+    best = Window.partitionBy("candidate_id").orderBy(F.desc("similarity_score"), "job_offer_id")
+    ranked = found.withColumn("match_rank", F.row_number().over(best))
+    return ranked.filter(F.col("match_rank") <= k).drop("match_rank")
 
 
 def bucketed(matches: DataFrame, buckets: int) -> DataFrame:
@@ -77,20 +81,35 @@ def bucketed(matches: DataFrame, buckets: int) -> DataFrame:
     )
 
 
+def _layout(path: str) -> str:
+    return f"{path}/_layout"  # readers pass over names with an underscore
+
+
 def create_match_table(matches: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Store matches in ``buckets`` partitions; the number is kept beside them."""
     # Rebalanced: few files per bucket, and a large bucket is split over tasks.
     rows = bucketed(matches, buckets).hint("rebalance", BUCKET)
     rows.write.partitionBy(BUCKET).parquet(path)
+    matches.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(_layout(path))
+
+
+def buckets_of(spark: SparkSession, path: str) -> int:
+    """The number of buckets a stored match table was created with."""
+    return spark.read.schema("buckets int").parquet(_layout(path)).first()["buckets"]
 
 
-def merge_into_match_table(updates: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+def merge_into_match_table(updates: DataFrame, path: str, buckets: int | None = None) -> None:
     """Upsert into a stored match table, rewriting only the partitions it touches.
 
-    Use the number of buckets the table was created with. The merged partitions are
+    The number of buckets is the table's own; another one is refused. Updates by offer
+    touch few buckets, a batch of candidates may touch all. The merged partitions are
     complete in the shared folder before the stored ones are replaced.
     """
-    new = staged(bucketed(updates, buckets), "match-updates")
-    # At most ``buckets`` numbers: the scan then lists only these partitions.
+    own = buckets_of(updates.sparkSession, path)
+    if buckets not in (None, own):
+        raise ValueError(f"{path} has {own} buckets, not {buckets}")
+    new = staged(bucketed(updates, own), "match-updates")
+    # At most ``own`` numbers: the scan then lists only these partitions.
     touched = [row[BUCKET] for row in new.select(BUCKET).distinct().collect()]
     stored = read_table(updates.sparkSession, path).filter(F.col(BUCKET).isin(touched))
     merged = maintenance.upsert_matches(stored, new).hint("rebalance", BUCKET)
@@ -123,7 +142,7 @@ def match_profiles(candidates: DataFrame, offers: DataFrame, **options) -> DataF
     engine = selected_matches(candidates, offers, **options).withColumn(
         "distance", F.lit(1.0) - F.col("similarity_score")
     )
-    return tiers.fallback_cascade(candidates, offers, engine)
+    return tiers.fallback_cascade(candidates, offers, staged(engine, "engine-matches"))
 
 
 def profile_intake(
@@ -145,9 +164,16 @@ def profile_intake(
     return stored, match_profiles(touched, offers, **options)
 
 
-def graded(scored: DataFrame) -> DataFrame:
-    """Scored pairs as match records: clamped score, distance and status."""
-    score = scores.clamp(F.col("similarity_score"))
+def graded(scored: DataFrame, noise: float = 0.0, seed: int = 0) -> DataFrame:
+    """Scored pairs as match records: clamped score, distance and status.
+
+    ``noise`` moves each score by up to so much either way, by pair and seed.
+    """
+    score = F.col("similarity_score")
+    if noise:
+        pair = [F.col("candidate_id"), F.col("job_offer_id")]
+        score = score + scores.jitter(pair, -noise, noise, seed)
+    score = scores.clamp(score)
     return scored.select(
         "candidate_id",
         "job_offer_id",

@@ -17,7 +17,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.maintenance import MATCH_KEYS, MATCH_SCORES, match_rows
 from ..plans import matching
 from ..schema import JOB_MATCHES
-from ..sources.tables import replace_partitions
 
 Matcher = Callable[[DataFrame], DataFrame]
 BATCH = "batch_id"
@@ -47,8 +46,13 @@ def start_matching(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        rows = match_rows(match(batch)).withColumn(BATCH, F.lit(batch_id))
-        replace_partitions(rows, matches_path, [BATCH])
+        batch.persist()  # matchers read it several times
+        try:
+            rows = match_rows(match(batch))
+            # Its own folder is replaced as a whole, also by a result without rows.
+            rows.write.mode("overwrite").parquet(f"{matches_path}/{BATCH}={batch_id}")
+        finally:
+            batch.unpersist()
 
     writer = arrivals.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     timing = {"availableNow": True} if every is None else {"processingTime": every}

@@ -251,11 +251,18 @@ def test_best_by_rule(spark, rule_sides, k):
     assert got == want
 
 
-def test_rule_matches(spark, rule_sides):
+@pytest.mark.parametrize("k", [1, 4, 1000])
+def test_best_offers_by_rule(spark, rule_sides, k):
     candidates, offers, c, o = rule_sides
-    want = sorted((o_, c_, round(s, 6)) for o_, c_, s in brute_rule(candidates, offers))
-    got = rules.rule_matches(c, o).collect()
-    assert sorted((r.job_offer_id, r.candidate_id, round(r.similarity_score, 6)) for r in got) == want
+    want = {}
+    for offer, cand, score in sorted(brute_rule(candidates, offers), key=lambda x: (x[1], -round(x[2], 9), x[0])):
+        mine = want.setdefault(cand, [])
+        if len(mine) < k:
+            mine.append((offer, round(score, 6)))
+    got = {}
+    for r in rules.best_offers_by_rule(c, o, k).orderBy("candidate_id", "match_rank").collect():
+        got.setdefault(r.candidate_id, []).append((r.job_offer_id, round(r.similarity_score, 6)))
+    assert got == want
 
 
 def test_rule_score_counts(spark, rule_sides):
@@ -351,6 +358,10 @@ def test_tiers(spark):
     mine = {r.job_offer_id: r.similarity_score for r in again if r.candidate_id == 3}
     assert 11 not in mine and mine[10] == pytest.approx(0.65) and max(mine.values()) == 1.0
 
+    # A minimum that only some candidates reach: each goes to its own tier.
+    mixed = tiers.fallback_cascade(people, offers, stored, min_category=0.6).collect()
+    assert {(r.candidate_id, r.tier) for r in mixed} == {(3, 1), (1, 2), (2, 3)}
+
     noisy = tiers.category_tier(people, offers, noise=0.3, seed=1).collect()
     assert all(0.4 <= r.similarity_score <= 0.95 for r in noisy)
 

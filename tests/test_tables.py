@@ -191,6 +191,35 @@ def test_merge_rewrites_only_touched_partitions(spark, tmp_path):
     assert got[(1, 3)] == (0.9, T1, T2) and got[(2, 3)] == (0.4, T2, T2)
 
 
+def test_the_table_knows_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "matches")
+    stored = match(spark, [(1, o, 0.5, T1) for o in range(50)])
+    matching.create_match_table(stored, path, 16)
+    again = match(spark, [(1, o, 0.9, T2) for o in range(50)])
+    with pytest.raises(ValueError):
+        matching.merge_into_match_table(again, path, 8)
+    matching.merge_into_match_table(again, path)
+    got = seen(spark.read.parquet(path))
+    assert spark.read.parquet(path).count() == len(got) == 50
+    assert {v[0] for v in got.values()} == {0.9}
+
+
+def test_a_repeated_batch_without_result_leaves_nothing(spark, tmp_path):
+    arriving, path = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(1,), (2,)], "candidate_id long").write.parquet(arriving)
+    rows = arrivals.file_arrivals(spark, arriving, spark.read.parquet(arriving).schema)
+
+    def found(minimum):
+        return lambda batch: batch.select(
+            "candidate_id", F.lit(7).cast("long").alias("job_offer_id"), F.lit(0.5).alias("similarity_score")
+        ).filter(F.col("similarity_score") >= minimum)
+
+    # The same batch number twice, as after a failure: fresh checkpoints replay it.
+    for step, minimum, left in (("a", 0.0, 2), ("b", 0.9, 0)):
+        arrivals.start_matching(rows, found(minimum), path, str(tmp_path / step)).awaitTermination()
+        assert arrivals.stored_matches(spark, path).count() == left
+
+
 def test_match_table_jobs(spark):
     people = spark.createDataFrame(
         [(1, [1.0, 0.0], ["a"]), (2, [0.0, 1.0], ["b"])],

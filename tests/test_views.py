@@ -250,12 +250,31 @@ def test_language_of_unseen_texts(spark):
     tagged = docs.tag_language(rest, docs.language_profile(train)).join(rest, "doc_id")
     right, whole = tagged.filter("language = lang").count(), rest.count()
     assert right >= 0.95 * whole
-    joined = docs._tag_by_join(rest, docs.language_profile(train), "doc_id")
+    joined = docs.tag_language(rest, docs.language_profile(train), broadcast_rows=0)
     assert rows(joined) == rows(tagged.select("doc_id", "language"))
     blank = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")
     assert {r.language for r in docs.tag_language(blank, docs.language_profile(train)).collect()} == {"unknown"}
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 1 << 20])
+def test_language_ties_and_wide_characters(spark, broadcast_rows):
+    known = spark.createDataFrame([("zz", "abc"), ("aa", "abc"), ("em", "x\U0001f600yz")], "lang string, text string")
+    seen = spark.createDataFrame([(1, "abc"), (2, "\U0001f600yz"), (3, "qqq")], "doc_id long, text string")
+    found = docs.tag_language(seen, docs.language_profile(known), broadcast_rows=broadcast_rows)
+    assert {r.doc_id: r.language for r in found.collect()} == {1: "aa", 2: "em", 3: "unknown"}
+
+
+def test_diversity_of_nothing(spark):
+    none = spark.createDataFrame([], "experience_years int, job_category string, education_level string")
+    assert [tuple(r) for r in a.diversity(none).collect()] == [(0, 0, False, False)]
+
+
+def test_one_client_and_found_candidates_are_joined_before_aggregation(spark, people):
+    matches = spark.createDataFrame([(1, 1, "m", 0.5)], "candidate_id long, job_offer_id long, match_id string, similarity_score double")
+    p = plan(views.search_candidates(people, matches, 50, min_experience=3))
+    assert "LeftSemi" in p
+
+
 # -- plans --------------------------------------------------------------------------
 
 
