@@ -4,7 +4,7 @@ A text is lower-cased, what is not a letter becomes a blank, and its byte trigra
 counted in ``DIMENSIONS`` hashed cells. Counts are damped by logarithm, weighed by
 inverse document frequency and normalised. Document frequencies are counted over all
 documents one may learn from. Centroids come from a sample of at most
-``per_language`` documents of each language (those with the smallest text hash), split
+``per_language`` distinct texts of each language (those with the smallest hash), split
 by spherical k-means into ``clusters``. A text gets the language of the nearest centroid
 by cosine; it is rejected if it is farther from it than the language's farthest sampled
 member plus a margin, and than ``least_limit``: short texts are far from every centroid.
@@ -14,7 +14,7 @@ The sample is a bound on the fit only: each language is fitted in one task on at
 
 Rows. NULL texts and texts without a letter are ``und`` with score 0 and rejected. Rows
 with NULL lang are predicted, not learned from. With nothing to learn from everything is
-``und``. Repeated rows are learned from as they come. Only ``doc_id`` (to tell which rows
+``und``. Repeated rows count in the document frequencies and once in the sample. Only ``doc_id`` (to tell which rows
 one may learn from), ``text`` and ``lang`` are read; a prediction sees the text alone.
 """
 
@@ -116,12 +116,19 @@ def fit(
     idf = (np.log((1 + flat[-1]) / (1 + flat[:-1])) + 1).astype(np.float32)
 
     def one_language(rows: pd.DataFrame) -> pd.DataFrame:
-        centroids, cosine = cluster(vectors(rows["text"].tolist(), idf), clusters)
+        texts = sorted(rows["text"])  # the same start whatever order rows arrive in
+        centroids, cosine = cluster(vectors(texts, idf), clusters)
         limit = max(least_limit, 1.0 - float(cosine.max(axis=1).min()) + margin)
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "k": range(len(centroids)), "limit": limit, "centroid": [c.tolist() for c in centroids]})
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = learned.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language).select("lang", "text")
+    # The largest sampled hash of each language is found on hashes alone; texts follow.
+    hashed = learned.withColumn("hash", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy("hash")
+    first = hashed.select("lang", "hash").distinct().withColumn("place", F.row_number().over(order))
+    limits = first.filter(F.col("place") <= per_language).groupBy("lang").agg(F.max("hash").alias("last"))
+    limits = spark.createDataFrame(limits.collect(), "lang string, last long")  # one row per language
+    chosen = hashed.join(F.broadcast(limits), "lang").filter(F.col("hash") <= F.col("last"))
+    sample = chosen.dropDuplicates(["lang", "hash"]).select("lang", "text")
     fitted = sample.groupBy("lang").applyInPandas(one_language, "lang string, k int, limit double, centroid array<float>")
     rows = sorted(fitted.collect(), key=lambda r: (r["lang"], r["k"]))
     return Model([r["lang"] for r in rows], np.array([r["centroid"] for r in rows], np.float32), np.array([r["limit"] for r in rows]), idf)
