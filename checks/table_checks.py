@@ -175,6 +175,13 @@ def io08_locations(t: Tables) -> DataFrame:
     return m.add_locations(_region(t), _places(t))
 
 
+def io08_continents(t: Tables) -> DataFrame:
+    """Continents come with the places, and are Unknown where none is given."""
+    region = _region(t).withColumn("continent", F.lit("Old"))
+    places = _places(t).withColumn("continent", F.when(F.col("country") != "", F.concat(F.lit(" of "), "country")))
+    return m.add_locations(region, places)
+
+
 def io08_location_keys(t: Tables) -> DataFrame:
     grown = m.add_locations(_region(t), _places(t))
     return m.with_location_id(_places(t), grown).select("candidate_id", "location_id")
@@ -252,6 +259,48 @@ def s01_new_profiles(t: Tables) -> DataFrame:
     return _run(t, _arriving(t, "candidate_id"), match)
 
 
+def s01_stored_profiles(t: Tables) -> DataFrame:
+    """The candidate table after suppliers have arrived as profiles, with their places."""
+    people, places, out, checkpoint = (
+        src.new_folder(t.spark, label) for label in ("people", "places", "intake-matches", "intake")
+    )
+    skills = F.struct(*[F.array().cast("array<string>").alias(c) for c in ("technical_skills", "soft_skills")])
+    vector = F.lit(None).cast("array<double>")
+    t.candidates().withColumns(
+        {"skills": skills, "skills_vector": vector, "location_id": F.lit(None).cast("bigint")}
+    ).write.parquet(people)
+    _region(t).write.parquet(places)
+    source = t.raw("supplier")
+    rows = arrivals.file_arrivals(t.spark, f"{t.folder}/supplier*.parquet", source.schema).select(
+        F.concat(F.lower("s_name"), F.lit("@example.org")).alias("email"),
+        F.col("s_name").alias("first_name"),
+        F.concat(F.lit("Town "), F.col("s_nationkey").cast("string")).alias("city"),
+        F.lit("Somewhere").alias("country"),
+        F.col("s_suppkey").alias("arrival"),
+        skills.alias("skills"),
+        vector.alias("skills_vector"),
+        F.lit(None).cast("string").alias("job_category"),
+    )
+    none = _standing(t, "job_offer_id").filter("false")
+    arrivals.start_intake(rows, people, places, lambda: none, out, checkpoint, ["arrival"]).awaitTermination()
+    return src.read_table(t.spark, people).select("candidate_id", "email", "first_name", "city", "location_id")
+
+
+S01_STORED = """, base AS (SELECT DISTINCT CAST(n_nationkey + 1 AS BIGINT) AS location_id, n_name AS city,
+                    r_name AS country
+             FROM supplier JOIN nation ON s_nationkey = n_nationkey
+                           JOIN region ON n_regionkey = r_regionkey),
+grown AS (SELECT * FROM base UNION ALL
+  SELECT (SELECT max(location_id) FROM base) + row_number() OVER (ORDER BY md5(city || chr(31) || country)), city, country
+  FROM (SELECT DISTINCT 'Town ' || s_nationkey AS city, 'Somewhere' AS country FROM supplier)),
+everyone AS (
+  SELECT candidate_id, email, first_name, city, country FROM fx_candidates
+  UNION ALL
+  SELECT (SELECT max(candidate_id) FROM fx_candidates) + row_number() OVER (ORDER BY md5(lower(s_name) || '@example.org')),
+         lower(s_name) || '@example.org', s_name, 'Town ' || s_nationkey, 'Somewhere' FROM supplier)
+SELECT candidate_id, email, first_name, city, location_id FROM everyone LEFT JOIN grown USING (city, country)"""
+
+
 def s02_new_offers(t: Tables) -> DataFrame:
     match = arrivals.on_new_offers(lambda: _standing(t, "candidate_id"))
     return _run(t, _arriving(t, "job_offer_id"), match)
@@ -270,6 +319,12 @@ CHECKS = {
     ),
     "io07_upsert_candidates": (io07_upsert_candidates, sql(IO07)),
     "io08_locations": (io08_locations, sql(_GROWN + " SELECT * FROM grown")),
+    "io08_continents": (
+        io08_continents,
+        sql(_GROWN + """ SELECT g.*, CASE WHEN b.location_id IS NOT NULL THEN 'Old'
+              WHEN g.country = 'Unknown' THEN 'Unknown' ELSE 'of ' || g.country END AS continent
+            FROM grown g LEFT JOIN base b USING (location_id)"""),
+    ),
     "io08_location_keys": (
         io08_location_keys,
         sql(_GROWN + " SELECT candidate_id, location_id FROM places JOIN grown USING (city, country)"),
@@ -279,6 +334,7 @@ CHECKS = {
         s01_new_profiles,
         f"SELECT candidate_id, job_offer_id, similarity_score FROM ({M19})",
     ),
+    "s01_stored_profiles": (s01_stored_profiles, sql(S01_STORED)),
     "s02_new_offers": (
         s02_new_offers,
         f"SELECT candidate_id, job_offer_id, similarity_score FROM ({M18})",

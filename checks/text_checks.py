@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchwright.functions import scores, text, vectors
 from matchwright.operators import documents as docs
 from matchwright.operators.analytics import offer_statistics
+from matchwright.sources.tables import new_folder
 
 from .fixtures import Tables, sql
 
@@ -336,6 +337,22 @@ def d01_sorted_files(t: Tables) -> DataFrame:
     ).unionByName(rejected.select("path", "extension", F.lit(None).cast("string").alias("digest"), "reason"))
 
 
+def d01_read_files(t: Tables) -> DataFrame:
+    """Documents written as one text file each, and read as files."""
+    path = new_folder(t.spark, "files")
+    texts = t.raw("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts.repartition("doc_id").write.partitionBy("doc_id").text(path)
+    kept, rejected = docs.sort_files(docs.read_files(t.spark, path))
+    doc_id = F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id")
+    found = kept.select(doc_id, "extension", F.md5(F.col("text").cast("binary")).alias("digest"), F.lit(None).cast("string").alias("reason"))
+    return found.unionByName(rejected.select(doc_id, "extension", F.lit(None).cast("string").alias("digest"), "reason"))
+
+
+D01_FILES = r"""SELECT doc_id, 'txt' AS extension,
+  CASE WHEN regexp_matches(text, '\S') THEN md5(text || chr(10)) END AS digest,
+  CASE WHEN NOT coalesce(regexp_matches(text, '\S'), false) THEN 'no text in file' END AS reason
+FROM documents"""
+
 D01 = r"""SELECT CAST(doc_id AS VARCHAR) AS path,
   CASE lang WHEN 'en' THEN 'txt' WHEN 'fr' THEN 'pdf' WHEN 'de' THEN 'docx' ELSE '' END AS extension,
   CASE WHEN lang = 'en' AND regexp_matches(text, '\S') THEN md5(text) END AS digest,
@@ -519,6 +536,7 @@ CHECKS = {
         d03_has_text,
         r"SELECT doc_id, n_chars FROM documents WHERE regexp_matches(text, '\S')",
     ),
+    "d01_read_files": (d01_read_files, D01_FILES),
     "d04_language": (d04_language, D04),
     "d04_language_by_join": (d04_language_by_join, D04),
     "d04_language_of_turns": (d04_language_of_turns, D04_TURNS),

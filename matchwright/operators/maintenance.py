@@ -140,18 +140,18 @@ def known_or_new(
 
 
 def locations(places: DataFrame) -> DataFrame:
-    """City and country as stored: trimmed, Unknown where empty."""
-    return places.select(
-        text.text_or(text.strip(F.col("city")), UNKNOWN).alias("city"),
-        text.text_or(text.strip(F.col("country")), UNKNOWN).alias("country"),
-    )
+    """City, country and, where given, continent as stored: trimmed, Unknown where empty."""
+    names = [c for c in ("city", "country", "continent") if c in places.columns]
+    return places.select(*[text.text_or(text.strip(F.col(c)), UNKNOWN).alias(c) for c in names])
 
 
 def add_locations(region: DataFrame, places: DataFrame, now: Column | None = None) -> DataFrame:
     """The location table with every place of ``places`` in it."""
     wanted = locations(places)
+    if "continent" not in region.columns:
+        wanted = wanted.drop("continent")
     grown = known_or_new(
-        region, wanted, "location_id", [F.col("city"), F.col("country")], ["city", "country"]
+        region, wanted, "location_id", [F.col("city"), F.col("country")], wanted.columns
     )
     at = F.current_timestamp() if now is None else now
     filled = {"continent": F.lit(UNKNOWN), "created_at": at, "updated_at": at}

@@ -2,85 +2,117 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import staged
+
+
+class _Bracket(NamedTuple):
+    """Values above ``low`` up to ``high``: how many come before them, and how many they are."""
+
+    low: float
+    high: float
+    ahead: int
+    inside: int
+
+
+def _within(v: Column, bracket: _Bracket) -> Column:
+    return (v > bracket.low) & (v <= bracket.high)
+
+
+def _narrowed(values: DataFrame, wanted: dict[int, _Bracket], spread: float) -> dict[int, _Bracket]:
+    """Each rank's bracket cut down by a sketch of the values in it, counted exactly.
+
+    The middle between smallest and largest value is a cut, too, so brackets of more
+    than one value always shrink. One row with a few numbers per rank reaches the
+    driver, twice.
+    """
+    ranks = sorted(wanted)
+    v = F.col("v")
+    sketches = []
+    for rank in ranks:
+        bracket = wanted[rank]
+        share = (rank - bracket.ahead + 0.5) / bracket.inside
+        marks = [max(0.0, share - spread), min(1.0, share + spread)]
+        own = F.when(_within(v, bracket), v)
+        sketches.append(F.percentile_approx(own, marks, int(8 / spread)).alias(f"c{rank}"))
+        sketches.append(F.min(own).alias(f"m{rank}"))
+    sketched = values.agg(*sketches).first()
+    cuts = {r: [*sketched[f"c{r}"], sketched[f"m{r}"] / 2 + wanted[r].high / 2] for r in ranks}
+    counts = [F.count_if(v <= c).alias(f"n{rank}_{i}") for rank in ranks for i, c in enumerate(cuts[rank])]
+    upto = values.agg(*counts).first()
+    out = {}
+    for rank in ranks:
+        edges = [(wanted[rank].low, wanted[rank].ahead), *[(c, upto[f"n{rank}_{i}"]) for i, c in enumerate(cuts[rank])]]
+        edges.append((wanted[rank].high, wanted[rank].ahead + wanted[rank].inside))
+        edges = sorted(set(edges))
+        for (low, ahead), (high, upto_high) in zip(edges, edges[1:]):
+            if ahead <= rank < upto_high:
+                out[rank] = _Bracket(low, high, ahead, upto_high - ahead)
+    return out
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[float], spread: float = 1 / 1024
+    df: DataFrame,
+    value: str,
+    probabilities: Sequence[float],
+    spread: float = 1 / 1024,
+    task_rows: int = 1 << 20,
 ) -> DataFrame:
     """Linear-interpolated quantiles of a numeric column: ``probability, quantile``.
 
-    A sketch brackets each wanted quantile by the values ``spread`` below and above it.
-    Counting the rows between the brackets tells exactly where the wanted ranks lie, and
-    only the few rows there are grouped by value and ordered. The sketch decides how
-    much work is left, never the result.
+    A sketch brackets each wanted rank by values a little below and above it, and the
+    rows up to both are counted. That is repeated inside the bracket until it holds at
+    most ``task_rows`` distinct values' worth of rows, or one value; only then are the
+    values of a bracket grouped and ordered. The sketch decides how much work is left,
+    never the result. The column is read anew in each round, and never written.
     """
-    values = staged(
-        df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull()),
-        "values",
-    )
-    marks = sorted(
-        {min(max(p + side, 0.0), 1.0) for p in probabilities for side in (-spread, spread)}
-    )
-    cuts = values.agg(
-        F.array_sort(F.array_distinct(F.percentile_approx("v", marks, int(8 / spread))))
-    ).scalar()
-    placed = (
-        values.withColumn("cuts", cuts)
-        .withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("v"))))
-        .drop("cuts")
-    )
-
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        placed.groupBy("bucket")
-        .agg(F.count("*").alias("inside"))
-        .withColumn("ahead", F.coalesce(F.sum("inside").over(before), F.lit(0)))
-    )
-    size = values.agg(F.count("*")).scalar()
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
-    ranks = (
-        df.sparkSession.range(1)
-        .select(wanted.alias("probability"))
-        .withColumn("place", F.col("probability") * (size - 1))
-        .withColumn("rank", F.explode(F.array(F.floor("place"), F.ceil("place"))))
-        .distinct()
-    )
-    # At most two ranks per probability, so the list fits in one value.
-    listed = ranks.agg(F.collect_list(F.struct("probability", "place", "rank"))).scalar()
-    held_here = F.filter(
-        "listed",
-        lambda r: (r["rank"] >= F.col("ahead"))
-        & (r["rank"] < F.col("ahead") + F.col("inside")),
-    )
-    needed = (
-        totals.withColumn("listed", listed)
-        .select("bucket", "ahead", F.explode(held_here).alias("r"))
-        .select("bucket", "ahead", "r.*")
-    )
-    hit = needed.select("bucket", "ahead").distinct()
-    upto = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = (
-        placed.join(hit, "bucket")
-        .groupBy("bucket", "ahead", "v")
-        .agg(F.count("*").alias("n"))
-        .withColumn("low", F.col("ahead") + F.coalesce(F.sum("n").over(upto), F.lit(0)))
-        .select(F.col("bucket").alias("at"), "v", "low", (F.col("low") + F.col("n")).alias("high"))
-    )
-    found = needed.join(
-        ordered,
-        (F.col("bucket") == F.col("at"))
-        & (F.col("rank") >= F.col("low"))
-        & (F.col("rank") < F.col("high")),
-    )
-    lower, upper = F.min_by("v", "rank"), F.max_by("v", "rank")
-    share = F.max("place") - F.floor(F.max("place"))
-    return found.groupBy("probability").agg((lower + (upper - lower) * share).alias("quantile"))
+    values = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    size, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    spark = df.sparkSession
+    if not size:
+        return spark.createDataFrame([], "probability double, quantile double")
+    places = {float(p): p * (size - 1) for p in probabilities}
+    ranks = {r for place in places.values() for r in (math.floor(place), math.ceil(place))}
+    found: dict[int, float] = {}
+    whole = _Bracket(-math.inf, high, 0, size)
+    open_ = {rank: whole for rank in ranks}
+    while large := {r: b for r, b in open_.items() if b.inside > task_rows}:
+        narrowed = _narrowed(values, large, spread)
+        # A heavy value fills its bracket alone: then it is the answer.
+        own = {r: F.when(_within(F.col("v"), b), F.col("v")) for r, b in narrowed.items()}
+        ends = values.agg(*[f(c).alias(f"{f.__name__}{r}") for r, c in own.items() for f in (F.min, F.max)]).first()
+        for rank, bracket in narrowed.items():
+            open_[rank] = bracket._replace(high=ends[f"max{rank}"])
+            if ends[f"min{rank}"] == ends[f"max{rank}"]:
+                found[rank] = ends[f"max{rank}"]
+                del open_[rank]
+    if open_:
+        brackets = sorted(set(open_.values()))
+        # Brackets of neighbouring ranks may overlap, so a value goes to each of its own.
+        own = F.filter(
+            F.array(*[F.when(_within(F.col("v"), b), F.lit(i)) for i, b in enumerate(brackets)]),
+            lambda i: i.isNotNull(),
+        )
+        upto = Window.partitionBy("at").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+        ordered = (
+            values.select("v", F.explode(own).alias("at"))
+            .groupBy("at", "v")
+            .agg(F.count("*").alias("n"))
+            .withColumn("low", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+        )
+        wanted = spark.createDataFrame([(r, brackets.index(b), r - b.ahead) for r, b in open_.items()], "rank long, w_at int, inside long")
+        rows = wanted.join(ordered, (F.col("w_at") == F.col("at")) & (F.col("inside") >= F.col("low")) & (F.col("inside") < F.col("low") + F.col("n")))
+        found |= {r["rank"]: r["v"] for r in rows.select("rank", "v").collect()}
+    quantiles = []
+    for p, place in places.items():
+        below, above = found[math.floor(place)], found[math.ceil(place)]
+        quantiles.append((p, below + (above - below) * (place - math.floor(place))))
+    return spark.createDataFrame(quantiles, "probability double, quantile double")
 
 
 def _finite(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..operators import maintenance, nearest, overlap, tiers, views
-from ..sources.tables import read_table, replace_partitions, staged
+from ..sources.tables import job_folder, read_table, replace_partitions, staged
 
 BUCKET = "offer_bucket"
 BUCKETS = 256
@@ -108,12 +108,13 @@ def merge_into_match_table(updates: DataFrame, path: str, buckets: int | None =
     own = buckets_of(updates.sparkSession, path)
     if buckets not in (None, own):
         raise ValueError(f"{path} has {own} buckets, not {buckets}")
-    new = staged(bucketed(updates, own), "match-updates")
-    # At most ``own`` numbers: the scan then lists only these partitions.
-    touched = [row[BUCKET] for row in new.select(BUCKET).distinct().collect()]
-    stored = read_table(updates.sparkSession, path).filter(F.col(BUCKET).isin(touched))
-    merged = maintenance.upsert_matches(stored, new).hint("rebalance", BUCKET)
-    replace_partitions(staged(merged, "merged-matches"), path, [BUCKET])
+    with job_folder(updates.sparkSession):
+        new = staged(bucketed(updates, own), "match-updates")
+        # At most ``own`` numbers: the scan then lists only these partitions.
+        touched = [row[BUCKET] for row in new.select(BUCKET).distinct().collect()]
+        stored = read_table(updates.sparkSession, path).filter(F.col(BUCKET).isin(touched))
+        merged = maintenance.upsert_matches(stored, new).hint("rebalance", BUCKET)
+        replace_partitions(staged(merged, "merged-matches"), path, [BUCKET])
 
 
 def refresh_all(candidates: DataFrame, offers: DataFrame, **options) -> DataFrame:
@@ -150,14 +151,20 @@ def profile_intake(
     profiles: DataFrame,
     offers: DataFrame,
     arrival: list[str],
+    region: DataFrame | None = None,
     **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Arriving profiles stored by e-mail and matched at once.
 
     Returns the new content of the candidate table and the matches, with their tier, of
-    every candidate that was inserted or updated.
+    every candidate that was inserted or updated. With a location table (``region``,
+    grown by the places of the profiles, see ``maintenance.add_locations``) every
+    candidate gets its ``location_id``.
     """
-    stored = staged(maintenance.upsert_candidates(candidates, profiles, arrival), "candidates")
+    merged = maintenance.upsert_candidates(candidates, profiles, arrival)
+    if region is not None:
+        merged = maintenance.with_location_id(merged, region).select(*candidates.columns)
+    stored = staged(merged, "candidates")
     emails = profiles.select(text.strip(F.col("email")).alias("email")).distinct()
     skills = text.merged_skill_set(F.col("skills.technical_skills"), F.col("skills.soft_skills"))
     touched = stored.join(emails, "email", "left_semi").withColumn("skill_set", skills)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,26 +15,47 @@ from pyspark.sql import types as T
 from ..functions import scores
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
-_local_folder: list[str] = []
+_jobs: list[str] = []  # folders of the running jobs, innermost last
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
-    Where the setting is absent a temporary folder serves, but only in local mode.
+    Where the setting is absent, as in a local trial, the session gets a folder of its
+    own; a cluster has to name one.
     """
     named = spark.conf.get(CHECKPOINT_SETTING, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
-    if not _local_folder:
-        _local_folder.append(tempfile.mkdtemp(prefix="matchwright-"))
-    return _local_folder[0]
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
+        named = tempfile.mkdtemp(prefix="matchwright-")
+        spark.conf.set(CHECKPOINT_SETTING, named)
+    return named.rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A name nothing has used yet, inside the running job's folder if there is one."""
+    return f"{_jobs[-1] if _jobs else shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def job_folder(spark: SparkSession) -> Iterator[str]:
+    """What is staged inside goes to one folder, deleted when the job is over.
+
+    Results have to be written or collected inside.
+    """
+    path = new_folder(spark, "job")
+    _jobs.append(path)
+    try:
+        yield path
+    finally:
+        _jobs.remove(path)
+        delete_folder(spark, path)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -112,14 +134,16 @@ def append_rows(df: DataFrame, path: str) -> None:
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Put ``df`` in place of the table at ``path``, which ``df`` may read from.
 
-    The new content is complete in the shared folder before the old one goes, so a
-    failure in between loses nothing.
+    The new content is complete in the shared folder before the old one goes. The
+    replacement itself is not atomic: Parquet folders have no transactions, so readers
+    must wait, and after a failure while writing the staged copy is what holds the rows.
     """
     fresh = staged(df, "replacement")
     writer = fresh.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    delete_folder(df.sparkSession, fresh.inputFiles()[0].rpartition("/")[0])
     return read_table(df.sparkSession, path, None if partition_by else df.schema)
 
 

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.maintenance import MATCH_KEYS, MATCH_SCORES, match_rows
+from ..operators.maintenance import MATCH_KEYS, MATCH_SCORES, add_locations, match_rows
 from ..plans import matching
 from ..schema import JOB_MATCHES
+from ..sources.tables import job_folder, read_table, replace_table
 
 Matcher = Callable[[DataFrame], DataFrame]
 BATCH = "batch_id"
@@ -48,9 +49,10 @@ def start_matching(
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # matchers read it several times
         try:
-            rows = match_rows(match(batch))
-            # Its own folder is replaced as a whole, also by a result without rows.
-            rows.write.mode("overwrite").parquet(f"{matches_path}/{BATCH}={batch_id}")
+            with job_folder(batch.sparkSession):
+                rows = match_rows(match(batch))
+                # Its own folder is replaced as a whole, also by a result without rows.
+                rows.write.mode("overwrite").parquet(f"{matches_path}/{BATCH}={batch_id}")
         finally:
             batch.unpersist()
 
@@ -59,6 +61,51 @@ def start_matching(
     return writer.trigger(**timing).start()
 
 
+def start_intake(
+    arrivals: DataFrame,
+    candidates_path: str,
+    region_path: str,
+    read_offers: Callable[[], DataFrame],
+    matches_path: str,
+    checkpoint: str,
+    arrival: list[str],
+    every: str | None = None,
+    **options,
+) -> StreamingQuery:
+    """Store each batch of profiles by e-mail, with its place, and match it.
+
+    The candidate and location tables are replaced batch by batch; a repeated batch
+    finds its e-mails known and writes the same rows again.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.persist()
+        try:
+            with job_folder(spark):
+                candidates = read_table(spark, candidates_path)
+                region = replace_table(add_locations(read_table(spark, region_path), batch), region_path)
+                stored, found = matching.profile_intake(
+                    candidates, batch, read_offers(), arrival, region, **options
+                )
+                match_rows(found).write.mode("overwrite").parquet(f"{matches_path}/{BATCH}={batch_id}")
+                replace_table(stored, candidates_path)
+        finally:
+            batch.unpersist()
+
+    writer = arrivals.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    timing = {"availableNow": True} if every is None else {"processingTime": every}
+    return writer.trigger(**timing).start()
+
+
+def fold_batches(spark: SparkSession, matches_path: str, table_path: str) -> None:
+    """Merge the newest version of each pair into the bucketed match table.
+
+    Batches that are folded can be deleted; run it while the stream rests.
+    """
+    matching.merge_into_match_table(current_matches(stored_matches(spark, matches_path)), table_path)
+
+
 def on_new_profiles(read_offers: Callable[[], DataFrame], **options) -> Matcher:
     """Arriving candidates against the open offers of that moment, with fallback tiers."""
     return lambda batch: matching.match_profiles(batch, read_offers(), **options)

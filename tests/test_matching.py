@@ -318,6 +318,18 @@ def test_exact_quantiles(spark, spread):
     assert [got[x] for x in p] == pytest.approx(list(np.quantile(values, p)))
 
 
+@pytest.mark.parametrize("task_rows", [1, 50])
+def test_brackets_are_narrowed_until_they_are_small(spark, task_rows):
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.normal(size=3000), np.full(2000, 0.25)])  # and one heavy value
+    df = spark.createDataFrame([(float(x),) for x in values], "v double")
+    p = [0.0, 0.1, 0.5, 0.55, 0.9, 1.0]
+    found = quantiles.exact_quantiles(df, "v", p, spread=1 / 32, task_rows=task_rows)
+    got = {r.probability: r["quantile"] for r in found.collect()}
+    assert [got[x] for x in p] == pytest.approx(list(np.quantile(values, p)))
+
+
+
 # -- tiers --------------------------------------------------------------------------
 
 

@@ -220,6 +220,39 @@ def test_a_repeated_batch_without_result_leaves_nothing(spark, tmp_path):
         assert arrivals.stored_matches(spark, path).count() == left
 
 
+def test_job_folder_is_empty_afterwards(spark):
+    with src.job_folder(spark) as folder:
+        assert src.staged(spark.range(3), "x").count() == 3
+        assert os.listdir(folder)
+    assert not os.path.exists(folder)
+
+
+def test_profiles_are_stored_with_their_place(spark, tmp_path):
+    people, places = str(tmp_path / "people"), str(tmp_path / "places")
+    arriving, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(
+        [(1, "a@x.org", "Ann", "Tunis", "Tunisia", None, None)],
+        "candidate_id long, email string, job_category string, city string, country string, skills_vector array<double>, location_id long",
+    ).withColumn("skills", F.struct(F.array(F.lit("s")).alias("technical_skills"), F.array(F.lit("t")).alias("soft_skills"))).write.parquet(people)
+    spark.createDataFrame([(4, "Tunis", "Tunisia", "Africa", T1, T1)], "location_id long, city string, country string, continent string, created_at timestamp, updated_at timestamp").write.parquet(places)
+    spark.createDataFrame(
+        [("a@x.org", "Sales", " Lyon", "France", "Europe", [1.0, 0.0], 1), ("b@x.org", "IT", "Tunis", "Tunisia", None, [0.0, 1.0], 2)],
+        "email string, job_category string, city string, country string, continent string, skills_vector array<double>, at int",
+    ).withColumn("skills", F.struct(F.array(F.lit("s")).alias("technical_skills"), F.array(F.lit("t")).alias("soft_skills"))).write.parquet(arriving)
+    offers = spark.createDataFrame(
+        [(10, [1.0, 0.0], ["s"], "active", "Sales", T1)],
+        "job_offer_id long, skills_vector array<double>, skill_set array<string>, status string, job_category string, created_at timestamp",
+    )
+    rows = arrivals.file_arrivals(spark, arriving, spark.read.parquet(arriving).schema)
+    for step in ("a", "b"):  # the second run repeats the batch
+        arrivals.start_intake(rows, people, places, lambda: offers, out, str(tmp_path / step), ["at"]).awaitTermination()
+        stored = {r.email: r for r in spark.read.parquet(people).collect()}
+        assert {e: (r.candidate_id, r.location_id, r.job_category) for e, r in stored.items()} == {"a@x.org": (1, 5, "Sales"), "b@x.org": (2, 4, "IT")}
+        assert {(r.city, r.country): r.continent for r in spark.read.parquet(places).collect()} == {("Tunis", "Tunisia"): "Africa", ("Lyon", "France"): "Europe"}
+        found = {(r.candidate_id, r.job_offer_id): round(r.similarity_score, 6) for r in arrivals.stored_matches(spark, out).collect()}
+        assert found[(1, 10)] == 1.0
+
+
 def test_match_table_jobs(spark):
     people = spark.createDataFrame(
         [(1, [1.0, 0.0], ["a"]), (2, [0.0, 1.0], ["b"])],
