@@ -16,8 +16,8 @@ verified on all 64 bits inside the join.
 
 Dense groups would verify all pairs of near copies. So a first pass links every
 fingerprint to the smallest one in its bucket of two neighbouring partitions, verified,
-and what is thereby known to be connected is left out of the join's result. No link is
-lost: only pairs whose components already agree are skipped.
+and pairs under one leader, which are thereby connected, are left out of the join's
+result. The components are those of the leaders' links and the join's links together.
 
 Rows. NULL and empty texts have fingerprint zero and are linked like any other. Repeated
 rows and copies share a fingerprint. A component is named by its smallest doc_id; NULL
@@ -177,13 +177,18 @@ def linked(distinct: DataFrame, radius: int = 4) -> DataFrame:
     wide = [groups[i] + groups[(i + 1) % len(groups)] for i in range(len(groups) if len(groups) > 2 else 1)]
     buckets = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), _key(F.col("fp"), bits[: BITS // 2]).alias("key")) for i, bits in enumerate(wide)])).alias("x")).select("fp", "x.part", "x.key")
     leaders = buckets.groupBy("part", "key").agg(F.min("fp").alias("leader"))
-    known = (
+    led = staged(
         buckets.join(leaders, ["part", "key"])
         .filter((F.col("fp") != F.col("leader")) & (_distance("fp", "leader") <= radius))
-        .select(F.col("fp").alias("a"), F.col("leader").alias("b"))
+        .select("fp", "leader")
+        .distinct(),
+        "simhash-leaders",
     )
-    first = components(known)
-    named = staged(distinct.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("known")), "fingerprints")
+    # A fingerprint goes under its smallest leader; all under one leader are connected.
+    under = led.groupBy("fp").agg(F.min("leader").alias("under"))
+    named = staged(distinct.join(under, "fp", "left").select("fp", F.coalesce("under", "fp").alias("known")), "simhash-known")
+    above = named.select(F.col("fp").alias("leader"), F.col("known").alias("b"))
+    ties = led.join(named, "fp").join(above, "leader").select(F.col("known").alias("a"), "b")
 
     used = [(i, bits, t) for i, (bits, t) in enumerate(chosen) if t >= 0]
     entered = named.select(
@@ -209,7 +214,7 @@ def linked(distinct: DataFrame, radius: int = 4) -> DataFrame:
         & (_distance("fp", "o_fp") <= radius)
     )
     links = p.join(e, meets).select(F.col("known").alias("a"), F.col("o_known").alias("b"))
-    last = components(links)
+    last = components(links.unionAll(ties))
     joined = named.join(last.withColumnRenamed("node", "known"), "known", "left")
     return joined.select("fp", F.coalesce("root", "known").alias("root"))
 
