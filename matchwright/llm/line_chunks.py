@@ -86,7 +86,8 @@ def removed_chunks(docs: DataFrame, window: int = 2, divisor: int = 4) -> DataFr
     spread = staged(spread, "line-chunks")
     place = F.struct("doc_id", "key", "chunk")
     groups = spread.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    groups = groups.filter(F.col("first") != F.col("last")).select("hash", "first")
+    # Written first, so that the join has two plain shuffles and a hot chunk can be split.
+    groups = staged(groups.filter(F.col("first") != F.col("last")).select("hash", "first"), "line-groups")
     named = spread.join(groups, "hash").groupBy("doc_id", "key").agg(F.collect_set(F.struct("chunk", "hash", "first")).alias("named"))
     named = named.select(F.col("doc_id").alias("n_doc"), F.col("key").alias("n_key"), "named")
     same = F.col("doc_id").eqNullSafe(F.col("n_doc")) & F.col("key").eqNullSafe(F.col("n_key"))
@@ -101,7 +102,7 @@ def removed_chunks(docs: DataFrame, window: int = 2, divisor: int = 4) -> DataFr
     )
     found = staged(found, "line-found")
     is_first = place == F.col("first")
-    firsts = found.filter(is_first).groupBy("hash").agg(F.first("bytes").alias("first_bytes"))
+    firsts = staged(found.filter(is_first).groupBy("hash").agg(F.first("bytes").alias("first_bytes")), "line-firsts")
     compared = found.filter(~is_first).join(firsts, "hash")
     equal = compared.filter(F.col("bytes") == F.col("first_bytes")).select("doc_id", "key", "chunk")
     # Equal hash, other bytes: these form groups of their own.
