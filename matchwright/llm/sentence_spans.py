@@ -67,7 +67,8 @@ def dedup_sentences(docs: DataFrame, sentences: int = 2, min_words: int = 12) ->
     )
     hashes = ["h1", "h2"]
     repeated = places.groupBy(*hashes).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
-    repeated = repeated.filter("n > 1").drop("n")
+    # Written first, so that the join has two plain shuffles and a hot run can be split.
+    repeated = staged(repeated.filter("n > 1").drop("n"), "sentence-repeated")
     met = staged(places.join(repeated, hashes), "sentence-repeats")
     at_first = met.filter(F.col("doc_id").eqNullSafe(F.col("first_doc")))
     firsts = at_first.groupBy(*hashes).agg(F.min(F.struct("key", "first")).alias("keep"))
