@@ -304,8 +304,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, shard_b
 
     all_, all_path = written(packed.select("key", "packed").mapInArrow(cut, "h long, c long, key long, place long"), "suffix-contexts")
     anchors = all_.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # Written first, so that the join has two plain shuffles and a hot anchor can be split.
+    anchors, anchors_path = written(anchors, "suffix-repeated")
     occur, occur_path = written(all_.join(anchors, "h"), "suffix-candidates")
-    release(spark, all_path)
+    release(spark, all_path, anchors_path)
     strings = F.col("place").bitwiseAND(F.lit(0xFFFF))
     groups, groups_path = written(
         occur.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("key", "place")).alias("x")).select("h", "c", "n", "x.key", "x.place"),
