@@ -1,9 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (up to a full stop, question or exclamation mark or line
-end, with the white space behind it), every run of ``sentences`` consecutive sentences
-with ``min_words`` words or more is hashed, and equal runs are joined over the whole
-corpus. The first place of a run, the smallest (doc_id, sentence number), stays; every
+A text is cut into sentences and their clauses (up to a full stop, question or
+exclamation mark, comma, colon, semicolon or line end, with the white space behind it),
+every run of ``sentences`` consecutive ones with ``min_words`` words or more is hashed,
+and equal runs are joined over the whole corpus. Clauses count like sentences, since a
+passage that was pasted into a sentence shares neither its first nor its last one whole,
+and long sentences would leave nothing in between. The first place of a run, the smallest (doc_id, sentence number), stays; every
 sentence that a later place covers is removed. Places are judged on the input.
 
 Sentences are compared in lower case and with white space collapsed. A run is named by
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import row_key, staged, word_count
 
-SENTENCE = r"[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+"
+SENTENCE = r"[^.!?,;:\n]*[.!?,;:\n]+[\x20\x09-\x0D]*|[^.!?,;:\n]+"
 
 
 def split_sentences(text: Column) -> Column:
@@ -56,7 +58,7 @@ def runs(text: Column, sentences: int, min_words: int) -> Column:
     return F.flatten(F.transform(F.array(normal), of))
 
 
-def dedup_sentences(docs: DataFrame, sentences: int = 2, min_words: int = 12) -> DataFrame:
+def dedup_sentences(docs: DataFrame, sentences: int = 3, min_words: int = 12) -> DataFrame:
     """One row per document: doc_id, n_sentences, n_removed, the text that is left."""
     texts = docs.select("doc_id", "text", row_key("text").alias("key"))
     places = staged(
@@ -96,15 +98,17 @@ def dedup_sentences(docs: DataFrame, sentences: int = 2, min_words: int = 12) ->
 
 ORACLE = r"""
 WITH cut AS (
-  SELECT DISTINCT doc_id, text, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+') AS own FROM documents WHERE text IS NOT NULL),
+  SELECT DISTINCT doc_id, text, regexp_extract_all(text, '[^.!?,;:\n]*[.!?,;:\n]+[\x20\x09-\x0D]*|[^.!?,;:\n]+') AS own FROM documents WHERE text IS NOT NULL),
 runs AS (
   SELECT doc_id, text, i,
     trim(regexp_replace(lower(own[i + 1]), '[\x20\x09-\x0D]+', ' ', 'g')) AS a, trim(regexp_replace(lower(own[i + 2]), '[\x20\x09-\x0D]+', ' ', 'g')) AS b,
-    len(regexp_extract_all(own[i + 1], '[^\x20\x09-\x0D]+')) + len(regexp_extract_all(own[i + 2], '[^\x20\x09-\x0D]+')) AS n
-  FROM (SELECT *, unnest(range(len(own) - 1)) AS i FROM cut)),
+    trim(regexp_replace(lower(own[i + 3]), '[\x20\x09-\x0D]+', ' ', 'g')) AS c,
+    len(regexp_extract_all(own[i + 1], '[^\x20\x09-\x0D]+')) + len(regexp_extract_all(own[i + 2], '[^\x20\x09-\x0D]+'))
+      + len(regexp_extract_all(own[i + 3], '[^\x20\x09-\x0D]+')) AS n
+  FROM (SELECT *, unnest(range(len(own) - 2)) AS i FROM cut)),
 later AS (
-  SELECT doc_id, text, i FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS place FROM runs WHERE n >= 12) WHERE place > 1),
-covered AS (SELECT doc_id, text, list(DISTINCT p) AS covered FROM (SELECT doc_id, text, unnest([i, i + 1]) AS p FROM later) GROUP BY doc_id, text)
+  SELECT doc_id, text, i FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS place FROM runs WHERE n >= 12) WHERE place > 1),
+covered AS (SELECT doc_id, text, list(DISTINCT p) AS covered FROM (SELECT doc_id, text, unnest([i, i + 1, i + 2]) AS p FROM later) GROUP BY doc_id, text)
 SELECT d.doc_id, coalesce(len(c.own), 0)::BIGINT AS n_sentences, coalesce(len(covered), 0)::BIGINT AS n_removed,
   CASE WHEN covered IS NULL THEN d.text ELSE array_to_string(list_filter(c.own, lambda x, j: NOT list_contains(covered, j - 1)), '') END AS text
 FROM documents d LEFT JOIN cut c ON d.doc_id = c.doc_id AND d.text = c.text LEFT JOIN covered v ON d.doc_id = v.doc_id AND d.text = v.text
