@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
-from helpers import by_sql, clashing, docs, odd_texts, rows
+from helpers import clashing, docs, odd_texts, rows
 
 from matchwright.llm import language, line_chunks, mixing, queries
 
