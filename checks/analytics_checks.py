@@ -354,7 +354,7 @@ CHECKS = {
     ),
     "l01_top_skills": (
         l01_top_skills,
-        sql(_frequency("technical") + " ORDER BY frequency DESC, skill LIMIT 30"),
+        sql(f"SELECT skill, frequency FROM ({_frequency('technical')}) ORDER BY frequency DESC, skill LIMIT 30"),
     ),
     "g29_co_occurrence": (g29_co_occurrence, sql(G29)),
     "g31_completeness": (g31_completeness, sql(G31)),
