@@ -114,6 +114,25 @@ SELECT vec_id, label,
 FROM {_LABEL_SQL}""")
 
 
+def m11_shape_guard(t: Tables) -> DataFrame:
+    """Vectors of which a third is cut in half and a third is empty."""
+    third = F.col("vec_id") % 3
+    cut = F.when(third == 1, F.slice("v", 1, 32)).when(third == 2, F.slice("v", 1, 0)).otherwise(F.col("v"))
+    d = vectors.distance(cut, F.col("w"))
+    return _label_pairs(t).select(
+        "vec_id",
+        F.round(F.when(d == float("inf"), F.lit(-1.0)).otherwise(d), 6).alias("distance"),
+        F.round(vectors.vector_similarity(cut, F.col("w")), 6).alias("similarity"),
+    )
+
+
+M11 = sql(f"""
+SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN round(list_distance(u, w), 6) ELSE -1.0::DOUBLE END AS distance,
+       CASE WHEN vec_id % 3 = 0 THEN round(exp(-power(list_distance(u, w), 2) / 2.0::DOUBLE), 6)
+            ELSE 0.0::DOUBLE END AS similarity
+FROM {_LABEL_SQL}""")
+
+
 def m13_thresholds(t: Tables) -> DataFrame:
     d = _label_pairs(t).select(vectors.euclidean(F.col("v"), F.col("w")).alias("distance"))
     return _rounded(quantiles.match_thresholds(d), "threshold")
@@ -496,6 +515,7 @@ CHECKS = {
     "m05_cascade_without_open_offers": (m05_cascade_without_open_offers, M05_CLOSED),
     "m06_unit_vectors": (m06_unit_vectors, M06),
     "m07_distances": (m07_distances, M07),
+    "m11_shape_guard": (m11_shape_guard, M11),
     "m13_thresholds": (m13_thresholds, M13),
     "m13_score_quantiles": (m13_score_quantiles, M13_QUANTILES),
     "m14_best_by_overlap": (m14_best_by_overlap, M14_BEST),

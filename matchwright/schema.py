@@ -102,8 +102,8 @@ SKILL_DIMENSION = _struct(skill_id=_L, name=_S, skill_type=_S, updated_at=_TS)
 
 def missing_or_mistyped(df: DataFrame, schema: T.StructType) -> list[str]:
     """Names of declared columns that ``df`` lacks or holds with another type."""
-    actual = {f.name: f.dataType for f in df.schema.fields}
-    return [f.name for f in schema.fields if actual.get(f.name) != f.dataType]
+    actual = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return [f.name for f in schema.fields if actual.get(f.name) != f.dataType.simpleString()]
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

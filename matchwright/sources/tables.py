@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scores
+from ..schema import missing_or_mistyped
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _jobs: list[str] = []  # folders of the running jobs, innermost last
@@ -70,8 +71,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    """A Parquet table; with a declared schema its columns, checked before use."""
+    found = spark.read.parquet(path)
+    if schema is None:
+        return found
+    wrong = missing_or_mistyped(found, schema)
+    if wrong:
+        raise ValueError(f"{path}: columns missing or of another type: {', '.join(wrong)}")
+    return found.select(*schema.fieldNames())
 
 
 def from_rows(

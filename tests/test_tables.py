@@ -135,6 +135,14 @@ def test_replace_a_table_that_is_read(spark, tmp_path):
     assert src.read_table(spark, path).count() == 4
 
 
+def test_a_table_of_another_shape_is_refused(spark, tmp_path):
+    path = str(tmp_path / "m")
+    match(spark, [(1, 1, 0.5, T1)]).withColumn("more", F.lit(1)).write.parquet(path)
+    assert src.read_table(spark, path, schema.JOB_MATCHES).columns == schema.JOB_MATCHES.fieldNames()
+    with pytest.raises(ValueError, match="location_id"):
+        src.read_table(spark, path, schema.REGION)
+
+
 def test_replace_partitions_only(spark, tmp_path):
     path = str(tmp_path / "p")
     df = spark.range(4).withColumn("part", F.col("id") % 2)
