@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from ..sources.tables import new_folder, staged
 
-__all__ = ["WORD", "documents", "embeddings", "new_folder", "release", "row_key", "ship", "staged", "word_count", "words", "written"]
+__all__ = ["WORD", "documents", "embeddings", "keep_first", "new_folder", "release", "row_key", "ship", "staged", "word_count", "words", "written"]
 
 #: A word: a run of anything but blank, tab, line ends, vertical tab and form feed.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +28,24 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns])
 
 
+def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``docs`` with the first row of each group of ``grouped`` (doc_id, key, root).
+
+    ``key`` is the ``row_key`` of the text. First is the row of smallest doc_id, NULL
+    last, then of smallest key; of rows equal in both one stays.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = grouped.groupBy("root").agg(F.min(place).alias("k")).select(F.col("k.doc_id").alias("k_doc"), F.col("k.key").alias("k_key"))
+    columns = docs.columns
+    numbers = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]
+    at = columns.index("doc_id"), columns.index("text")
+    rows = docs.select(*numbers).withColumn("k_row", row_key(f"c{at[1]}"))
+    met = rows.join(first, F.col(f"c{at[0]}").eqNullSafe(F.col("k_doc")) & (F.col("k_row") == F.col("k_key")), "left_semi")
+    number = F.row_number().over(Window.partitionBy(f"c{at[0]}", "k_row").orderBy(f"c{at[1]}"))
+    met = met.withColumn("k_place", number).filter("k_place = 1")
+    return met.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 

@@ -32,10 +32,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, staged
+from .common import keep_first, row_key, ship, staged
 from .components import components
 
 BITS = 64
@@ -67,19 +67,20 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return sum(1 << int(b) for b in np.flatnonzero(2 * counts > len(starts)))
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, words: int = 4, *others: str) -> DataFrame:
+    """doc_id, the named other columns and ``fp``, the fingerprint as a signed 64-bit number."""
     ship(docs.sparkSession)
+    names = ["doc_id", *others]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                values = np.array([fingerprint(t, words) for t in some.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+                values = np.array([fingerprint(t, words) for t in some.column(len(names)).to_pylist()], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(names)], pa.array(values.view(np.int64))], names=[*names, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(compute, f"doc_id {kind}, fp long")
+    kinds = "".join(f"{n} {docs.schema[n].dataType.simpleString()}, " for n in names)
+    return docs.select(*names, "text").mapInArrow(compute, f"{kinds}fp long")
 
 
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -233,14 +234,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
 
 
 def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with the document of smallest doc_id of each component.
-
-    Of rows that repeat this doc_id the one with the smallest text stays; where all
-    doc_ids of a component are NULL they count as one doc_id.
-    """
-    found = near_duplicates(docs, words, radius)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_doc")).distinct()
-    columns = docs.columns
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first()))
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k_doc")), "left_semi")
-    return joined.withColumn("k_place", first).filter("k_place = 1").select(*columns)
+    """``docs`` with one row of each component; see ``common.keep_first``."""
+    keyed = docs.select("doc_id", "text", row_key("text").alias("key"))
+    prints = staged(fingerprints(keyed, words, "key"), "simhash")
+    roots = linked(staged(prints.select("fp").distinct(), "simhash-distinct"), radius)
+    return keep_first(docs, prints.join(roots, "fp").select("doc_id", "key", "root"))
