@@ -5,10 +5,10 @@ from collections import Counter
 import pytest
 from helpers import docs
 
-from matchwright.llm import simhash
+from matchwright.llm import near_copies, simhash
 
 
-@pytest.mark.parametrize("keep", [lambda df: simhash.keep_one(df, words=5)])
+@pytest.mark.parametrize("keep", [near_copies.keep_one, lambda df: simhash.keep_one(df, words=5)])
 def test_clean_rows_stay_whatever_their_id(spark, keep):
     def text(seed):
         return " ".join(f"{seed}w{i}" for i in range(60))
