@@ -34,6 +34,8 @@ from .common import WORD, staged, word_count
 #: number of blocks is taken. Below 2**20, so products stay in 64 bits up to 8e12 blocks.
 PRIMES = (1048573, 1048571, 1048559)
 PASSES = 3
+#: A source has so many blocks at least, unless they have ``SMALL`` words or fewer.
+FINE, SMALL = 64, 4
 
 
 def _bucket(doc_id: Column, buckets: int) -> Column:
@@ -77,9 +79,14 @@ def shard_quotas(targets: DataFrame, block_words: int = 1024, shards: int = 16)
     ``seats[s]`` is the number of blocks the source has in shards 0 to s, so its quota
     in shard s is ``seats[s] - seats[s - 1]``. A block has ``block_words`` words, or
     fewer where the sources would have less than 1,024 blocks on average.
+
+    A source of fewer than ``FINE`` blocks would be far from its target by whole blocks,
+    so it has blocks of its own, a ``FINE``-th of its size, and as many of them as its
+    target says. Blocks of up to ``SMALL`` words are fine enough for any source.
     """
     block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("total") / (F.col("sources") * 1024))))
     sized = targets.withColumn("block", block.cast("long"))
+    coarse = (F.col("block") > SMALL) & (F.col("source_size") < FINE * F.col("block")) & (F.col("source_size") > 0)
     all_seats = F.floor(F.col("total") / F.col("block"))
     one = sized.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     one = one.withColumn("n", F.floor(all_seats * (F.col("shard") + 1) / F.lit(shards)).cast("long"))
@@ -94,12 +101,13 @@ def shard_quotas(targets: DataFrame, block_words: int = 1024, shards: int = 16)
     seats = seats.withColumn("quotient", F.col("target") / (2 * F.col("k") + 1))
     rank = F.row_number().over(by_shard.orderBy(F.desc("quotient"), "place", "k"))
     won = seats.withColumn("rank", rank).filter(F.col("rank") <= F.col("open")).groupBy("shard", "place").agg(F.count(F.lit(1)).alias("won"))
-    blocks = F.ceil(F.col("source_size") / F.col("block")).cast("long")
-    per_shard = one.join(won, ["shard", "place"], "left").withColumn(
-        "held", F.least(F.col("least") + F.coalesce(F.col("won"), F.lit(0)), PASSES * blocks)
-    )
+    own_block = F.when(coarse, F.greatest(F.lit(1), F.floor(F.col("source_size") / FINE))).otherwise(F.col("block")).cast("long")
+    blocks = F.ceil(F.col("source_size") / own_block).cast("long")
+    own_seats = F.floor(F.col("target") / F.col("source_size") * blocks * (F.col("shard") + 1) / F.lit(shards) + 0.5).cast("long")
+    seats_held = F.when(coarse, own_seats).otherwise(F.col("least") + F.coalesce(F.col("won"), F.lit(0)))
+    per_shard = one.join(won, ["shard", "place"], "left").withColumn("held", F.least(seats_held, PASSES * blocks))
     held = per_shard.groupBy("place").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "held"))), lambda x: x["held"]).alias("seats"))
-    return sized.join(held, "place").withColumn("blocks", blocks)
+    return sized.join(held, "place").withColumn("blocks", blocks).withColumn("block", own_block)
 
 
 def mix(docs: DataFrame, block_words: int = 1024, shards: int = 16, seed: int = 1) -> DataFrame:
