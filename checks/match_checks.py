@@ -60,6 +60,17 @@ FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY s DESC, jo
 WHERE match_rank <= 15""")
 
 
+def m19_all_pairs(t: Tables) -> DataFrame:
+    """Every pair at M-19's minimum, whatever its rank."""
+    found = nearest.similar_pairs(t.vectors("candidate_id"), t.vectors("job_offer_id"), 0.2)
+    return _rounded(found, "similarity_score").select("job_offer_id", "candidate_id", "similarity_score")
+
+
+M19_ALL = sql(f"""
+SELECT job_offer_id, candidate_id, round(s, 6) AS similarity_score
+FROM ({_unit_pairs_sql("true")}) WHERE s >= 0.2""")
+
+
 def _label_pairs(t: Tables) -> DataFrame:
     """Every vector with the first vector of its label."""
     e = t.raw("embeddings").select(
@@ -528,6 +539,7 @@ CHECKS = {
     "m18_best_candidates": (m18_best_candidates, M18),
     "m18_through_cells": (m18_through_cells, M18),
     "m19_similar_pairs": (m19_best_offers, M19),
+    "m19_all_pairs": (m19_all_pairs, M19_ALL),
     "m20_new_offers": (m20_new_offers, M20),
     "m21_demo_matches": (m21_demo_matches, M21),
 }
