@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, line_chunks, mixing, neighbours, pieces, quality, sentence_spans, simhash, suffixes, token_files
+from . import (
+    language,
+    line_chunks,
+    mixing,
+    neighbours,
+    phrases,
+    pieces,
+    quality,
+    sentence_spans,
+    set_join,
+    simhash,
+    spellings,
+    suffixes,
+    token_files,
+)
 from .common import documents, embeddings
 
 
@@ -54,6 +68,18 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder), words=4, radius=4)
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(documents(spark, folder), least=100, most=2000)
+
+
+def op12_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    return spellings.variants(documents(spark, folder), shortest=7, least=2, ratio=10, every=31)
+
+
+def op13_set_join(spark: SparkSession, folder: str) -> DataFrame:
+    return set_join.alike(documents(spark, folder), words=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_spans": op1_sentence_spans,
     "op2_token_files": op2_token_files,
@@ -65,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_pieces": op9_pieces,
     "op10_simhash": op10_simhash,
+    "op11_phrases": op11_phrases,
+    "op12_spellings": op12_spellings,
+    "op13_set_join": op13_set_join,
 }
 
 SQL: dict[str, str] = {
@@ -72,4 +101,5 @@ SQL: dict[str, str] = {
     "op4_line_chunks": line_chunks.ORACLE,
     "op5_source_mixing": mixing.ORACLE,
     "op8_quality_rules": quality.ORACLE,
+    "op11_phrases": phrases.ORACLE,
 }
