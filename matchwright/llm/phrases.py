@@ -26,12 +26,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap, may_hold
 from .byte_words import chunks, extended, mixed, word_hashes
-from .common import ship, staged, written, release
+from .common import release, ship, staged, written
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
@@ -49,9 +50,9 @@ def _word_keys(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[np.ndarray, .
     import xxhash
 
     hashes = word_hashes(BREAKS + BLANKS, seed)
-    langs, values = batch.column(0).dictionary_encode(), None
-    values = np.array([xxhash.xxh64_intdigest(x or "und", seed) for x in langs.dictionary.to_pylist()] or [0], np.uint64)
-    codes = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    langs = pc.fill_null(batch.column(0), "und").dictionary_encode()
+    values = np.array([xxhash.xxh64_intdigest(x, seed) for x in langs.dictionary.to_pylist()], np.uint64)
+    codes = langs.indices.to_numpy(zero_copy_only=False)
     for at, _, text, row_starts in chunks(batch.column(1)):
         starts, ends, words = hashes.words(text)
         piece = np.cumsum(_IS_BREAK[text], dtype=np.int32)[starts]
@@ -124,7 +125,7 @@ def _named(texts: DataFrame, known: np.ndarray, seed: int) -> DataFrame:
         known, seen = maps.value, np.zeros(_SEEN, np.uint64)
         kind = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("phrase", pa.string())])
         for batch in batches:
-            langs = [x or "und" if x is None else x for x in batch.column(0).to_pylist()]
+            langs = pc.fill_null(batch.column(0), "und").to_pylist()
             totals: dict[str, int] = {}
             for text, starts, ends, words, piece, row in _word_keys(batch, seed):
                 for r, n in zip(*np.unique(row, return_counts=True), strict=True):

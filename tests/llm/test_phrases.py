@@ -36,7 +36,7 @@ def test_equals_sql(spark):
     for seed in (1, 2):
         df = langs(docs(spark, talk(seed)))
         got = rows(phrases.collocations(df, least=10, part=4))
-        assert got == by_sql(df, SQL_10) and len(got) > 50
+        assert got == by_sql(df, SQL_10) and len(got) > 30
 
 
 def test_any_sample_gives_the_same(spark):
@@ -76,7 +76,7 @@ def test_word_hashes_do_not_depend_on_place(monkeypatch):
     own = byte_words.WordHashes(b" .", 7)
     texts = ["abc Abc é" + "z" * 200 + " abc.", None, "", "x abc é" + "Z" * 200]
     (at, stop, text, starts), = byte_words.chunks(pa.array(texts))
-    assert (at, stop) == (0, 4) and starts.tolist() == [0, 217, 218, 219]
+    assert (at, stop) == (0, 4) and starts.tolist() == [0, 216, 217, 218]
     first, last, hashes = byte_words.WordHashes(b" .\n", 7).words(text)
     seen = {}
     for a, b, h in zip(first, last, hashes, strict=True):
