@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from .bitmap import bitmap, may_hold
 from .byte_words import chunks, extended, mixed, word_hashes
-from .common import release, ship, staged, written
+from .common import release, ship, staged
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 LONGEST = 5
-#: Bits of the map of known phrases: 8 MB.
-LOG_BITS = 26
+#: Bits of the map of known phrases: 2 MB.
+LOG_BITS = 24
 _TOGETHER = 1 << 21
 _SEEN = 1 << 20
 _IS_BREAK = np.zeros(256, np.int32)
@@ -77,9 +77,9 @@ def _levels(words: np.ndarray, piece: np.ndarray, known: np.ndarray, upto: int)
         keys[at] = own
 
 
-def _counts(texts: DataFrame, orders: Sequence[int], known: np.ndarray | None, counted: list[np.ndarray], seed: int) -> DataFrame:
-    """``h`` and ``f``: how often each phrase of so many words occurs, if its shorter parts
-    are known and an earlier pass, with the maps ``counted``, did not count it."""
+def _counts(texts: DataFrame, orders: Sequence[int], known: np.ndarray | None, counted: list[np.ndarray], least: int, seed: int) -> DataFrame:
+    """``h`` and ``f``, ``least`` or more: how often each phrase of so many words occurs, if
+    its shorter parts are known and an earlier pass, with the maps ``counted``, did not count it."""
     context = texts.sparkSession.sparkContext
     maps = context.broadcast((known, counted))
 
@@ -112,7 +112,10 @@ def _counts(texts: DataFrame, orders: Sequence[int], known: np.ndarray | None, c
         if size:
             yield combined()
 
-    return texts.mapInArrow(count, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+    counts = texts.mapInArrow(count, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+    found = staged(counts.filter(F.col("f") >= least), "phrase-counts")
+    maps.destroy()
+    return found
 
 
 def _named(texts: DataFrame, known: np.ndarray, seed: int) -> DataFrame:
@@ -158,7 +161,9 @@ def _named(texts: DataFrame, known: np.ndarray, seed: int) -> DataFrame:
             if totals:
                 yield pa.RecordBatch.from_arrays([pa.array(list(totals.values()), pa.int64()), pa.array(list(totals)), pa.nulls(len(totals), pa.string())], schema=kind)
 
-    return texts.mapInArrow(name, "h long, lang string, phrase string")
+    named = staged(texts.mapInArrow(name, "h long, lang string, phrase string"), "phrase-names")
+    maps.destroy()
+    return named
 
 
 def sampled(texts: DataFrame, part: int, seed: int) -> DataFrame:
@@ -180,7 +185,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, part: int = 8, low: int
         sample = staged(sampled(texts, part, seed).select("lang", "text"), "phrase-sample")
         proposed, known = None, None
         for k in range(1, LONGEST + 1):
-            level = staged(_counts(sample, [k], known, [], seed).filter(F.col("f") >= low).select("h"), "phrase-level")
+            level = _counts(sample, [k], known, [], low, seed).select("h")
             bits = bitmap(level, "h", LOG_BITS)
             if not bits.any():
                 break
@@ -189,17 +194,16 @@ def frequent_phrases(docs: DataFrame, least: int = 100, part: int = 8, low: int
         whole = texts.select("lang", "text")
         if known is None:
             known = np.zeros(1 << (LOG_BITS - 3), np.uint8)
-        found = staged(_counts(whole, range(1, LONGEST + 1), known, [], seed).filter(F.col("f") >= least), "phrase-counts")
+        found = _counts(whole, range(1, LONGEST + 1), known, [], least, seed)
         failed = found.select("h") if proposed is None else found.select("h").join(proposed, "h", "left_anti")
         counted = [known]
         while not failed.isEmpty():
             now = bitmap(found, "h", LOG_BITS)
-            more, place = written(_counts(whole, range(2, LONGEST + 1), now, counted, seed).filter(F.col("f") >= least), "phrase-expansion")
+            more = _counts(whole, range(2, LONGEST + 1), now, counted, least, seed)
             counted.append(now)
             found, failed = found.unionAll(more), more
-            if more.isEmpty():
-                release(docs.sparkSession)
-        names = staged(_named(whole, bitmap(found, "h", LOG_BITS), seed), "phrase-names")
+            release(docs.sparkSession)
+        names = _named(whole, bitmap(found, "h", LOG_BITS), seed)
         totals = names.filter("phrase IS NULL").groupBy("lang").agg(F.sum("h").alias("n"))
         spelled = names.filter("phrase IS NOT NULL").join(found.select("h"), "h", "left_semi")
         spelled = spelled.groupBy("h").agg(F.min(F.struct("lang", "phrase")).alias("s"), F.max(F.struct("lang", "phrase")).alias("t"))
