@@ -11,9 +11,11 @@ number of passes, five at most.
 
 Tasks ask whether a shorter part belongs to S by a bitmap of fixed size. It may say yes
 wrongly, the same for every occurrence of a phrase, and then a phrase is counted in vain.
-Counts are keyed by 64-bit hashes of language and words. The last pass reads the words of
-the frequent phrases; should one hash stand for two phrases, all is done again with other
-hashes.
+Counts are keyed by 64-bit hashes of language and words; of F frequent phrases and N
+different ones, F N / 2 ** 64 share a hash with another by chance (0.00001 in 135 million
+words). The words of frequent phrases are read in a last pass from one of ``THIN``
+occurrences, and from all for those not met so. Should one hash show two phrases there, all
+is done again with other hashes.
 
 Rows. A NULL language is ``und``; a NULL text is empty. Repeated rows and ids count as they
 come. ASCII letters are compared in lower case. Only ``doc_id``, ``lang`` and ``text`` are
@@ -41,6 +43,8 @@ LONGEST = 5
 LOG_BITS = 24
 _TOGETHER = 1 << 21
 _SEEN = 1 << 20
+#: One of so many occurrences of a phrase is asked for its words at first, a power of two.
+THIN = 32
 _IS_BREAK = np.zeros(256, np.int32)
 _IS_BREAK[list(BREAKS)] = 1
 
@@ -118,14 +122,14 @@ def _counts(texts: DataFrame, orders: Sequence[int], known: np.ndarray | None, c
     return found
 
 
-def _named(texts: DataFrame, known: np.ndarray, seed: int) -> DataFrame:
-    """``h``, lang and words of the phrases in the map, once a task or a few times; and,
-    with a NULL phrase, the number of words of a language in ``h``."""
+def _named(texts: DataFrame, known: np.ndarray, wanted: np.ndarray, thin: int, seed: int) -> DataFrame:
+    """``h``, lang and words of the phrases in the map ``wanted``, from one of ``thin``
+    occurrences; and, with a NULL phrase, the number of words of a language in ``h``."""
     context = texts.sparkSession.sparkContext
-    maps = context.broadcast(known)
+    maps = context.broadcast((known, wanted))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = maps.value, np.zeros(_SEEN, np.uint64)
+        (known, wanted), seen = maps.value, np.zeros(_SEEN, np.uint64)
         kind = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("phrase", pa.string())])
         for batch in batches:
             langs = pc.fill_null(batch.column(0), "und").to_pylist()
@@ -140,7 +144,8 @@ def _named(texts: DataFrame, known: np.ndarray, seed: int) -> DataFrame:
                 found: tuple[list, list, list] = ([], [], [])
                 every = np.arange(words.size)
                 for k, (at, own) in enumerate([(every, words), *_levels(words, piece, known, LONGEST)], 1):
-                    held = may_hold(known, own)
+                    held = np.flatnonzero((mixed(own + at.astype(np.uint64)) & np.uint64(thin - 1)) == 0)
+                    held = held[may_hold(wanted, own[held])]
                     at, own = at[held], own[held]
                     check = other[at]
                     for j in range(1, k):
@@ -203,10 +208,14 @@ def frequent_phrases(docs: DataFrame, least: int = 100, part: int = 8, low: int
             counted.append(now)
             found, failed = found.unionAll(more), more
             release(docs.sparkSession)
-        names = _named(whole, bitmap(found, "h", LOG_BITS), seed)
+        known = bitmap(found, "h", LOG_BITS)
+        names = _named(whole, known, known, THIN, seed)
         totals = names.filter("phrase IS NULL").groupBy("lang").agg(F.sum("h").alias("n"))
-        spelled = names.filter("phrase IS NOT NULL").join(found.select("h"), "h", "left_semi")
-        spelled = spelled.groupBy("h").agg(F.min(F.struct("lang", "phrase")).alias("s"), F.max(F.struct("lang", "phrase")).alias("t"))
+        names = names.filter("phrase IS NOT NULL")
+        rest = staged(found.select("h").join(names.select("h").distinct(), "h", "left_anti"), "phrase-rest")
+        if not rest.isEmpty():
+            names = names.unionAll(_named(whole, known, bitmap(rest, "h", LOG_BITS), 1, seed).filter("phrase IS NOT NULL"))
+        spelled = names.groupBy("h").agg(F.min(F.struct("lang", "phrase")).alias("s"), F.max(F.struct("lang", "phrase")).alias("t"))
         spelled = staged(spelled.join(found, "h").select("h", "s", "t", "f"), "phrase-spelled")
         if spelled.filter("s != t").isEmpty():
             size = F.size(F.split("s.phrase", " "))

@@ -7,11 +7,13 @@ the fewest words. One edit destroys at most one of two disjoint bigrams, so of t
 words, the one whose prefix ends first in the order has a pivot that stands in the other's
 prefix: every near pair meets in the index of pivots against prefixes.
 
-Position limits. With one edit, everything on one side of a surviving pivot is unchanged:
-either the word up to the pivot or the word from the pivot on. So a pivot meets only prefix
-bigrams at the same place from the front with the same letters before it, or at the same
-place from the back with the same letters after it, in words that differ in length by one
-at most. What meets is verified by edit distance.
+Position limits. Where the one edit is, relative to a word's pivots p < q, says what stays:
+the word from p on (edit before p), up to q (edit after q), from q on and before p (edit in
+p), or up to p and after q (edit in q or between them). So a pivot meets only prefix
+bigrams at the same place from the front with the same letters up to it, or at the same
+place from the back with the same letters after it; in the last two cases words have to
+agree in their first or last two letters or in two letters beside the bigram, too, where
+these are known to stay. Lengths differ by one at most. What meets is verified by edit distance.
 
 A word's form is its near word of largest count (ties: the smallest word), if that count
 is ``ratio`` times its own or more. Counts grow along a chain of forms, so chains end; roots
@@ -82,6 +84,34 @@ def prefix_and_pivots(word: str, order: dict[str, tuple[int, int]]) -> tuple[int
     return last, places, best[1:]
 
 
+def pivot_keys(word: str, p: int, q: int) -> list[tuple[str, ...]]:
+    """What another word has to share with this one, by the place of the edit."""
+    out = [(">", word[p:]), ("<", word[: q + 2])]
+    # In p: what is before p and behind it stays.
+    if p >= 2:
+        out.append((">2", word[q:], word[:2]))
+    else:
+        out.append((">-", word[q - 2 :]) if q >= p + 4 else (">", word[q:]))
+    # In q or between p and q: what is behind q stays; in q, all before q as well.
+    if len(word) - (q + 2) >= 2:
+        out.append(("<2", word[: p + 2], word[-2:]))
+    elif q >= p + 4:
+        out += [("<+", word[: p + 4]), (">2", word[q:], word[:2])]
+    else:
+        out.append(("<", word[: p + 2]))
+    return out
+
+
+def prefix_keys(word: str, p: int) -> list[tuple[str, ...]]:
+    """What a bigram of a word's prefix offers: ``pivot_keys`` of all words one edit away."""
+    out: list[tuple[str, ...]] = [(">", word[p:]), ("<", word[: p + 2])]
+    if p >= 3:
+        out += [(">2", word[p:], word[:2]), (">-", word[p - 2 :])]
+    if len(word) - (p + 2) >= 3:
+        out += [("<2", word[: p + 2], word[-2:]), ("<+", word[: p + 4])]
+    return out
+
+
 def _entries(words: DataFrame, order: dict[str, tuple[int, int]]) -> DataFrame:
     """word, n, rank of its prefix's end, and keys of its pivots and of its prefix."""
     ship(words.sparkSession)
@@ -91,16 +121,17 @@ def _entries(words: DataFrame, order: dict[str, tuple[int, int]]) -> DataFrame:
         import xxhash
 
         order = sent.value
-        key = xxhash.xxh64_intdigest
+
+        def keys(shared: list[tuple[str, ...]]) -> list[int]:
+            return [xxhash.xxh64_intdigest("|".join(x)) - (1 << 63) for x in shared]
+
         for batch in batches:
             lasts, pivots, prefixes = [], [], []
             for word in batch.column(0).to_pylist():
-                last, places, two = prefix_and_pivots(word, order)
-                # The letters up to the bigram's end, or from its start on, hold the bigram.
-                keys = {p: [key("<" + word[: p + 2]) - (1 << 63), key(">" + word[p:]) - (1 << 63)] for p in places}
+                last, places, (p, q) = prefix_and_pivots(word, order)
                 lasts.append(last)
-                pivots.append([x for p in two for x in keys[p]])
-                prefixes.append([x for p in places for x in keys[p]])
+                pivots.append(keys(pivot_keys(word, p, q)))
+                prefixes.append(keys([x for at in places for x in prefix_keys(word, at)]))
             many = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(lasts, pa.int32()), pa.array(pivots, many), pa.array(prefixes, many)],
