@@ -19,8 +19,10 @@ none. It is enough to look at a part of all shingles, one of ``LOOK`` by hash.
 Dense groups would verify all their pairs. So a first pass verifies every set against the
 smallest set of each of its signatures; pairs that are thereby connected are left out of
 the second pass, which takes the pairs of signatures that still hold more than one
-component. Pairs too far by size, or by the parity of shingles in 512 hash cells (a lower
-bound of the number of differing shingles), are dropped inside the joins.
+component. The parities of shingles per hash cell give a lower bound of the number of
+differing shingles. Pairs too far by size or by the parities of 512 cells are dropped inside
+the joins, what is left by those of as many cells as the sets have shingles, and only then
+whole sets meet.
 
 Rows. NULL, empty and blank texts have the empty set and are alike to nothing, not even to
 each other. A text shorter than a shingle is one shingle. Copies share a set and count
@@ -118,6 +120,13 @@ def with_partners(rows: DataFrame) -> DataFrame:
     return left.select("sid", "place")
 
 
+def parities(own: np.ndarray, cells: int) -> np.ndarray:
+    """For each of ``cells`` (a power of two) if it holds an odd number of shingles, as bits
+    of longs. Half as many cells have the exclusive or of both halves."""
+    odd = np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def whole_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
     """sid, n, shingles and parity sketch of the ``chosen`` (sid, place)."""
     places = docs.sparkSession.sparkContext.broadcast(bitmap(chosen, "place", LOG_BITS))
@@ -128,18 +137,18 @@ def whole_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
             key = as_keys(batch.column(0))
             batch = batch.filter(pa.array(may_hold(bits, key)))
             owns = list(shingle_sets(batch.column(1), words)) if batch.num_rows else []
-            sketches = np.zeros((len(owns), SKETCH), np.int64)
+            sketches, odds = np.zeros((len(owns), SKETCH), np.int64), []
             for i, own in enumerate(owns):
-                odd = np.bincount((own & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-                sketches[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                odds.append(parities(own, max(64 * SKETCH, 1 << int(own.size).bit_length())))
+                sketches[i] = np.bitwise_xor.reduce(odds[-1].reshape(-1, SKETCH), axis=0)
             columns = [pa.array(np.ascontiguousarray(sketches[:, j])) for j in range(SKETCH)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([_set_id(x) for x in owns], pa.int64()), pa.array([x.size for x in owns], pa.int64()), _lists(owns), *columns],
-                names=["place", "sid", "n", "own", *[f"s{j}" for j in range(SKETCH)]],
+                [batch.column(0), pa.array([_set_id(x) for x in owns], pa.int64()), pa.array([x.size for x in owns], pa.int64()), _lists(owns), _lists(odds), *columns],
+                names=["place", "sid", "n", "own", "odds", *[f"s{j}" for j in range(SKETCH)]],
             )
 
     rows = docs.select(row_key("doc_id", "text").alias("place"), "text")
-    found = rows.mapInArrow(compute, f"place long, sid long, n long, own array<long>, {SIGNED}")
+    found = rows.mapInArrow(compute, f"place long, sid long, n long, own array<long>, odds array<long>, {SIGNED}")
     return found.join(chosen, ["sid", "place"], "left_semi").dropDuplicates(["sid"]).drop("place")
 
 
@@ -234,6 +243,15 @@ def _near() -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are alike."""
+    first = sets.select(F.col("sid").alias("a"), F.col("n").alias("a_n"), F.col("odds").alias("x"))
+    second = sets.select(F.col("sid").alias("b"), F.col("n").alias("b_n"), F.col("odds").alias("y"))
+    # Sizes differ by a quarter at most, so one side may have twice the cells of the other.
+    half = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (p, q) -> p ^ q)"
+    even = [f"CASE WHEN size({c}) > size({o}) THEN {half.format(c)} ELSE {c} END" for c, o in ("xy", "yx")]
+    differ = F.expr(f"aggregate(zip_with({even[0]}, {even[1]}, (p, q) -> bit_count(p ^ q)), 0, (t, d) -> t + d)")
+    bound = differ * (WHOLE + PART) <= (F.col("a_n") + F.col("b_n")) * (WHOLE - PART)
+    pairs = staged(pairs.join(first, "a").join(second, "b").filter(bound).select("a", "b"), "set-close")
+    release(sets.sparkSession)
     left = sets.select(F.col("sid").alias("a"), F.col("own").alias("x"))
     right = sets.select(F.col("sid").alias("b"), F.col("own").alias("y"))
     both = F.size(F.array_intersect("x", "y")) * (PART + WHOLE) >= (F.size("x") + F.size("y")) * PART
@@ -248,6 +266,8 @@ def linked(sets: DataFrame) -> DataFrame:
     other = small.select(*[F.col(c).alias(f"o_{c}") for c in names])
     rows, place = written(signature_rows(sets), "set-signatures")
     shared = rows.groupBy("sig").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high").select("sig", "low")
+    shared = staged(shared, "set-leaders")
+    release(spark)
     held = staged(rows.join(shared, "sig").distinct(), "set-shared")
     release(spark, place)
     first = held.filter("sid != low").select("sid", "low").distinct()
@@ -274,7 +294,9 @@ def alike(docs: DataFrame, words: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     rows = staged(measured(docs, words), "set-rows")
     chosen = staged(with_partners(rows), "set-chosen")
+    release(docs.sparkSession)
     sets = staged(whole_sets(docs, chosen, words), "set-whole")
+    release(docs.sparkSession)
     named = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = staged(named.join(linked(sets), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "set-named")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
