@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal blocks.
 
 The words of a source, its documents in a fixed order, are cut into blocks of equal
-size. The seats of the mix, one block each, go to the sources by the highest quotients
+size. The order is by a digest of doc_id and text, then doc_id (NULL last) and size. The seats of the mix, one block each, go to the sources by the highest quotients
 ``target / (2 k + 1)``. The sequence of seats is the same whatever their number, so the
 first ``n_s`` seats belong to the shards up to ``s``, and a source's quota in a shard is
 the difference of two apportionments. A seeded permutation of a source's blocks then
@@ -14,7 +14,8 @@ The apportionment needs no loop over seats. With divisors ``T / (n + S/2)`` and
 some 4 S quotients in between have to be ranked for each shard.
 
 Rows. NULL and empty texts have size 0 and are returned with ``taken`` 0. A NULL source
-is a source of its own, the last. Repeated rows and doc_ids count as they come. Only
+is a source of its own, the last. A row is known by doc_id, source and text, not by doc_id
+alone; rows equal in all three are numbered and dealt their words by number. Only
 ``doc_id``, ``text`` and ``source`` are read, so other columns cannot clash.
 """
 
@@ -212,7 +213,8 @@ QUERY_COLUMNS = ("doc_id", "size", "source_size", "target", "taken")
 
 ORACLE = r"""
 WITH sizes AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS digest FROM documents),
 n AS (SELECT greatest(1, floor(sqrt(count(*)))::BIGINT) AS buckets FROM sizes),
 by_source AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
@@ -241,13 +243,18 @@ seats AS (
 won AS (
   SELECT place, count(*) AS won FROM (
     SELECT place, open, row_number() OVER (ORDER BY quotient DESC, place, k) AS rank FROM seats) WHERE rank <= open GROUP BY place),
+shared AS (
+  SELECT *, block > 4 AND source_size < 64 * block AND source_size > 0 AS coarse FROM bounds),
+cut AS (
+  SELECT * REPLACE (CASE WHEN coarse THEN greatest(1, source_size // 64) ELSE block END AS block) FROM shared),
 quotas AS (
   SELECT b.source, b.source_size, b.target, b.block, ceil(b.source_size / b.block)::BIGINT AS blocks,
-    least(lo + coalesce(won, 0), 3 * ceil(b.source_size / b.block))::BIGINT AS quota
-  FROM bounds b LEFT JOIN won USING (place)),
+    least(CASE WHEN coarse THEN floor(b.target / b.source_size * ceil(b.source_size / b.block) + 0.5) ELSE lo + coalesce(won, 0) END,
+      3 * ceil(b.source_size / b.block))::BIGINT AS quota
+  FROM cut b LEFT JOIN won USING (place)),
 placed AS (
   SELECT s.doc_id, s.source, s.size,
-    (sum(s.size) OVER (PARTITION BY s.source ORDER BY ('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '')), 1, 8))::BIGINT % n.buckets, s.doc_id, s.size
+    (sum(s.size) OVER (PARTITION BY s.source ORDER BY ('0x' || substr(s.digest, 1, 8))::BIGINT % n.buckets, s.doc_id NULLS LAST, s.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size)::BIGINT AS start FROM sizes s, n),
 joined AS (
   SELECT p.*, q.source_size, q.target, q.block, q.blocks, q.quota,
