@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, word_count
+from .common import WORD, row_key, staged, word_count
 
 #: Multipliers of the block permutation, all prime; the first that does not divide the
 #: number of blocks is taken. Below 2**20, so products stay in 64 bits up to 8e12 blocks.
@@ -39,9 +39,10 @@ PASSES = 3
 FINE, SMALL = 64, 4
 
 
-def _bucket(doc_id: Column, buckets: int) -> Column:
-    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8)
-    return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(buckets))
+def _spot(doc_id: str, text: str) -> Column:
+    """A number of 32 bits from id and text, by which rows are ordered and put in buckets."""
+    known = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(known.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3)) -> DataFrame:
@@ -115,28 +116,33 @@ def mix(docs: DataFrame, block_words: int = 1024, shards: int = 16, seed: int =
     """One row per document: its size, its source's size and target, and what is taken.
 
     ``spans`` lists what the mix takes of the document: shard, pass (0 to 2), first word
-    and number of words; ``taken`` is their sum. The order of documents inside a source
-    is by a digest bucket and doc_id. As many buckets as the square root of the rows keep
-    both the buckets and the list of bucket sums small, also for a source with a third
-    of all rows.
+    and number of words; ``taken`` is their sum. ``source``, ``key`` (of the text) and
+    ``copy`` (from 0, of rows equal in all) say which row it is. As many digest buckets as
+    the square root of the rows keep both the buckets and the list of bucket sums small,
+    also for a source with a third of all rows. Equal rows are counted before they move and
+    placed side by side, so they are one row of their bucket.
     """
-    sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    buckets = max(1, math.isqrt(sizes.count()))
-    rows = sizes.withColumn("bucket", _bucket(F.col("doc_id"), buckets))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    rows = docs.select("doc_id", "source", row_key("text").alias("key"), _spot("doc_id", "text").alias("spot"), word_count(F.col("text")).alias("size"))
+    rows = staged(rows.groupBy("doc_id", "source", "key", "spot", "size").agg(F.count(F.lit(1)).alias("copies")), "mix-sizes")
+    buckets = max(1, math.isqrt(rows.agg(F.sum("copies")).first()[0] or 0))
+    rows = rows.withColumn("bucket", F.col("spot") % buckets).withColumn("words", F.col("size") * F.col("copies"))
+    sums = rows.groupBy("source", "bucket").agg(F.sum("words").alias("bucket_size"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
         F.col("source").alias("s_source"),
         F.col("bucket").alias("s_bucket"),
         F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start"),
     )
-    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = F.col("doc_id").asc_nulls_last(), "size", "key"
+    inside = Window.partitionBy("source", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        rows.withColumn("upto", F.sum("size").over(inside))
+        rows.withColumn("upto", F.sum("words").over(inside))
         .join(starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("bucket") == F.col("s_bucket")))
-        .withColumn("start", F.col("bucket_start") + F.col("upto") - F.col("size"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .withColumn("start", F.col("bucket_start") + F.col("upto") - F.col("words") + F.col("copy") * F.col("size"))
         .drop("s_source", "s_bucket")
     )
+    sizes = rows.select("source", F.col("words").alias("size"))
     quotas = shard_quotas(source_targets(sizes), block_words, shards).withColumnRenamed("source", "q_source")
     quotas = staged(quotas, "mix-quotas")
     joined = placed.join(quotas, F.col("source").eqNullSafe(F.col("q_source")))
@@ -160,28 +166,54 @@ def mix(docs: DataFrame, block_words: int = 1024, shards: int = 16, seed: int =
         joined.withColumn("spans", F.when(F.col("size") > 0, spans).otherwise(none))
         .withColumn("spans", with_shard)
         .withColumn("taken", F.expr("aggregate(spans, 0L, (t, x) -> t + x.words)"))
-        .select("doc_id", "size", "source_size", "target", "taken", "spans")
+        .select("doc_id", "size", "source_size", "target", "taken", "spans", "source", "key", "copy")
     )
 
 
+def _numbered(rows: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` with ``copy``, their number (from 0) among those equal in ``group``.
+
+    Rows are numbered inside the parts they were written from, and parts know how many
+    rows came before them, so a large group is not one task's.
+    """
+    rows = staged(rows.withColumn("part", F.spark_partition_id()), "mix-rows")
+    counts = rows.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("earlier", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    counts = counts.select(*[F.col(c).alias(f"o_{c}") for c in (*group, "part")], "earlier")
+    same = F.col("part") == F.col("o_part")
+    for c in group:
+        same &= F.col(c).eqNullSafe(F.col(f"o_{c}"))
+    inside = Window.partitionBy(*group, "part").orderBy(F.lit(1))
+    numbered = rows.withColumn("number", F.row_number().over(inside) - 1).join(counts, same)
+    return numbered.withColumn("copy", F.col("number") + F.col("earlier"))
+
+
 def taken_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """``docs`` with the text that the mix takes of each; documents without any go.
 
     A pass that takes all words gives the text as it is; of other passes the taken
     stretches are cut from the first word's start to the last word's end. The parts are
-    joined by a line end, in the order of passes. ``n_chars`` is set anew. ``doc_id`` is
-    taken as a key here.
+    joined by a line end, in the order of passes. ``n_chars`` is set anew. ``mixed`` is the
+    ``mix`` of ``docs``: rows are met by doc_id, source and text, equal rows by number.
     """
-    columns = docs.columns
-    spans = mixed.filter("taken > 0").select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("spans").alias("mix_spans"))
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("mix_id"))).drop("mix_id")
-    schema = docs.schema
+    columns, schema = docs.columns, docs.schema
+    spans = mixed.select(F.col("doc_id").alias("m_doc"), F.col("source").alias("m_source"), F.col("key").alias("m_key"), F.col("copy").alias("m_copy"), "size", "taken", "spans")
+    spans = staged(spans, "mix-spans")
+    names = {c: f"c{i}" for i, c in enumerate(columns)}
+    doc, source, text = (names[c] for c in ("doc_id", "source", "text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("key", row_key(text))
+    met = F.col(doc).eqNullSafe(F.col("m_doc")) & F.col(source).eqNullSafe(F.col("m_source")) & (F.col("key") == F.col("m_key"))
+    if not spans.filter("m_copy > 0").isEmpty():
+        rows = _numbered(rows, [doc, source, "key"])
+        met &= F.col("copy") == F.col("m_copy")
+    joined = rows.join(spans.filter("taken > 0"), met).select(*[F.col(n).alias(n) for n in names.values()], "size", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index("text")
         for batch in batches:
             texts = []
-            for text, size, spans in zip(*[batch.column(c).to_pylist() for c in ("text", "mix_size", "mix_spans")], strict=True):
+            for text, size, spans in zip(*[batch.column(c).to_pylist() for c in (at, len(columns), len(columns) + 1)], strict=True):
                 parts: list[str] = []
                 places = None
                 for p in range(PASSES):
@@ -199,7 +231,7 @@ def taken_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
                         places = [m.span() for m in re.finditer(WORD, text)]
                     parts += [text[places[a][0] : places[b - 1][1]] for a, b in runs]
                 texts.append("\n".join(parts))
-            arrays = [batch.column(c) for c in columns]
+            arrays = batch.columns[: len(columns)]
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 

@@ -52,13 +52,14 @@ def brute_language(spark, table):
 
 
 def brute_near(table):
+    """The first row of each component of fingerprints at up to 4 bits, as op10 has them."""
     import xxhash
 
     found = table.collect()
     prints = []
     for r in found:
         words = re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().lower())
-        shingles = [b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+        shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
         hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
         prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
     root = list(range(len(found)))
