@@ -1,12 +1,12 @@
 """From raw documents to token digests: five operators, one after the other.
 
 Language identification drops what is in no known language, line dedup removes repeated
-chunks of lines, near dedup keeps one document of each group of near copies, mixing takes
-words from each source to its target, and SentencePiece encodes what was taken. Each
-stage reads all that its predecessor wrote.
+chunks of lines, near dedup keeps one document of each group of near SimHash fingerprints,
+mixing takes words from each source to its target, and SentencePiece encodes what was
+taken. Each stage reads all that its predecessor wrote.
 
-``doc_id`` is the key of a document. Stages return the columns of their input; only
-the last returns digests.
+Rows may repeat a ``doc_id`` or have none; a row is known by its id, source and text. Stages
+return the columns of their input; only the last returns digests.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchwright.llm import language, line_chunks, mixing, near_copies, pieces
+from matchwright.llm import language, line_chunks, mixing, pieces, simhash
 from matchwright.llm.common import documents, new_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,7 +31,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.keep_one(docs, words=5)
+    return simhash.keep_one(docs, words=4, radius=4)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
