@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchwright.functions.text import pair_id
 from matchwright.operators import maintenance as m
-from matchwright.plans import matching
+from matchwright.plans import candidate_table, matching
 from matchwright.sources import tables as src
 from matchwright.streaming import arrivals
 
@@ -259,17 +259,36 @@ def s01_new_profiles(t: Tables) -> DataFrame:
     return _run(t, _arriving(t, "candidate_id"), match)
 
 
-def s01_stored_profiles(t: Tables) -> DataFrame:
-    """The candidate table after suppliers have arrived as profiles, with their places."""
+def io07_upsert_stored_table(t: Tables) -> DataFrame:
+    """The same upsert on a stored table, of which it rewrites the partitions it touches."""
+    path = src.new_folder(t.spark, "candidate-table")
+    candidate_table.create(t.candidates(), path)
+    candidate_table.upsert(_profiles(t), path, ["arrival"])
+    return candidate_table.read(t.spark, path).select(
+        "candidate_id", "email", "first_name", "last_name", "job_category", "experience_years", "education_level", "city"
+    )
+
+
+def _intake(t: Tables, rows: DataFrame) -> tuple[str, str]:
+    """Candidate table and match folder after ``rows`` have arrived as profiles."""
     people, places, out, checkpoint = (
         src.new_folder(t.spark, label) for label in ("people", "places", "intake-matches", "intake")
     )
-    skills = F.struct(*[F.array().cast("array<string>").alias(c) for c in ("technical_skills", "soft_skills")])
-    vector = F.lit(None).cast("array<double>")
-    t.candidates().withColumns(
-        {"skills": skills, "skills_vector": vector, "location_id": F.lit(None).cast("bigint")}
-    ).write.parquet(people)
     _region(t).write.parquet(places)
+    standing = t.candidates().withColumns({"skills": _no_skills(), "skills_vector": F.lit(None).cast("array<double>")})
+    candidate_table.create(m.with_location_id(standing, _region(t)), people)
+    arrivals.start_intake(
+        rows, people, places, lambda: _standing(t, "job_offer_id"), out, checkpoint, ["arrival"]
+    ).awaitTermination()
+    return people, out
+
+
+def _no_skills() -> Column:
+    return F.struct(*[F.array().cast("array<string>").alias(c) for c in ("technical_skills", "soft_skills")])
+
+
+def s01_stored_profiles(t: Tables) -> DataFrame:
+    """The candidate table after suppliers have arrived as profiles, with their places."""
     source = t.raw("supplier")
     rows = arrivals.file_arrivals(t.spark, f"{t.folder}/supplier*.parquet", source.schema).select(
         F.concat(F.lower("s_name"), F.lit("@example.org")).alias("email"),
@@ -277,13 +296,31 @@ def s01_stored_profiles(t: Tables) -> DataFrame:
         F.concat(F.lit("Town "), F.col("s_nationkey").cast("string")).alias("city"),
         F.lit("Somewhere").alias("country"),
         F.col("s_suppkey").alias("arrival"),
-        skills.alias("skills"),
-        vector.alias("skills_vector"),
+        _no_skills().alias("skills"),
+        F.lit(None).cast("array<double>").alias("skills_vector"),
         F.lit(None).cast("string").alias("job_category"),
     )
-    none = _standing(t, "job_offer_id").filter("false")
-    arrivals.start_intake(rows, people, places, lambda: none, out, checkpoint, ["arrival"]).awaitTermination()
-    return src.read_table(t.spark, people).select("candidate_id", "email", "first_name", "city", "location_id")
+    people, _ = _intake(t, rows)
+    return candidate_table.read(t.spark, people).select("candidate_id", "email", "first_name", "city", "location_id")
+
+
+def s01_intake_matches(t: Tables) -> DataFrame:
+    """Vectors arrive as profiles, are stored, and are matched with all standing offers."""
+    source = t.raw("embeddings")
+    rows = arrivals.file_arrivals(t.spark, f"{t.folder}/embeddings*.parquet", source.schema).select(
+        F.concat(F.lit("v"), F.col("vec_id"), F.lit("@example.org")).alias("email"),
+        F.col("label").cast("string").alias("first_name"),
+        F.lit(None).cast("string").alias("city"),
+        F.lit(None).cast("string").alias("country"),
+        F.col("vec_id").alias("arrival"),
+        _no_skills().alias("skills"),
+        F.col("embedding").cast("array<double>").alias("skills_vector"),
+        F.lit(None).cast("string").alias("job_category"),
+    )
+    people, out = _intake(t, rows)
+    stored = candidate_table.read(t.spark, people).select("candidate_id", "email")
+    now = arrivals.current_matches(arrivals.stored_matches(t.spark, out))
+    return now.join(stored, "candidate_id").select("email", "job_offer_id", F.round("similarity_score", 6).alias("similarity_score"))
 
 
 S01_STORED = """, base AS (SELECT DISTINCT CAST(n_nationkey + 1 AS BIGINT) AS location_id, n_name AS city,
@@ -318,6 +355,7 @@ CHECKS = {
                WHERE candidate_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"""),
     ),
     "io07_upsert_candidates": (io07_upsert_candidates, sql(IO07)),
+    "io07_upsert_stored_table": (io07_upsert_stored_table, sql(IO07)),
     "io08_locations": (io08_locations, sql(_GROWN + " SELECT * FROM grown")),
     "io08_continents": (
         io08_continents,
@@ -335,6 +373,10 @@ CHECKS = {
         f"SELECT candidate_id, job_offer_id, similarity_score FROM ({M19})",
     ),
     "s01_stored_profiles": (s01_stored_profiles, sql(S01_STORED)),
+    "s01_intake_matches": (
+        s01_intake_matches,
+        f"SELECT 'v' || candidate_id || '@example.org' AS email, job_offer_id, similarity_score FROM ({M19})",
+    ),
     "s02_new_offers": (
         s02_new_offers,
         f"SELECT candidate_id, job_offer_id, similarity_score FROM ({M18})",

@@ -239,10 +239,12 @@ def upsert_candidates(
     profiles: DataFrame,
     arrival: Sequence[str],
     now: Column | None = None,
+    after: Column | None = None,
 ) -> DataFrame:
     """Known e-mail: update in place, keep the id; new e-mail: insert with a new id.
 
-    ``arrival`` orders profiles of one e-mail within the batch; the last one wins.
+    ``arrival`` orders profiles of one e-mail within the batch; the last one wins. New
+    ids follow ``after``, by default the largest of ``candidates``.
     """
     at = F.current_timestamp() if now is None else now
     good, _ = split_valid(profiles)
@@ -252,7 +254,7 @@ def upsert_candidates(
     ids = candidates.groupBy("email").agg(F.min("candidate_id").alias("candidate_id"))
     seen = once.drop("candidate_id").join(ids, "email")
     unseen = once.drop("candidate_id").join(ids, "email", "left_anti")
-    top = candidates.agg(F.max("candidate_id")).scalar()
+    top = candidates.agg(F.max("candidate_id")).scalar() if after is None else after
     added = assign_ids(unseen, "candidate_id", ["email"], top)
     stamps = {c: at for c in ("updated_at", "processed_at") if c in candidates.columns}
     defaults = {

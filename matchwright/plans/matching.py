@@ -166,11 +166,16 @@ def profile_intake(
         merged = maintenance.with_location_id(merged, region).select(*candidates.columns)
     stored = staged(merged, "candidates")
     emails = profiles.select(text.strip(F.col("email")).alias("email")).distinct()
-    skills = text.merged_skill_set(F.col("skills.technical_skills"), F.col("skills.soft_skills"))
-    touched = stored.join(emails, "email", "left_semi").withColumn("skill_set", skills)
+    touched = with_skill_set(stored.join(emails, "email", "left_semi"))
     return stored, match_profiles(touched, offers, **options)
 
 
+def with_skill_set(candidates: DataFrame) -> DataFrame:
+    """Candidates with all their skills, technical and soft, as one set."""
+    skills = text.merged_skill_set(F.col("skills.technical_skills"), F.col("skills.soft_skills"))
+    return candidates.withColumn("skill_set", skills)
+
+
 def graded(scored: DataFrame, noise: float = 0.0, seed: int = 0) -> DataFrame:
     """Scored pairs as match records: clamped score, distance and status.
 

@@ -44,6 +44,32 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def put_mark(spark: SparkSession, folder: str, number: int) -> None:
+    """Keep a number as the name of an empty file; smaller marks of the folder go."""
+    system, place = _file_system(spark, folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system.mkdirs(place)
+    system.create(path(place, str(number)), True).close()
+    for found in system.listStatus(place):
+        name = found.getPath().getName()
+        if name.isdigit() and int(name) < number:
+            system.delete(found.getPath(), False)
+
+
+def largest_mark(spark: SparkSession, folder: str) -> int | None:
+    """The largest number kept in ``folder``, or None."""
+    system, place = _file_system(spark, folder)
+    if not system.exists(place):
+        return None
+    names = [found.getPath().getName() for found in system.listStatus(place)]
+    return max((int(n) for n in names if n.isdigit()), default=None)
+
+
+def _file_system(spark: SparkSession, folder: str) -> tuple:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 @contextmanager
 def job_folder(spark: SparkSession) -> Iterator[str]:
     """What is staged inside goes to one folder, deleted when the job is over.

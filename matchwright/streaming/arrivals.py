@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.maintenance import MATCH_KEYS, MATCH_SCORES, add_locations, match_rows
-from ..plans import matching
+from ..operators.maintenance import MATCH_KEYS, MATCH_SCORES, match_rows
+from ..plans import candidate_table, matching
 from ..schema import JOB_MATCHES
-from ..sources.tables import job_folder, read_table, replace_table
+from ..sources.tables import job_folder
 
 Matcher = Callable[[DataFrame], DataFrame]
 BATCH = "batch_id"
@@ -74,8 +74,9 @@ def start_intake(
 ) -> StreamingQuery:
     """Store each batch of profiles by e-mail, with its place, and match it.
 
-    The candidate and location tables are replaced batch by batch; a repeated batch
-    finds its e-mails known and writes the same rows again.
+    ``candidates_path`` is a table in partitions by e-mail (``plans.candidate_table``): a
+    batch rewrites the partitions of its own addresses, and appends places that are new.
+    A repeated batch finds its e-mails and places known and writes the same rows again.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -83,13 +84,10 @@ def start_intake(
         batch.persist()
         try:
             with job_folder(spark):
-                candidates = read_table(spark, candidates_path)
-                region = replace_table(add_locations(read_table(spark, region_path), batch), region_path)
-                stored, found = matching.profile_intake(
-                    candidates, batch, read_offers(), arrival, region, **options
-                )
+                region = candidate_table.add_places(region_path, batch)
+                touched = candidate_table.upsert(batch, candidates_path, arrival, region)
+                found = matching.match_profiles(matching.with_skill_set(touched), read_offers(), **options)
                 match_rows(found).write.mode("overwrite").parquet(f"{matches_path}/{BATCH}={batch_id}")
-                replace_table(stored, candidates_path)
         finally:
             batch.unpersist()
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from matchwright import schema
 from matchwright.operators import maintenance as m
-from matchwright.plans import matching
+from matchwright.plans import candidate_table, matching
 from matchwright.sources import tables as src
 from matchwright.streaming import arrivals
 
@@ -238,10 +238,11 @@ def test_job_folder_is_empty_afterwards(spark):
 def test_profiles_are_stored_with_their_place(spark, tmp_path):
     people, places = str(tmp_path / "people"), str(tmp_path / "places")
     arriving, out = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.createDataFrame(
+    base = spark.createDataFrame(
         [(1, "a@x.org", "Ann", "Tunis", "Tunisia", None, None)],
         "candidate_id long, email string, job_category string, city string, country string, skills_vector array<double>, location_id long",
-    ).withColumn("skills", F.struct(F.array(F.lit("s")).alias("technical_skills"), F.array(F.lit("t")).alias("soft_skills"))).write.parquet(people)
+    ).withColumn("skills", F.struct(F.array(F.lit("s")).alias("technical_skills"), F.array(F.lit("t")).alias("soft_skills")))
+    candidate_table.create(base, people, 16)
     spark.createDataFrame([(4, "Tunis", "Tunisia", "Africa", T1, T1)], "location_id long, city string, country string, continent string, created_at timestamp, updated_at timestamp").write.parquet(places)
     spark.createDataFrame(
         [("a@x.org", "Sales", " Lyon", "France", "Europe", [1.0, 0.0], 1), ("b@x.org", "IT", "Tunis", "Tunisia", None, [0.0, 1.0], 2)],
@@ -261,6 +262,87 @@ def test_profiles_are_stored_with_their_place(spark, tmp_path):
         assert found[(1, 10)] == 1.0
 
 
+def _stored_people(spark, path, n=60, buckets=16):
+    rows = [(i, f"p{i}@x.org", f"P{i}", "IT", 0) for i in range(1, n)] + [(n, None, "nobody", "IT", 0)]
+    base = spark.createDataFrame(rows, "candidate_id long, email string, first_name string, job_category string, experience_years int")
+    candidate_table.create(base, path, buckets)
+    return base
+
+
+def _files(path):
+    return {f"{os.path.basename(d)}/{f}" for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+
+
+PROFILE = "email string, first_name string, job_category string, experience_years string, at int"
+
+
+def test_candidate_table_rewrites_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "people")
+    _stored_people(spark, path)
+    assert len({f.split("/")[0] for f in _files(path)}) == 16
+    profiles = [(" p3@x.org", "Three", "Sales", "4", 1), ("p3@x.org ", "Drei", "Sales", "5", 2), ("new@x.org", "New", None, None, 1), ("broken", "No", None, None, 1)]
+    batch = spark.createDataFrame(profiles, PROFILE)
+    want = {r.email: tuple(r) for r in m.upsert_candidates(candidate_table.read(spark, path), batch, ["at"]).collect()}
+    before = _files(path)
+    touched = {r.email: tuple(r) for r in candidate_table.upsert(batch, path, ["at"]).collect()}
+    assert set(touched) == {"p3@x.org", "new@x.org"} and touched["new@x.org"][0] == 61
+    assert {r.email: tuple(r) for r in candidate_table.read(spark, path).collect()} == want
+    gone = {f.split("/")[0] for f in before - _files(path)}
+    spots = candidate_table.bucketed(spark.createDataFrame([(e,) for e in touched], "email string"), 16)
+    assert gone == {f"email_bucket={r.email_bucket}" for r in spots.collect()} and len(gone) <= 2
+    # The same batch again, as after a failure: the same ids and rows.
+    assert {r.email: tuple(r) for r in candidate_table.upsert(batch, path, ["at"]).collect()} == touched
+    assert {r.email: tuple(r) for r in candidate_table.read(spark, path).collect()} == want
+    later = spark.createDataFrame([("z@x.org", "Z", "IT", "1", 1)], PROFILE)
+    assert [r.candidate_id for r in candidate_table.upsert(later, path, ["at"]).collect()] == [62]
+
+
+def test_candidate_table_reads_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "people")
+    _stored_people(spark, path)
+    some = candidate_table.partitions_of(spark, path, [2, 5])
+    assert "PartitionFilters" in explained(some) and "email_bucket#" in explained(some).split("PartitionFilters")[1].split("]")[0]
+
+
+def explained(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_candidate_table_after_a_lost_batch(spark, tmp_path):
+    """Ids that a failed batch reserved are not given to another address."""
+    path = str(tmp_path / "people")
+    _stored_people(spark, path)
+    src.put_mark(spark, f"{path}/_ids", 70)
+    batch = spark.createDataFrame([("new@x.org", "New", None, None, 1)], PROFILE)
+    assert [r.candidate_id for r in candidate_table.upsert(batch, path, ["at"]).collect()] == [71]
+    nothing = spark.createDataFrame([("broken", "No", None, None, 1), (None, "No", None, None, 2)], PROFILE)
+    assert candidate_table.upsert(nothing, path, ["at"]).count() == 0
+    assert candidate_table.read(spark, path).count() == 61
+    plain = str(tmp_path / "plain")
+    candidate_table.read(spark, path).write.parquet(plain)
+    with pytest.raises(ValueError, match="candidate_table.create"):
+        candidate_table.upsert(batch, plain, ["at"])
+
+
+def test_empty_candidate_table(spark, tmp_path):
+    path = str(tmp_path / "people")
+    base = spark.createDataFrame([], "candidate_id long, email string, first_name string, job_category string, experience_years int")
+    candidate_table.create(base, path, 4)
+    batch = spark.createDataFrame([(f"n{i}@x.org", "New", None, None, 1) for i in range(9)], PROFILE)
+    candidate_table.upsert(batch, path, ["at"])
+    assert sorted(r.candidate_id for r in candidate_table.read(spark, path).collect()) == list(range(1, 10))
+
+
+def test_places_are_appended(spark, tmp_path):
+    path = str(tmp_path / "places")
+    spark.createDataFrame([(4, "Tunis", "Tunisia", "Africa", T1, T1)], "location_id long, city string, country string, continent string, created_at timestamp, updated_at timestamp").write.parquet(path)
+    before = _files(path)
+    batch = spark.createDataFrame([(" Lyon", "France", None), ("Tunis", "Tunisia", None), (None, "", None)], "city string, country string, continent string")
+    for _ in range(2):
+        got = {(r.city, r.country): r.location_id for r in candidate_table.add_places(path, batch).collect()}
+        assert got[("Tunis", "Tunisia")] == 4 and len(got) == 3 and before < _files(path)
+
+
 def test_match_table_jobs(spark):
     people = spark.createDataFrame(
         [(1, [1.0, 0.0], ["a"]), (2, [0.0, 1.0], ["b"])],
