@@ -1,117 +1,126 @@
-"""Exact quantiles and match thresholds without one task seeing all values."""
+"""Exact quantiles and match thresholds by radix selection.
+
+A double is taken as a 64-bit key whose unsigned order is the order of the values. A pass
+counts the values of each wanted range by the next 16 bits of their keys, all ranks
+together; the bin that holds a rank is its range in the next pass. After four passes at
+most a range is one value. Once the ranges hold few values these are counted one by one.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from typing import NamedTuple
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+from ..sources.tables import staged
 
+DIGIT = 16
+BINS = 1 << DIGIT
 
-class _Bracket(NamedTuple):
-    """Values above ``low`` up to ``high``: how many come before them, and how many they are."""
 
-    low: float
-    high: float
-    ahead: int
-    inside: int
+def keys_of(values: np.ndarray) -> np.ndarray:
+    """64-bit numbers in the order of the values; -0.0 counts as 0.0, NaN comes last."""
+    values = np.where(np.isnan(values), np.nan, values + 0.0)
+    bits = values.view(np.uint64)
+    negative = bits >> np.uint64(63) == 1
+    return np.where(negative, ~bits, bits | np.uint64(1 << 63))
 
 
-def _within(v: Column, bracket: _Bracket) -> Column:
-    return (v > bracket.low) & (v <= bracket.high)
+def value_of(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else ~key & ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
 
 
-def _narrowed(values: DataFrame, wanted: dict[int, _Bracket], spread: float) -> dict[int, _Bracket]:
-    """Each rank's bracket cut down by a sketch of the values in it, counted exactly.
+def _counted(values: DataFrame, prefixes: Sequence[int], shift: int) -> DataFrame:
+    """How many values have each key, cut to the bits above ``shift``, among those whose
+    next higher bits are one of ``prefixes``: ``key, n``."""
+    wanted = np.array(sorted(prefixes), np.uint64)
+    above = shift + DIGIT
 
-    The middle between smallest and largest value is a cut, too, so brackets of more
-    than one value always shrink. One row with a few numbers per rank reaches the
-    driver, twice.
-    """
-    ranks = sorted(wanted)
-    v = F.col("v")
-    sketches = []
-    for rank in ranks:
-        bracket = wanted[rank]
-        share = (rank - bracket.ahead + 0.5) / bracket.inside
-        marks = [max(0.0, share - spread), min(1.0, share + spread)]
-        own = F.when(_within(v, bracket), v)
-        sketches.append(F.percentile_approx(own, marks, int(8 / spread)).alias(f"c{rank}"))
-        sketches.append(F.min(own).alias(f"m{rank}"))
-    sketched = values.agg(*sketches).first()
-    cuts = {r: [*sketched[f"c{r}"], sketched[f"m{r}"] / 2 + wanted[r].high / 2] for r in ranks}
-    counts = [F.count_if(v <= c).alias(f"n{rank}_{i}") for rank in ranks for i, c in enumerate(cuts[rank])]
-    upto = values.agg(*counts).first()
-    out = {}
-    for rank in ranks:
-        edges = [(wanted[rank].low, wanted[rank].ahead), *[(c, upto[f"n{rank}_{i}"]) for i, c in enumerate(cuts[rank])]]
-        edges.append((wanted[rank].high, wanted[rank].ahead + wanted[rank].inside))
-        edges = sorted(set(edges))
-        for (low, ahead), (high, upto_high) in zip(edges, edges[1:]):
-            if ahead <= rank < upto_high:
-                out[rank] = _Bracket(low, high, ahead, upto_high - ahead)
-    return out
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.zeros((wanted.size, BINS), np.int64)
+        for batch in batches:
+            keys = keys_of(batch.column(0).to_numpy(zero_copy_only=False))
+            for i, prefix in enumerate(wanted):
+                own = keys if above == 64 else keys[keys >> np.uint64(above) == prefix]
+                tables[i] += np.bincount((own >> np.uint64(shift) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+        for i, prefix in enumerate(wanted):
+            held = np.flatnonzero(tables[i])
+            key = held.astype(np.uint64) if above == 64 else (prefix << np.uint64(DIGIT)) | held.astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(tables[i][held])], names=["key", "n"])
+
+    return values.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _single(values: DataFrame, prefixes: Sequence[int], shift: int) -> DataFrame:
+    """How often each value occurs whose bits above ``shift`` are one of ``prefixes``."""
+    wanted = np.array(sorted(prefixes), np.uint64)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = keys_of(batch.column(0).to_numpy(zero_copy_only=False))
+            held, n = np.unique(keys[np.isin(keys >> np.uint64(shift), wanted)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    return values.mapInArrow(pick, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    table = counts.toArrow()
+    keys = table.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], table.column("n").to_numpy()[order]
 
 
 def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probabilities: Sequence[float],
-    spread: float = 1 / 1024,
-    task_rows: int = 1 << 20,
+    df: DataFrame, value: str, probabilities: Sequence[float], few: int = BINS
 ) -> DataFrame:
     """Linear-interpolated quantiles of a numeric column: ``probability, quantile``.
 
-    A sketch brackets each wanted rank by values a little below and above it, and the
-    rows up to both are counted. That is repeated inside the bracket until it holds at
-    most ``task_rows`` distinct values' worth of rows, or one value; only then are the
-    values of a bracket grouped and ordered. The sketch decides how much work is left,
-    never the result. The column is read anew in each round, and never written.
+    The column is written once, as doubles, and read once per pass: four passes at most,
+    whatever the values, and two where the first leaves ranges of up to ``few`` values.
+    65,536 counts per wanted range reach the driver, of at most two ranges per
+    probability. NULL is left out, NaN is larger than any number.
     """
-    values = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    size, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
     spark = df.sparkSession
+    ship(spark)
+    values = staged(df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull()), "quantile-values")
+    # Per rank: its range (the bits above shift) and its place in it.
+    keys, counts = _collected(_counted(values, [0], 64 - DIGIT))
+    size = int(counts.sum())
     if not size:
         return spark.createDataFrame([], "probability double, quantile double")
     places = {float(p): p * (size - 1) for p in probabilities}
-    ranks = {r for place in places.values() for r in (math.floor(place), math.ceil(place))}
-    found: dict[int, float] = {}
-    whole = _Bracket(-math.inf, high, 0, size)
-    open_ = {rank: whole for rank in ranks}
-    while large := {r: b for r, b in open_.items() if b.inside > task_rows}:
-        narrowed = _narrowed(values, large, spread)
-        # A heavy value fills its bracket alone: then it is the answer.
-        own = {r: F.when(_within(F.col("v"), b), F.col("v")) for r, b in narrowed.items()}
-        ends = values.agg(*[f(c).alias(f"{f.__name__}{r}") for r, c in own.items() for f in (F.min, F.max)]).first()
-        for rank, bracket in narrowed.items():
-            open_[rank] = bracket._replace(high=ends[f"max{rank}"])
-            if ends[f"min{rank}"] == ends[f"max{rank}"]:
-                found[rank] = ends[f"max{rank}"]
-                del open_[rank]
-    if open_:
-        brackets = sorted(set(open_.values()))
-        # Brackets of neighbouring ranks may overlap, so a value goes to each of its own.
-        own = F.filter(
-            F.array(*[F.when(_within(F.col("v"), b), F.lit(i)) for i, b in enumerate(brackets)]),
-            lambda i: i.isNotNull(),
-        )
-        upto = Window.partitionBy("at").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-        ordered = (
-            values.select("v", F.explode(own).alias("at"))
-            .groupBy("at", "v")
-            .agg(F.count("*").alias("n"))
-            .withColumn("low", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-        )
-        wanted = spark.createDataFrame([(r, brackets.index(b), r - b.ahead) for r, b in open_.items()], "rank long, w_at int, inside long")
-        rows = wanted.join(ordered, (F.col("w_at") == F.col("at")) & (F.col("inside") >= F.col("low")) & (F.col("inside") < F.col("low") + F.col("n")))
-        found |= {r["rank"]: r["v"] for r in rows.select("rank", "v").collect()}
+    ranks = sorted({r for place in places.values() for r in (math.floor(place), math.ceil(place))})
+    inside = {r: r for r in ranks}
+    prefix = dict.fromkeys(ranks, 0)
+    for shift in (48, 32, 16, 0):
+        if shift < 48:
+            single = sum({prefix[r]: held[r] for r in ranks}.values()) <= few
+            count = _single if single else _counted
+            keys, counts = _collected(count(values, set(prefix.values()), shift + DIGIT if single else shift))
+            cut = shift + DIGIT if single else DIGIT
+        held = {}
+        for r in ranks:
+            own = slice(None) if shift == 48 else keys >> np.uint64(cut) == np.uint64(prefix[r])
+            upto = np.cumsum(counts[own])
+            at = int(np.searchsorted(upto, inside[r], "right"))
+            prefix[r], held[r] = int(keys[own][at]), int(counts[own][at])
+            inside[r] -= int(upto[at]) - held[r]
+        if shift < 48 and single:
+            break
+    found = {r: value_of(prefix[r]) for r in ranks}
     quantiles = []
     for p, place in places.items():
         below, above = found[math.floor(place)], found[math.ceil(place)]
-        quantiles.append((p, below + (above - below) * (place - math.floor(place))))
+        # Equal ends give themselves, also where they are infinite.
+        between = below if below == above else below + (above - below) * (place - math.floor(place))
+        quantiles.append((p, between))
     return spark.createDataFrame(quantiles, "probability double, quantile double")
 
 
@@ -129,6 +138,7 @@ def match_thresholds(
 ) -> DataFrame:
     """Distance thresholds by every method: ``method, threshold``, one row each."""
     finite = distances.select(F.col(column).cast("double").alias("d")).filter(_finite(F.col("d")))
+    finite = staged(finite, "distances")
     points = sorted({0.25, 0.5, 0.75, percentile / 100.0})
     q = exact_quantiles(finite, "d", points)
 

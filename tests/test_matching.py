@@ -308,27 +308,48 @@ def test_thresholds_without_finite_distances(spark):
     assert set(got.values()) == {2.0} and len(got) == 5
 
 
-@pytest.mark.parametrize("spread", [1 / 1024, 0.2, 1.0])
-def test_exact_quantiles(spark, spread):
+@pytest.mark.parametrize("few", [0, 50, 1 << 16])
+def test_exact_quantiles(spark, few):
+    """Through all four passes, through fewer, and with one; the values are the same."""
     rng = np.random.default_rng(2)
-    values = np.concatenate([rng.normal(size=3000), np.zeros(1500)])
-    df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    p = [0.0, 0.01, 0.33, 0.5, 0.999, 1.0]
-    got = {r.probability: r["quantile"] for r in quantiles.exact_quantiles(df, "v", p, spread).collect()}
-    assert [got[x] for x in p] == pytest.approx(list(np.quantile(values, p)))
-
-
-@pytest.mark.parametrize("task_rows", [1, 50])
-def test_brackets_are_narrowed_until_they_are_small(spark, task_rows):
-    rng = np.random.default_rng(8)
-    values = np.concatenate([rng.normal(size=3000), np.full(2000, 0.25)])  # and one heavy value
-    df = spark.createDataFrame([(float(x),) for x in values], "v double")
-    p = [0.0, 0.1, 0.5, 0.55, 0.9, 1.0]
-    found = quantiles.exact_quantiles(df, "v", p, spread=1 / 32, task_rows=task_rows)
-    got = {r.probability: r["quantile"] for r in found.collect()}
-    assert [got[x] for x in p] == pytest.approx(list(np.quantile(values, p)))
+    values = np.concatenate([rng.normal(size=3000), np.zeros(1500), -np.zeros(9), np.full(2000, 0.25), rng.normal(size=500) * 1e300, [5e-324, -5e-324]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)] * 5, "v double")
+    p = [0.0, 0.01, 0.1, 0.33, 0.5, 0.55, 0.9, 0.999, 1.0]
+    got = {r.probability: r["quantile"] for r in quantiles.exact_quantiles(df, "v", p, few).collect()}
+    assert [got[x] for x in p] == pytest.approx(list(np.quantile(values, p)), rel=1e-12, abs=0)
 
 
+def test_quantiles_of_odd_columns(spark):
+    def at(values, p=0.5):
+        rows = quantiles.exact_quantiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", [p]).collect()
+        return [r["quantile"] for r in rows]
+
+    assert at([]) == at([None, None]) == []
+    assert at([7.0]) == [7.0] and at([1.0, 2.0]) == [1.5]
+    assert at([-math.inf, -math.inf, 3.0]) == [-math.inf]
+    assert math.isnan(at([1.0, math.nan, math.nan])[0]) and at([1.0, 2.0, math.nan]) == [2.0]
+
+
+def test_keys_keep_the_order_of_values():
+    values = np.array([-math.inf, -1e300, -2.0, -5e-324, 0.0, 5e-324, 1.0, 1e300, math.inf, math.nan])
+    keys = quantiles.keys_of(values)
+    assert (np.diff(keys.astype(object)) > 0).all()
+    assert [quantiles.value_of(int(k)) for k in keys[:-1]] == values[:-1].tolist()
+    assert quantiles.keys_of(np.array([-0.0]))[0] == quantiles.keys_of(np.array([0.0]))[0]
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 26])
+def test_similarity_join_in_bounded_batches(spark, monkeypatch, broadcast_bytes):
+    """All pairs are similar; no batch holds more than so many of them."""
+    monkeypatch.setattr(nearest, "PAIRS_AT_ONCE", 100)
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0 + float(x), 1.0]) for i, x in enumerate(rng.random(70) * 1e-3)]
+    people = spark.createDataFrame(rows, "candidate_id long, skills_vector array<double>")
+    offers = people.withColumnRenamed("candidate_id", "job_offer_id").filter("job_offer_id < 50")
+    found = nearest.similar_pairs(people, offers, 0.5, broadcast_bytes=broadcast_bytes)
+    assert {(r.candidate_id, r.job_offer_id) for r in found.collect()} == {(a, b) for a in range(70) for b in range(50)}
+    assert found.count() == 3500
+
 
 # -- tiers --------------------------------------------------------------------------
 
