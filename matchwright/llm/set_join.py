@@ -275,9 +275,12 @@ def linked(sets: DataFrame) -> DataFrame:
     led = staged(_verified(staged(first.select(F.col("sid").alias("a"), F.col("low").alias("b")), "set-first"), sets), "set-led")
     known = components(led).select(F.col("node").alias("sid"), F.col("root").alias("known"))
     known = staged(small.join(known, "sid", "left").withColumn("known", F.coalesce("known", "sid")), "set-known")
-    named = held.select("sig", "sid").join(known.select("sid", "known"), "sid")
+    # The smallest set of a signature has been compared with all its others.
+    rest = held.filter("sid != low").select("sig", "sid")
+    named = rest.join(known.select("sid", "known"), "sid")
     open_ = named.groupBy("sig").agg(F.min("known").alias("low"), F.max("known").alias("high")).filter("low < high").select("sig")
-    left = staged(staged(open_, "set-open").join(held.select("sig", "sid"), "sig").join(known, "sid"), "set-left")
+    left = staged(staged(open_, "set-open").join(rest, "sig").join(known, "sid"), "set-left")
+    release(spark)
     right = left.select("sig", *[F.col(c).alias(f"o_{c}") for c in (*names, "known")])
     p, o = left.alias("p"), right.alias("o")
     meets = (F.col("p.sig") == F.col("o.sig")) & (F.col("sid") < F.col("o_sid")) & (F.col("known") != F.col("o_known")) & _near()
