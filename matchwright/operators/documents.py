@@ -30,17 +30,23 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sort_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Readable documents with their text, and the rejected files with a reason."""
-    body = F.when(F.col("extension").isin(READABLE), text.decode_bytes(F.col("content")))
+    """Readable documents with their text, and the rejected files with a reason.
+
+    Names and lengths are judged first, so the bytes of a file that these reject are not
+    read.
+    """
+    length = F.col("length") if "length" in files.columns else F.octet_length("content")
     reason = (
         F.when(F.col("extension").isin(NEEDS_A_PARSER), "needs a document parser")
         .when(~F.col("extension").isin(READABLE), "unsupported file format")
-        .when(F.octet_length("content") == 0, "empty file")
-        .when(~F.col("text").rlike(r"\S"), "no text in file")
+        .when(length == 0, "empty file")
     )
-    judged = files.withColumn("text", body).withColumn("reason", reason)
-    kept = judged.filter(F.col("reason").isNull()).drop("reason", "content")
-    return kept, judged.filter(F.col("reason").isNotNull()).drop("text", "content")
+    refused = files.drop("content") if "length" in files.columns else files
+    refused = refused.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("content")
+    read = files.filter(reason.isNull()).withColumn("text", F.when(F.col("extension").isin(READABLE), text.decode_bytes(F.col("content"))))
+    has = F.coalesce(F.col("text").rlike(r"\S"), F.lit(True))
+    silent = read.filter(~has).drop("text", "content").withColumn("reason", F.lit("no text in file"))
+    return read.filter(has).drop("content"), refused.unionByName(silent)
 
 
 def has_text(df: DataFrame, column: str = "text") -> DataFrame:
@@ -51,6 +57,7 @@ def has_text(df: DataFrame, column: str = "text") -> DataFrame:
 
 CHARACTERS_AT_A_TIME = 1 << 20
 PROFILE_ROWS = 1 << 20  # largest profile that is broadcast
+PART_BYTES = 32 << 20
 
 
 def _flat() -> Column:
@@ -131,8 +138,10 @@ def language_profile(documents: DataFrame) -> DataFrame:
 
 
 def _spread(documents: DataFrame) -> DataFrame:
-    """Parts of bounded size, whatever the files: whole texts are weighed in Python."""
-    return documents.repartition(documents.sparkSession.sparkContext.defaultParallelism)
+    """Parts of ``PART_BYTES`` of text on average, or one per core where that is more."""
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    return documents.repartition(max(cores, -(-size // PART_BYTES)))
 
 
 def tag_language(

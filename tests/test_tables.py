@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchwright import schema
+from matchwright.operators import documents
 from matchwright.operators import maintenance as m
 from matchwright.plans import candidate_table, matching
 from matchwright.sources import tables as src
@@ -324,6 +325,19 @@ def test_candidate_table_after_a_lost_batch(spark, tmp_path):
         candidate_table.upsert(batch, plain, ["at"])
 
 
+def test_rejected_files_are_not_read(spark, tmp_path):
+    for name, body in (("a.txt", b"text"), ("b.pdf", b"%PDF"), ("c.txt", b"  "), ("d.xyz", b"?")):
+        (tmp_path / name).write_bytes(body)
+    kept, rejected = documents.sort_files(documents.read_files(spark, str(tmp_path)))
+    assert [(r.filename, r.text) for r in kept.collect()] == [("a.txt", "text")]
+    assert {(r.filename, r.reason) for r in rejected.collect()} == {
+        ("b.pdf", "needs a document parser"), ("c.txt", "no text in file"), ("d.xyz", "unsupported file format")
+    }
+    refused = rejected.filter("reason != 'no text in file'")
+    scans = [x for x in explained(refused).split("ReadSchema: ")[1:]]
+    assert any("content" not in x.split("\n")[0] for x in scans)
+
+
 def test_empty_candidate_table(spark, tmp_path):
     path = str(tmp_path / "people")
     base = spark.createDataFrame([], "candidate_id long, email string, first_name string, job_category string, experience_years int")
