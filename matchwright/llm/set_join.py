@@ -56,7 +56,7 @@ LOG_BITS = 23
 #: Cells of the parity sketch, as longs of 64.
 SKETCH = 8
 #: What a signature row costs, in compared pairs.
-ROW_COST = 20
+ROW_COST = 100
 CHOICES = ((1, 0), (3, 1), (4, 1), (5, 2), (6, 2), (7, 3), (8, 3))
 SIGNED = "s0 long, s1 long, s2 long, s3 long, s4 long, s5 long, s6 long, s7 long"
 
@@ -149,7 +149,19 @@ def whole_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
 
     rows = docs.select(row_key("doc_id", "text").alias("place"), "text")
     found = rows.mapInArrow(compute, f"place long, sid long, n long, own array<long>, odds array<long>, {SIGNED}")
-    return found.join(chosen, ["sid", "place"], "left_semi").dropDuplicates(["sid"]).drop("place")
+    # One place for each set; rows that repeat wholly share it.
+    return found.join(chosen, ["sid", "place"], "left_semi").dropDuplicates(["sid", "place"]).drop("place")
+
+
+def _asked(sets: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    """sid and shingles of the sets on one side of the pairs, and a few others."""
+    bits = sets.sparkSession.sparkContext.broadcast(bitmap(pairs, side, LOG_BITS))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(bits.value, as_keys(batch.column(0)))))
+
+    return sets.select("sid", "own").mapInArrow(pick, "sid long, own array<long>")
 
 
 def as_keys(column: pa.Array) -> np.ndarray:
@@ -252,10 +264,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     bound = differ * (WHOLE + PART) <= (F.col("a_n") + F.col("b_n")) * (WHOLE - PART)
     pairs = staged(pairs.join(first, "a").join(second, "b").filter(bound).select("a", "b"), "set-close")
     release(sets.sparkSession)
-    left = sets.select(F.col("sid").alias("a"), F.col("own").alias("x"))
-    right = sets.select(F.col("sid").alias("b"), F.col("own").alias("y"))
+    left = _asked(sets, pairs, "a").select(F.col("sid").alias("a"), F.col("own").alias("x"))
+    right = _asked(sets, pairs, "b").select(F.col("sid").alias("b"), F.col("own").alias("y"))
     both = F.size(F.array_intersect("x", "y")) * (PART + WHOLE) >= (F.size("x") + F.size("y")) * PART
-    return pairs.join(left, "a").join(right, "b").filter(both).select("a", "b")
+    found = staged(pairs.join(left, "a").join(right, "b").filter(both).select("a", "b"), "set-alike")
+    release(sets.sparkSession)
+    return found
 
 
 def linked(sets: DataFrame) -> DataFrame:
@@ -272,7 +286,7 @@ def linked(sets: DataFrame) -> DataFrame:
     release(spark, place)
     first = held.filter("sid != low").select("sid", "low").distinct()
     first = first.join(small, "sid").join(other, F.col("low") == F.col("o_sid")).filter(_near())
-    led = staged(_verified(staged(first.select(F.col("sid").alias("a"), F.col("low").alias("b")), "set-first"), sets), "set-led")
+    led = _verified(staged(first.select(F.col("sid").alias("a"), F.col("low").alias("b")), "set-first"), sets)
     known = components(led).select(F.col("node").alias("sid"), F.col("root").alias("known"))
     known = staged(small.join(known, "sid", "left").withColumn("known", F.coalesce("known", "sid")), "set-known")
     # The smallest set of a signature has been compared with all its others.
