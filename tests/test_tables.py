@@ -271,7 +271,7 @@ def _stored_people(spark, path, n=60, buckets=16):
 
 
 def _files(path):
-    return {f"{os.path.basename(d)}/{f}" for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+    return {f"{os.path.basename(d)}/{f}" for d, _, names in os.walk(path) for f in names if f.startswith("part-") and "/_" not in d}
 
 
 PROFILE = "email string, first_name string, job_category string, experience_years string, at int"
