@@ -3,8 +3,11 @@
 An offer's score is the share of its skills the candidate has. A candidate that
 reaches the minimum must hold at least one of the offer's rarest skills (the prefix
 filter of set-similarity joins: Chaudhuri et al., ICDE 2006), so the sides meet on those
-skills only. Per skill they meet in blocks, and a block hands on at most ``k``
-candidates per offer.
+skills only. Both sides order their skills by rarity and hold them as numbers. A row
+takes to a skill only what comes from there on: a pair that first meets there shares
+nothing before. A candidate stays away from a skill if too little comes from there on
+for any offer that waits at it (positional filter). Per skill the sides meet in blocks,
+and a block hands on at most ``k`` rows per offer, or per candidate.
 """
 
 from __future__ import annotations
@@ -20,10 +23,13 @@ from ..functions import scores, text
 from ..sources.tables import staged
 from . import blocks
 from .blocks import PAIR_SCHEMA
+from .maintenance import assign_ids
 from .nearest import top_per_offer
 
 FEW_OFFERS = 4096  # most offers that are broadcast
+SKILL_BYTES = 4096  # most bytes of skills of an offer that is broadcast
 SLICE = 1024  # candidates held against them at a time
+PAIRS = 1 << 20  # pairs a task holds where all are asked for
 
 
 def folded_skills(df: DataFrame, key: str, *skill_columns: str) -> DataFrame:
@@ -36,17 +42,19 @@ def folded_skills(df: DataFrame, key: str, *skill_columns: str) -> DataFrame:
 ANYONE = ""  # stands for "no skill asked": every candidate has it
 
 
-def _overlap_blocks(k: int | None, minimum: float):
+def _overlap_blocks(k: int | None, minimum: float, per_candidate: bool):
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return blocks.as_frame(blocks.no_pairs())
         found = blocks.overlap_pairs(
             list(left["held"]),
             left["candidate_id"].to_numpy(),
-            list(right["wanted"]),
+            blocks.askers_of(list(right["wanted"])),
+            right["asked"].to_numpy(),
             right["job_offer_id"].to_numpy(),
             k,
             minimum,
+            per_candidate,
         )
         return blocks.as_frame(found)
 
@@ -54,9 +62,19 @@ def _overlap_blocks(k: int | None, minimum: float):
 
 
 def _asked_skills(asked: DataFrame, limit: int) -> tuple[list[np.ndarray], np.ndarray] | None:
-    """All offers' skills where they are few, counted while reading; else None."""
-    head = asked.select("job_offer_id", "wanted").take(limit + 1)
-    if len(head) > limit or sum(len(r.wanted) for r in head) > 16 * limit:
+    """All offers' skills where they are few and short, counted while reading; else None.
+
+    Skills of more than ``SKILL_BYTES`` an offer are not fetched.
+    """
+    size = F.aggregate(
+        "wanted", F.lit(0), lambda n, s: n + F.coalesce(F.octet_length(s), F.lit(0))
+    )
+    head = asked.select(
+        "job_offer_id", F.when(size <= SKILL_BYTES, F.col("wanted")).alias("wanted")
+    ).take(limit + 1)
+    if len(head) > limit or any(r.wanted is None for r in head):
+        return None
+    if sum(len(r.wanted) for r in head) > 16 * limit:
         return None
     return [np.array(r.wanted, dtype=object) for r in head], np.array(
         [r.job_offer_id for r in head], dtype=np.int64
@@ -68,25 +86,33 @@ def _with_few_offers(
     few: tuple[list[np.ndarray], np.ndarray],
     k: int | None,
     minimum: float,
+    per_candidate: bool = False,
 ) -> DataFrame:
-    """Pairs of broadcast offers and candidates read in place: no skill is shuffled."""
+    """Pairs of broadcast offers and candidates read in place: no skill is shuffled.
+
+    All offers are at hand, so a candidate's best ``k`` are final and leave at once.
+    """
     shared = candidates.sparkSession.sparkContext.broadcast(few)
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted, offers = shared.value
+        askers, sizes = blocks.askers_of(wanted), np.array([len(w) for w in wanted])
+        at_a_time = SLICE if k is not None else max(1, min(SLICE, PAIRS // max(len(offers), 1)))
         best = blocks.no_pairs()
         for batch in batches:
-            for start in range(0, len(batch), SLICE):
-                part = batch.iloc[start : start + SLICE]
+            for start in range(0, len(batch), at_a_time):
+                part = batch.iloc[start : start + at_a_time]
                 found = blocks.overlap_pairs(
                     list(part["skill_set"]),
                     part["candidate_id"].to_numpy(),
-                    wanted,
+                    askers,
+                    sizes,
                     offers,
                     k,
                     minimum,
+                    per_candidate,
                 )
-                if k is None:
+                if k is None or per_candidate:
                     yield blocks.as_frame(found)
                 else:
                     best = blocks.keep_best(blocks.join_pairs([best, found]), k)
@@ -100,64 +126,114 @@ def _check(min_similarity: float) -> None:
         raise ValueError("min_similarity must be positive: 0 would ask for every pair")
 
 
+def _numbered(candidates: DataFrame, asked: DataFrame) -> DataFrame:
+    """Every skill an offer asks for: ``skill, number, holders``."""
+    vocabulary = asked.select(F.explode("wanted").alias("skill")).distinct()
+    holders = (
+        candidates.select(F.explode("skill_set").alias("skill"))
+        .join(vocabulary, "skill", "left_semi")
+        .groupBy("skill")
+        .agg(F.count("*").alias("holders"))
+    )
+    known = vocabulary.join(holders, "skill", "left").withColumn(
+        "holders", F.coalesce("holders", F.lit(0).cast("long"))
+    )
+    return staged(assign_ids(known, "number", ["skill"], F.lit(0)), "skill-numbers")
+
+
+def _by_rarity(rows: DataFrame, keys: list[str], column: str, numbered: DataFrame) -> DataFrame:
+    """``keys`` and the numbers of a row's skills, rarest first, as far as they are asked for."""
+    return (
+        rows.select(*keys, F.explode(column).alias("skill"))
+        .join(numbered, "skill")
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_set(F.struct("holders", "number"))).alias("found"))
+        .select(*keys, F.col("found.number").alias("numbers"))
+    )
+
+
+def _held(candidates: DataFrame, numbered: DataFrame) -> DataFrame:
+    return _by_rarity(candidates, ["candidate_id"], "skill_set", numbered).withColumnRenamed(
+        "numbers", "held"
+    )
+
+
+def _wanted(asked: DataFrame, numbered: DataFrame) -> DataFrame:
+    sized = asked.select("job_offer_id", F.size("wanted").alias("asked"), "wanted")
+    return _by_rarity(sized, ["job_offer_id", "asked"], "wanted", numbered).withColumnRenamed(
+        "numbers", "wanted"
+    )
+
+
+def _first_of_equals(rows: DataFrame, key: str, same: list[str], k: int) -> DataFrame:
+    """The ``k`` smallest keys of rows that tie everywhere: no other can be among the best."""
+    copies = Window.partitionBy(*same).orderBy(key)
+    return rows.withColumn("at", F.row_number().over(copies)).filter(F.col("at") <= k).drop("at")
+
+
 def _meeting(
-    heads: DataFrame, asked: DataFrame, k: int | None, min_similarity: float, block_rows: int
+    heads: DataFrame,
+    asking: DataFrame,
+    k: int | None,
+    min_similarity: float,
+    block_rows: int,
+    per_candidate: bool = False,
 ) -> DataFrame:
-    """Scored pairs of ``candidate_id, held`` and ``job_offer_id, wanted``."""
-    index = heads.select("candidate_id", "held", F.explode("held").alias("skill"))
-    frequency = index.groupBy("skill").agg(F.count("*").alias("holders"))
-    rarity = Window.partitionBy("job_offer_id").orderBy("holders", "skill")
-    needed = F.greatest(
-        F.ceil(F.size("wanted") * F.lit(min_similarity) - F.lit(1e-9)), F.lit(1)
-    )
+    """Scored pairs of ``candidate_id, held`` and ``job_offer_id, asked, wanted``.
+
+    A pair that meets at several skills is counted whole at the first and in part at the
+    others; its largest score is the true one. What a block cuts stands behind ``k`` pairs
+    whose true scores are no smaller, so cutting by parts loses none of the best.
+    """
+    needed = F.greatest(F.ceil(F.col("asked") * F.lit(min_similarity) - F.lit(1e-9)), F.lit(1))
     prefix = (
-        asked.select("job_offer_id", "wanted", F.explode("wanted").alias("skill"))
-        .join(frequency, "skill", "left")
-        .withColumn("holders", F.coalesce("holders", F.lit(0)))
-        .withColumn("at", F.row_number().over(rarity))
-        .filter(F.col("at") <= F.size("wanted") - needed + 1)
-        .filter(F.col("holders") > 0)
+        asking.withColumn("needed", needed)
+        .select("job_offer_id", "asked", "needed", "wanted", F.posexplode("wanted"))
+        .withColumnsRenamed({"col": "number", "pos": "at"})
+        .filter(F.size("wanted") - F.col("at") >= F.col("needed"))
+        .withColumn("wanted", F.expr("slice(wanted, at + 1, size(wanted) - at)"))
     )
-    splits = (
-        prefix.groupBy("skill")
-        .agg(F.max("holders").alias("holders"), F.count("*").alias("askers"))
+    asks = prefix.groupBy("number").agg(
+        F.count("*").alias("askers"), F.min("needed").alias("least")
+    )
+    coming = (
+        heads.select("candidate_id", "held", F.posexplode("held"))
+        .withColumnsRenamed({"col": "number", "pos": "at"})
+        .join(asks, "number")
+        .filter(F.size("held") - F.col("at") >= F.col("least"))
+    )
+    splits = staged(
+        coming.groupBy("number")
+        .agg(F.count("*").alias("holders"), F.first("askers").alias("askers"))
         .select(
-            "skill",
+            "number",
             F.ceil(F.col("holders") / block_rows).cast("int").alias("parts"),
             F.ceil(F.col("askers") / block_rows).cast("int").alias("blocks"),
-        )
+        ),
+        "skill-blocks",
     )
-    travelling = index.join(splits, "skill").select(
-        "skill",
+    travelling = coming.join(splits, "number").select(
+        "number",
         "candidate_id",
-        "held",
+        F.expr("slice(held, at + 1, size(held) - at)").alias("held"),
         F.pmod(F.xxhash64("candidate_id"), F.col("parts")).cast("int").alias("part"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
     )
-    waiting = prefix.join(splits, "skill").select(
-        "skill",
+    waiting = prefix.join(splits, "number").select(
+        "number",
         "job_offer_id",
+        "asked",
         "wanted",
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
         F.pmod(F.xxhash64("job_offer_id"), F.col("blocks")).cast("int").alias("block"),
     )
-    keys = ["skill", "part", "block"]
+    keys = ["number", "part", "block"]
     return (
         travelling.groupBy(*keys)
         .cogroup(waiting.groupBy(*keys))
-        .applyInPandas(_overlap_blocks(k, min_similarity), PAIR_SCHEMA)
-        .distinct()
-    )
-
-
-def _useful(candidates: DataFrame, asked: DataFrame) -> DataFrame:
-    """Candidates' skills as far as any offer asks for them: ``candidate_id, held``."""
-    vocabulary = asked.select(F.explode("wanted").alias("skill")).distinct()
-    return (
-        candidates.select("candidate_id", F.explode("skill_set").alias("skill"))
-        .join(vocabulary, "skill", "left_semi")
-        .groupBy("candidate_id")
-        .agg(F.array_sort(F.collect_set("skill")).alias("held"))
+        .applyInPandas(_overlap_blocks(k, min_similarity, per_candidate), PAIR_SCHEMA)
+        .groupBy("job_offer_id", "candidate_id")
+        .agg(F.max("similarity_score").alias("similarity_score"))
     )
 
 
@@ -182,16 +258,13 @@ def best_by_overlap(
     if few is not None:
         found = _with_few_offers(candidates, few, k, min_similarity)
     else:
-        # Candidates with the same useful skills tie everywhere: the smallest ids suffice.
-        copies = Window.partitionBy("held").orderBy("candidate_id")
+        numbered = _numbered(candidates, asked)
         heads = staged(
-            _useful(candidates, asked)
-            .withColumn("at", F.row_number().over(copies))
-            .filter(F.col("at") <= k)
-            .drop("at"),
+            _first_of_equals(_held(candidates, numbered), "candidate_id", ["held"], k),
             "skill-holders",
         )
-        found = _meeting(heads, asked, k, min_similarity, block_rows)
+        asking = staged(_wanted(asked, numbered), "skill-askers")
+        found = _meeting(heads, asking, k, min_similarity, block_rows)
     first = (
         candidates.select("candidate_id")
         .orderBy("candidate_id")
@@ -212,23 +285,38 @@ def best_offers_by_overlap(
     offers: DataFrame,
     k: int = scores.MATCHES_PER_OFFER,
     min_similarity: float = scores.MIN_SIMILARITY,
-    **how,
+    block_rows: int = 2048,
+    few_offers: int = FEW_OFFERS,
 ) -> DataFrame:
     """The ``k`` offers whose skills each candidate covers best, ties by offer id.
 
     An offer without skills scores 1 with everyone: the ``k`` smallest such ids are
-    found once and handed to every candidate.
+    found once and handed to every candidate. No more than ``k`` rows of a candidate
+    leave a block.
     """
-    asking = offers.filter(F.size("skill_set") > 0)
-    found = overlapping_pairs(candidates, asking, min_similarity, **how)
-    empty = offers.filter(F.size("skill_set") == 0).select("job_offer_id")
-    few = empty.orderBy("job_offer_id").limit(k).agg(F.collect_list("job_offer_id")).scalar()
-    open_to_all = candidates.select(F.explode(few).alias("job_offer_id"), "candidate_id").withColumn(
-        "similarity_score", F.lit(1.0)
+    _check(min_similarity)
+    asked = offers.filter(F.size("skill_set") > 0).select(
+        "job_offer_id", F.col("skill_set").alias("wanted")
     )
+    few = _asked_skills(asked, few_offers)
+    if few is not None:
+        found = _with_few_offers(candidates, few, k, min_similarity, per_candidate=True)
+    else:
+        numbered = _numbered(candidates, asked)
+        heads = staged(_held(candidates, numbered), "skill-holders")
+        asking = staged(
+            _first_of_equals(_wanted(asked, numbered), "job_offer_id", ["wanted", "asked"], k),
+            "skill-askers",
+        )
+        found = _meeting(heads, asking, k, min_similarity, block_rows, per_candidate=True)
+    empty = offers.filter(F.size("skill_set") == 0).select("job_offer_id")
+    first = empty.orderBy("job_offer_id").limit(k).agg(F.collect_list("job_offer_id")).scalar()
+    open_to_all = candidates.select(
+        F.explode(first).alias("job_offer_id"), "candidate_id"
+    ).withColumn("similarity_score", F.lit(1.0))
     best = Window.partitionBy("candidate_id").orderBy(F.desc("similarity_score"), "job_offer_id")
     return (
-        found.unionByName(open_to_all.select(*found.columns))
+        found.unionByName(open_to_all)
         .withColumn("match_rank", F.row_number().over(best))
         .filter(F.col("match_rank") <= k)
     )
@@ -238,12 +326,13 @@ def overlapping_pairs(
     candidates: DataFrame,
     offers: DataFrame,
     min_similarity: float = scores.MIN_SIMILARITY,
-    block_rows: int = 2048,
+    block_rows: int = 1024,
     few_offers: int = FEW_OFFERS,
 ) -> DataFrame:
     """All pairs with at least ``min_similarity`` overlap: a set-similarity join.
 
-    An offer without skills pairs with everyone, as its score of 1 demands.
+    An offer without skills pairs with everyone, as its score of 1 demands. A task
+    holds at most ``block_rows`` squared pairs, or ``PAIRS`` where offers are broadcast.
     """
     _check(min_similarity)
     anyone = F.array(F.lit(ANYONE))
@@ -257,8 +346,10 @@ def overlapping_pairs(
     few = _asked_skills(asked, few_offers)
     if few is not None:
         return _with_few_offers(everyone, few, None, min_similarity)
-    heads = staged(_useful(everyone, asked), "skill-holders")
-    return _meeting(heads, asked, None, min_similarity, block_rows)
+    numbered = _numbered(everyone, asked)
+    heads = staged(_held(everyone, numbered), "skill-holders")
+    asking = staged(_wanted(asked, numbered), "skill-askers")
+    return _meeting(heads, asking, None, min_similarity, block_rows)
 
 
 def overlap_scores(pairs: DataFrame, candidates: DataFrame, offers: DataFrame) -> DataFrame:

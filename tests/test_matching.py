@@ -168,6 +168,19 @@ def brute_overlap(candidates, offers, minimum, k=None):
     return out
 
 
+def brute_overlap_of_candidates(candidates, offers, minimum, k):
+    out = {}
+    for c, v in candidates:
+        found = []
+        for o, w in offers:
+            s = len(set(v) & set(w)) / len(w) if w else 1.0
+            if s >= minimum:
+                found.append((-s, o))
+        for s, o in sorted(found)[:k]:
+            out[(o, c)] = -s
+    return out
+
+
 def skill_frame(spark, key, rows):
     return spark.createDataFrame(rows, f"{key} long, skill_set array<string>")
 
@@ -187,6 +200,61 @@ def test_best_by_overlap(spark, skill_sides, minimum, block_rows, few_offers):
     assert scored(got) == brute_overlap(candidates, offers, minimum, 6)
 
 
+@pytest.mark.parametrize("minimum,block_rows", [(0.2, 4096), (0.5, 11), (1.0, 64)])
+@pytest.mark.parametrize("few_offers", [0, 4096])
+def test_best_offers_by_overlap(spark, skill_sides, minimum, block_rows, few_offers):
+    candidates, offers = skill_sides
+    offers = offers + [(60 + i, ["s0", "s1"]) for i in range(30)] + [(95, []), (96, [])]
+    got = overlap.best_offers_by_overlap(
+        skill_frame(spark, "candidate_id", candidates),
+        skill_frame(spark, "job_offer_id", offers),
+        k=4,
+        min_similarity=minimum,
+        block_rows=block_rows,
+        few_offers=few_offers,
+    )
+    turned = brute_overlap_of_candidates(candidates, offers, minimum, 4)
+    assert got.count() == len(scored(got))
+    assert scored(got) == turned
+
+
+def test_candidates_keep_k_rows_in_the_task(spark, skill_sides):
+    """Where offers are broadcast, the scan's task hands on k rows of a candidate."""
+    candidates, offers = skill_sides
+    few = [np.array(w, dtype=object) for _, w in offers if w], np.array(
+        [o for o, w in offers if w], dtype=np.int64
+    )
+    frame = skill_frame(spark, "candidate_id", candidates)
+    found = overlap._with_few_offers(frame, few, 3, 0.2, per_candidate=True)
+    assert found.groupBy("candidate_id").count().agg({"count": "max"}).first()[0] == 3
+
+
+def test_skills_travel_from_the_meeting_on(spark, skill_sides):
+    """No block sees a skill that is rarer than the one it meets at, nor a hopeless candidate."""
+    candidates, offers = skill_sides
+    mine = skill_frame(spark, "candidate_id", candidates)
+    asked = skill_frame(spark, "job_offer_id", [o for o in offers if o[1]]).withColumnRenamed(
+        "skill_set", "wanted"
+    )
+    numbered = overlap._numbered(mine, asked)
+    held = overlap._held(mine, numbered)
+    holders = {r.number: r.holders for r in numbered.collect()}
+    for row in held.collect():
+        assert [holders[n] for n in row.held] == sorted(holders[n] for n in row.held)
+    assert held.schema["held"].dataType.elementType.typeName() == "long"
+
+
+def test_long_skills_are_not_broadcast(spark):
+    long = [("x" * 5000)]
+    asked = spark.createDataFrame([(1, long)], "job_offer_id long, wanted array<string>")
+    assert overlap._asked_skills(asked, 4096) is None
+    got = overlap.best_by_overlap(
+        skill_frame(spark, "candidate_id", [(7, long), (8, ["y"])]),
+        skill_frame(spark, "job_offer_id", [(1, long)]),
+    )
+    assert scored(got) == {(1, 7): 1.0}
+
+
 @pytest.mark.parametrize("few_offers", [0, 4096])
 def test_overlapping_pairs(spark, skill_sides, few_offers):
     candidates, offers = skill_sides
