@@ -1,13 +1,13 @@
-"""Skill-overlap matching through an inverted index, exact and without pair lists.
-
-An offer's score is the share of its skills the candidate has. A candidate that
-reaches the minimum must hold at least one of the offer's rarest skills (the prefix
-filter of set-similarity joins: Chaudhuri et al., ICDE 2006), so the sides meet on those
-skills only. Both sides order their skills by rarity and hold them as numbers. A row
-takes to a skill only what comes from there on: a pair that first meets there shares
-nothing before. A candidate stays away from a skill if too little comes from there on
-for any offer that waits at it (positional filter). Per skill the sides meet in blocks,
-and a block hands on at most ``k`` rows per offer, or per candidate.
+"""Skill-overlap matching, exact and without pair lists.
+
+An offer's score is the share of its skills the candidate has. Few offers are broadcast.
+Otherwise both sides hold their skills as numbers, as far as an offer asks for them, and
+are packed into blocks that are written once and meet as a Cartesian product: no copies of
+sets are shuffled, however many blocks a block meets. Each block's own index of skills
+finds what its rows share with another's. Candidates with more skills come first, and a
+block is left out where none of its candidates has as many skills as an offer needs, by
+the minimum or by the ``k`` it has found already. A task keeps the best ``k`` of its offers
+(or candidates) while the other side passes by, in a fixed number of partitions at most.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
@@ -24,12 +26,14 @@ from ..sources.tables import staged
 from . import blocks
 from .blocks import PAIR_SCHEMA
 from .maintenance import assign_ids
-from .nearest import top_per_offer
+from .nearest import FEWEST_ROWS, FILE_BLOCKS, TASKS_PER_CORE, top_per_offer
 
 FEW_OFFERS = 4096  # most offers that are broadcast
 SKILL_BYTES = 4096  # most bytes of skills of an offer that is broadcast
 SLICE = 1024  # candidates held against them at a time
 PAIRS = 1 << 20  # pairs a task holds where all are asked for
+BLOCK_SKILLS = 1 << 20  # most skills of a block, 8 MB
+NO_ID = -(1 << 63)  # stands for a NULL id, and comes first as Spark sorts it
 
 
 def folded_skills(df: DataFrame, key: str, *skill_columns: str) -> DataFrame:
@@ -42,23 +46,36 @@ def folded_skills(df: DataFrame, key: str, *skill_columns: str) -> DataFrame:
 ANYONE = ""  # stands for "no skill asked": every candidate has it
 
 
-def _overlap_blocks(k: int | None, minimum: float, per_candidate: bool):
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return blocks.as_frame(blocks.no_pairs())
-        found = blocks.overlap_pairs(
-            list(left["held"]),
-            left["candidate_id"].to_numpy(),
-            blocks.askers_of(list(right["wanted"])),
-            right["asked"].to_numpy(),
-            right["job_offer_id"].to_numpy(),
-            k,
-            minimum,
-            per_candidate,
-        )
-        return blocks.as_frame(found)
+def _met(k: int | None, minimum: float, per_candidate: bool):
+    """Scores pairs of blocks; with ``k``, the best of every waiting row leave at the end."""
 
-    return meet
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, blocks.Pairs]] = {}
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {n: batch.column(n)[at] for n in batch.schema.names}
+                block = row["to_block"].as_py()
+                ids, flat, sizes = (np.frombuffer(row[c].as_buffer(), t) for c, t in blocks.SET_COLUMNS.items())
+                own = blocks.Sets(ids, flat, sizes)
+                ids, flat, sizes = (np.frombuffer(row[f"to_{c}"].as_buffer(), t) for c, t in blocks.SET_COLUMNS.items())
+                waiting = blocks.Sets(ids, flat, sizes)
+                asked = np.frombuffer(row["to_asked" if not per_candidate else "asked"].as_buffer(), np.int32)
+                if k is None:
+                    yield _pairs(waiting.ids, blocks.set_pairs(own, waiting, asked, None, minimum, per_candidate))
+                    continue
+                held = best[block][1] if block in best else blocks.no_pairs()
+                found = blocks.set_pairs(own, waiting, asked, k, minimum, per_candidate, held)
+                if found[0].size:
+                    best[block] = waiting.ids.copy(), blocks.keep_best(blocks.join_pairs([held, found]), k)
+        for names, pairs in best.values():
+            yield _pairs(names, pairs)
+
+    def _pairs(names: np.ndarray, pairs: blocks.Pairs) -> pa.RecordBatch:
+        keys, others, score = names[pairs[0]], *pairs[1:]
+        ids = [pa.array(x, pa.int64(), mask=x == NO_ID) for x in ((others, keys) if per_candidate else (keys, others))]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(score, pa.float64())], names=blocks.PAIR_COLUMNS)
+
+    return met
 
 
 def _asked_skills(asked: DataFrame, limit: int) -> tuple[list[np.ndarray], np.ndarray] | None:
@@ -171,6 +188,42 @@ def _first_of_equals(rows: DataFrame, key: str, same: list[str], k: int) -> Data
     return rows.withColumn("at", F.row_number().over(copies)).filter(F.col("at") <= k).drop("at")
 
 
+def _packed(rows: DataFrame, files: int, block_rows: int) -> DataFrame:
+    """``id, asked, numbers`` in blocks, rows with most skills first."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, done = TaskContext.get().partitionId() << 33, 0
+        ids, asked, sets, held = [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            numbers = np.concatenate(sets)
+            sizes = np.array([x.size for x in sets], np.int32)
+            wants = np.array(asked, np.int32)
+            flat = [np.array(ids, np.int64), numbers, sizes, wants]
+            columns = [pa.array([first + done]), pa.array([int(sizes.max())], pa.int32()), pa.array([int(wants.min())], pa.int32())]
+            columns += [pa.array([x.tobytes()], pa.binary()) for x in flat]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "most", "fewest_asked", "ids", "numbers", "sizes", "asked"])
+
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)
+            for own, n, numbers in rows:
+                numbers = numbers.values.to_numpy()
+                if ids and (len(ids) >= block_rows or held + numbers.size > BLOCK_SKILLS):
+                    yield block()
+                    ids, asked, sets, held, done = [], [], [], 0, done + 1
+                ids.append(own)
+                asked.append(n)
+                sets.append(numbers)
+                held += numbers.size
+        if ids:
+            yield block()
+
+    order = [F.size("numbers").desc(), F.xxhash64("id")]
+    near = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    schema = "block long, most int, fewest_asked int, ids binary, numbers binary, sizes binary, asked binary"
+    return near.select("id", "asked", "numbers").mapInArrow(pack, schema)
+
+
 def _meeting(
     heads: DataFrame,
     asking: DataFrame,
@@ -181,60 +234,37 @@ def _meeting(
 ) -> DataFrame:
     """Scored pairs of ``candidate_id, held`` and ``job_offer_id, asked, wanted``.
 
-    A pair that meets at several skills is counted whole at the first and in part at the
-    others; its largest score is the true one. What a block cuts stands behind ``k`` pairs
-    whose true scores are no smaller, so cutting by parts loses none of the best.
+    An offer id with sets of several sizes has the better score.
     """
-    needed = F.greatest(F.ceil(F.col("asked") * F.lit(min_similarity) - F.lit(1e-9)), F.lit(1))
-    prefix = (
-        asking.withColumn("needed", needed)
-        .select("job_offer_id", "asked", "needed", "wanted", F.posexplode("wanted"))
-        .withColumnsRenamed({"col": "number", "pos": "at"})
-        .filter(F.size("wanted") - F.col("at") >= F.col("needed"))
-        .withColumn("wanted", F.expr("slice(wanted, at + 1, size(wanted) - at)"))
-    )
-    asks = prefix.groupBy("number").agg(
-        F.count("*").alias("askers"), F.min("needed").alias("least")
-    )
-    coming = (
-        heads.select("candidate_id", "held", F.posexplode("held"))
-        .withColumnsRenamed({"col": "number", "pos": "at"})
-        .join(asks, "number")
-        .filter(F.size("held") - F.col("at") >= F.col("least"))
-    )
-    splits = staged(
-        coming.groupBy("number")
-        .agg(F.count("*").alias("holders"), F.first("askers").alias("askers"))
-        .select(
-            "number",
-            F.ceil(F.col("holders") / block_rows).cast("int").alias("parts"),
-            F.ceil(F.col("askers") / block_rows).cast("int").alias("blocks"),
-        ),
-        "skill-blocks",
-    )
-    travelling = coming.join(splits, "number").select(
-        "number",
-        "candidate_id",
-        F.expr("slice(held, at + 1, size(held) - at)").alias("held"),
-        F.pmod(F.xxhash64("candidate_id"), F.col("parts")).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-    )
-    waiting = prefix.join(splits, "number").select(
-        "number",
-        "job_offer_id",
-        "asked",
-        "wanted",
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.pmod(F.xxhash64("job_offer_id"), F.col("blocks")).cast("int").alias("block"),
-    )
-    keys = ["number", "part", "block"]
-    return (
-        travelling.groupBy(*keys)
-        .cogroup(waiting.groupBy(*keys))
-        .applyInPandas(_overlap_blocks(k, min_similarity, per_candidate), PAIR_SCHEMA)
-        .groupBy("job_offer_id", "candidate_id")
-        .agg(F.max("similarity_score").alias("similarity_score"))
+
+    def rows_of(side: DataFrame, key: str, asked: Column, numbers: str) -> DataFrame:
+        own = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
+        return side.select(own.alias("id"), asked.alias("asked"), F.col(numbers).alias("numbers"))
+
+    sides = [rows_of(heads, "candidate_id", F.lit(0), "held"), rows_of(asking, "job_offer_id", F.col("asked"), "wanted")]
+    # Those whose best are kept wait, the others pass by.
+    passing, waiting = reversed(sides) if per_candidate else sides
+
+    def sized(side: DataFrame) -> tuple[int, int]:
+        n, skills = side.agg(F.count("*"), F.sum(F.size("numbers"))).first()
+        return n, max(-(-n // block_rows), -(-(skills or 0) // BLOCK_SKILLS))
+
+    tasks = TASKS_PER_CORE * heads.sparkSession.sparkContext.defaultParallelism
+    (_, n_left), (n, n_right) = sized(passing), sized(waiting)
+    goals = max(min(tasks, n // FEWEST_ROWS), -(-n_right // FILE_BLOCKS), 1)
+    # Each partition of those that pass hands on ``k`` rows of a key: one is enough beside many of the others.
+    parts = -(-tasks // goals)
+    files = max(parts, -(-n_left // FILE_BLOCKS))
+    left = staged(_packed(passing, files, block_rows), "passing-sets").drop("block").coalesce(parts)
+    right = staged(_packed(waiting, goals, block_rows), "waiting-sets")
+    right = right.select(*[F.col(c).alias(f"to_{c}") for c in right.columns])
+    most, least = ("to_most", "fewest_asked") if per_candidate else ("most", "to_fewest_asked")
+    needed = F.greatest(F.ceil(F.col(least) * F.lit(min_similarity) - F.lit(1e-9)), F.lit(1))
+    met = left.hint("shuffle_replicate_nl").join(right, F.col(most) >= needed)
+    pairs = met.drop("most", "fewest_asked", "to_most", "to_fewest_asked").mapInArrow(
+        _met(k, min_similarity, per_candidate), PAIR_SCHEMA
     )
+    return pairs.groupBy("job_offer_id", "candidate_id").agg(F.max("similarity_score").alias("similarity_score"))
 
 
 def best_by_overlap(
