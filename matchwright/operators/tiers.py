@@ -9,6 +9,7 @@ from ..functions import scores
 from .views import open_offers
 
 NEWEST_OPEN = 50  # fixed value: offers looked at in the second tier
+TASKS_PER_CORE = 4
 NEWEST_ANY = 10  # fixed value: offers looked at in the last tier
 PAIR = ["candidate_id", "job_offer_id"]
 MATCH_COLUMNS = [*PAIR, "similarity_score", "distance"]
@@ -26,6 +27,11 @@ def _listed(offers: DataFrame, n: int) -> Column:
     return placed.agg(F.array_sort(F.collect_list(entry))).scalar()
 
 
+def _spread(candidates: DataFrame) -> DataFrame:
+    """Candidates dealt over all cores: few bytes, read by few tasks, become many pairs."""
+    return candidates.repartition(TASKS_PER_CORE * candidates.sparkSession.sparkContext.defaultParallelism)
+
+
 def category_tier(
     candidates: DataFrame,
     offers: DataFrame,
@@ -45,7 +51,8 @@ def category_tier(
             [F.col("candidate_id"), F.col("o.job_offer_id")], 0.0, noise, seed
         )
     return (
-        candidates.select("candidate_id", "job_category", F.explode(listed).alias("o"))
+        _spread(candidates.select("candidate_id", "job_category"))
+        .select("candidate_id", "job_category", F.explode(listed).alias("o"))
         .withColumn("similarity_score", F.least(score, F.lit(0.95)))
         .filter(F.col("similarity_score") >= scores.MIN_SIMILARITY)
         .select(
@@ -73,7 +80,8 @@ def last_resort_tier(
     if cap is not None:
         score = F.least(score, F.lit(cap))
     return (
-        candidates.select("candidate_id", F.explode(listed).alias("o"))
+        _spread(candidates.select("candidate_id"))
+        .select("candidate_id", F.explode(listed).alias("o"))
         .select("candidate_id", "o.job_offer_id", score.alias("similarity_score"))
         .withColumn("distance", F.lit(1.0) - F.col("similarity_score"))
         .join(matches.select(*PAIR), PAIR, "left_anti")
