@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from ..sources.tables import staged
 # Accepted upload types; only plain text is read here.
 READABLE = ["txt"]
 NEEDS_A_PARSER = ["pdf", "docx", "doc"]
+FOLDER, FOLDERS = "folder", 256
+TASKS_PER_CORE = 4
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -29,6 +32,19 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_files(texts: DataFrame, path: str, key: str) -> None:
+    """One text file for each key, in ``FOLDERS`` folders named by ``FOLDER``.
+
+    Tasks put their own files in place, and folders are listed side by side when they are
+    read by a pattern; one folder of all files would leave both to the driver.
+    """
+    tasks = TASKS_PER_CORE * texts.sparkSession.sparkContext.defaultParallelism
+    folder = F.pmod(F.xxhash64(key), F.lit(FOLDERS)).alias(FOLDER)
+    dealt = texts.select(folder, key, "text").repartition(tasks, key)
+    writer = dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy(FOLDER, key).text(path)
+
+
 def sort_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Readable documents with their text, and the rejected files with a reason.
 
@@ -58,6 +74,7 @@ def has_text(df: DataFrame, column: str = "text") -> DataFrame:
 CHARACTERS_AT_A_TIME = 1 << 20
 PROFILE_ROWS = 1 << 20  # largest profile that is broadcast
 PART_BYTES = 32 << 20
+PART_CHARACTERS = 8 << 20  # texts that share the trigrams fetched for them
 
 
 def _flat() -> Column:
@@ -108,7 +125,8 @@ def _trigram_counts(documents: DataFrame) -> DataFrame:
                 for start, end in _slices(texts):
                     codes, n = np.unique(_trigrams(texts[start:end])[0], return_counts=True)
                     grams = [_spelled(c) for c in codes.tolist()]
-                    yield pd.DataFrame({"lang": lang, "gram": grams, "n": n})
+                    if grams:
+                        yield pd.DataFrame({"lang": lang, "gram": grams, "n": n})
 
     flat = documents.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     return (
@@ -150,39 +168,18 @@ def tag_language(
     """``key, language``: the likeliest language of each whole text, else ``unknown``.
 
     Equal weights go to the first language by name. A profile of checked size is
-    broadcast and texts are weighed where they are read; a larger one is joined to the
-    trigrams, counted per text. Both give the same result.
+    broadcast and texts are weighed where they are read; of a larger one each part of the
+    texts gets the trigrams it holds by a join. Both give the same result.
     """
     few = profile.select("gram", "lang", "weight").limit(broadcast_rows + 1).toPandas()
     if len(few) > broadcast_rows:
         return _tag_by_join(documents, profile, key)
-    languages, column = np.unique(few["lang"].to_numpy(dtype=object), return_inverse=True)
-    numbers = np.array([_number(g) for g in few["gram"]], dtype=np.int64)
-    codes, row = np.unique(numbers, return_inverse=True)
-    weights = np.zeros((len(codes), len(languages)), dtype=np.int64)
-    weights[row, column] = few["weight"].to_numpy()
-    shared = documents.sparkSession.sparkContext.broadcast(
-        (codes, weights, np.array([*languages, "unknown"], dtype=object))
-    )
+    known = _weights(few["lang"].to_numpy(dtype=object), np.array([_number(g) for g in few["gram"]], dtype=np.int64), few["weight"].to_numpy())
+    shared = documents.sparkSession.sparkContext.broadcast(known)
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, weight, names = shared.value
         for batch in batches:
-            texts = list(batch["flat"])
-            found = np.full(len(texts), len(names) - 1)
-            for start, end in _slices(texts):
-                grams, owner = _trigrams(texts[start:end])
-                if not grams.size or not known.size:
-                    continue
-                at = np.minimum(np.searchsorted(known, grams), known.size - 1)
-                hit = known[at] == grams
-                at, owner = at[hit], owner[hit]
-                if not at.size:
-                    continue
-                # Rows of one text follow each other: add up each run.
-                starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                found[start + owner[starts]] = np.add.reduceat(weight[at], starts).argmax(1)
-            yield pd.DataFrame({key: batch[key], "language": names[found]})
+            yield pd.DataFrame({key: batch[key], "language": _likeliest(list(batch["flat"]), *shared.value)})
 
     kind = documents.schema[key].dataType.simpleString()
     flat = _spread(documents).select(key, F.coalesce(_flat(), F.lit("")).alias("flat"))
@@ -190,20 +187,85 @@ def tag_language(
 
 
 def _tag_by_join(documents: DataFrame, profile: DataFrame, key: str) -> DataFrame:
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, keys = list(batch["flat"]), batch[key].to_numpy()
-            for start, end in _slices(texts):
-                codes, owner = _trigrams(texts[start:end])
-                pairs, n = np.unique(np.stack([owner, codes]), axis=1, return_counts=True)
-                grams = [_spelled(c) for c in pairs[1].tolist()]
-                yield pd.DataFrame({key: keys[start + pairs[0]], "gram": grams, "n": n})
-
+    """Texts are dealt into parts of bounded size; a part's trigrams travel, each once."""
     kind = documents.schema[key].dataType.simpleString()
     flat = _spread(documents).select(key, F.coalesce(_flat(), F.lit("")).alias("flat"))
-    grams = flat.mapInPandas(count, f"{key} {kind}, gram string, n long")
-    weighed = grams.join(profile, "gram").groupBy(key, "lang").agg(F.sum(F.col("n") * F.col("weight")).alias("weight"))
-    best = weighed.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("weight"), "lang")).alias("found"))
-    return documents.select(key).join(best, key, "left").select(
-        key, F.coalesce("found", F.lit("unknown")).alias("language")
-    )
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, size = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            sizes = batch["flat"].str.len().to_numpy()
+            parts = part + (size + np.cumsum(sizes) - sizes) // PART_CHARACTERS
+            size += int(sizes.sum())
+            yield pd.DataFrame({key: batch[key], "flat": list(batch["flat"]), "part": parts})
+
+    dealt = staged(flat.mapInPandas(deal, f"{key} {kind}, flat string, part long"), "language-parts")
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part, texts in batch.groupby("part")["flat"]:
+                texts = list(texts)
+                found = [np.unique(_trigrams(texts[a:b])[0]) for a, b in _slices(texts)]
+                grams = [_spelled(c) for c in np.unique(np.concatenate(found)).tolist()]
+                if grams:
+                    yield pd.DataFrame({"part": part, "gram": grams})
+
+    grams = dealt.select("part", "flat").mapInPandas(held, "part long, gram string").distinct()
+    row = F.struct("lang", "weight")
+    by_gram = profile.groupBy("gram").agg(F.collect_list(row).alias("weights"))
+    wanted = grams.join(by_gram, "gram")
+
+    def weigh(texts: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+        each = weights["weights"].str.len().to_numpy(dtype=np.int64)
+        rows = [(w["lang"], w["weight"]) for of in weights["weights"] for w in of]
+        numbers = np.repeat(np.array([_number(g) for g in weights["gram"]], dtype=np.int64), each)
+        known = _weights(np.array([r[0] for r in rows], dtype=object), numbers, np.array([r[1] for r in rows], dtype=np.int64))
+        codes, weight, names = known
+        held = np.zeros(weight.shape, dtype=np.int64)
+        held[np.searchsorted(codes, numbers), np.searchsorted(names[:-1].astype(str), [r[0] for r in rows])] = 1
+        found = []
+        for text, sums in _summed(list(texts["flat"]), codes, np.hstack([weight, held])):
+            at, lang = np.nonzero(sums[:, weight.shape[1] :])
+            found.append((text[at], names[lang], sums[at, lang]))
+        if not found:
+            return pd.DataFrame({key: texts[key].iloc[:0], "lang": pd.Series([], dtype=object), "weight": np.empty(0, np.int64)})
+        text, lang, weight = map(np.concatenate, zip(*found))
+        return pd.DataFrame({key: texts[key].to_numpy()[text], "lang": list(lang), "weight": weight})
+
+    weighed = dealt.groupBy("part").cogroup(wanted.groupBy("part")).applyInPandas(weigh, f"{key} {kind}, lang string, weight long")
+    best = weighed.groupBy(key, "lang").agg(F.sum("weight").alias("weight"))
+    best = best.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("weight"), "lang")).alias("found"))
+    return documents.select(key).join(best, key, "left").select(key, F.coalesce("found", F.lit("unknown")).alias("language"))
+
+
+def _weights(lang: np.ndarray, numbers: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trigram numbers in order, their weights by language, and the languages' names."""
+    languages, column = np.unique(lang, return_inverse=True)
+    codes, row = np.unique(numbers, return_inverse=True)
+    weights = np.zeros((len(codes), len(languages)), dtype=np.int64)
+    weights[row, column] = weight
+    return codes, weights, np.array([*languages, "unknown"], dtype=object)
+
+
+def _likeliest(texts: list[str], known: np.ndarray, weight: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The language of each text."""
+    found = np.full(len(texts), len(names) - 1)
+    for at, sums in _summed(texts, known, weight):
+        found[at] = sums.argmax(1)
+    return names[found]
+
+
+def _summed(texts: list[str], known: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts that hold a known trigram, and the sums of the weights of theirs."""
+    for start, end in _slices(texts):
+        grams, owner = _trigrams(texts[start:end])
+        if not grams.size or not known.size:
+            continue
+        at = np.minimum(np.searchsorted(known, grams), known.size - 1)
+        hit = known[at] == grams
+        at, owner = at[hit], owner[hit]
+        if not at.size:
+            continue
+        # Rows of one text follow each other: add up each run.
+        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        yield start + owner[starts], np.add.reduceat(weight[at], starts)

@@ -445,3 +445,37 @@ def test_newest_version_wins(spark):
     rows = match(spark, [(1, 1, 0.5, T1)]).withColumn("batch_id", F.lit(0).cast("long"))
     later = match(spark, [(1, 1, 0.7, T2)]).withColumn("batch_id", F.lit(1).cast("long"))
     assert seen(arrivals.current_matches(rows.unionByName(later))) == {(1, 1): (0.7, T1, T2)}
+
+
+def test_language_by_join_sends_trigrams_once_for_a_part(spark, monkeypatch):
+    from matchwright.operators import documents as d
+
+    monkeypatch.setattr(d, "PART_CHARACTERS", 40)
+    rows = [(i, "the cat and the dog" if i % 2 else "le chat et le chien", "en" if i % 2 else "fr") for i in range(30)]
+    rows += [(None, "the cat", "en"), (1, "le chat", "fr"), (99, "", "en"), (98, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = d.tag_language(docs, d.language_profile(docs), broadcast_rows=0)
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.language) for r in found.collect())
+    names = {i: "en" if i % 2 else "fr" for i in range(30)} | {98: "unknown", 99: "unknown"}
+    expected = [(True, i, n) for i, n in names.items()] + [(True, 1, "en"), (False, 0, "unknown")]
+    assert got == sorted(expected)
+
+
+def test_latest_per_key_sends_each_value_once(spark):
+    from matchwright.operators import maintenance
+
+    rows = spark.createDataFrame([(1, 2.0, "a"), (1, 3.0, "b"), (2, None, "c")], "k long, at double, v string")
+    found = maintenance.latest_per_key(rows, ["k"], ["at"])
+    assert "max_by" not in found._jdf.queryExecution().analyzed().toString()
+    assert sorted((r.k, r.v) for r in found.collect()) == [(1, "b"), (2, "c")]
+
+
+def test_written_files_are_dealt_over_folders(spark, tmp_path):
+    from matchwright.operators import documents as d
+
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(12)], "doc_id long, text string")
+    d.write_files(rows, str(tmp_path / "files"), "doc_id")
+    found = d.read_files(spark, f"{tmp_path}/files/{d.FOLDER}=*").collect()
+    assert sorted(bytes(r.content).decode() for r in found) == sorted(f"text {i}\n" for i in range(12))
+    assert len({r.path.split(f"{d.FOLDER}=")[1].split("/")[0] for r in found}) > 1
