@@ -19,13 +19,20 @@ UNKNOWN = "Unknown"
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the one with the largest ``order`` columns.
 
-    An aggregate, so a key that repeats very often is reduced before the shuffle.
+    An aggregate, so a key that repeats very often is reduced before the shuffle. The row
+    is its own rank, ``order`` first, so that no value travels twice; rows that agree in
+    ``order`` are told apart by the other columns where Spark can order them.
     """
     others = [c for c in df.columns if c not in keys]
-    rank = F.struct(*order) if order else F.struct(*others)
+    ordered = [c for c in order if c in others]
+    rest = [c for c in others if c not in ordered]
+    if "map<" in df.select(*rest).schema.simpleString() or "variant" in df.select(*rest).schema.simpleString():
+        largest = F.max_by(F.struct(*others), F.struct(*(order or others)))
+    else:
+        largest = F.max(F.struct(*ordered, *rest))
     return (
         df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*others), rank).alias("row"))
+        .agg(largest.alias("row"))
         .select(*keys, *[F.col("row")[c].alias(c) for c in others])
         .select(*df.columns)
     )
