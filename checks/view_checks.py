@@ -9,7 +9,7 @@ from matchwright.operators import analytics, views
 from matchwright.operators.tiers import newest_offers
 from matchwright.sources.tables import candidate_export, export_csv, new_folder
 
-from .fixtures import Tables, placed, sql
+from .fixtures import Tables, placed, placed_in_runs, sql
 
 
 def p01_projection(t: Tables) -> DataFrame:
@@ -85,7 +85,7 @@ def p12_skill_and_place_guards(t: Tables) -> DataFrame:
 
 
 def j01_candidate_matches(t: Tables) -> DataFrame:
-    return placed(views.candidate_matches(t.matches(), t.posts()), "candidate_id").select(
+    return placed_in_runs(views.candidate_matches(t.matches(), t.posts()), "candidate_id").select(
         "place",
         "candidate_id",
         "job_offer_id",
@@ -97,7 +97,7 @@ def j01_candidate_matches(t: Tables) -> DataFrame:
 
 
 def j02_job_candidates(t: Tables) -> DataFrame:
-    return placed(views.job_candidates(t.people(), t.matches()), "job_offer_id").select(
+    return placed_in_runs(views.job_candidates(t.people(), t.matches()), "job_offer_id").select(
         "place",
         "job_offer_id",
         "candidate_id",

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from checks import view_checks
 from matchwright.operators import analytics as a
 from matchwright.operators import documents as docs
 from matchwright.operators import nearest, quantiles, rules, views
@@ -308,3 +309,30 @@ def test_analytics_stay_in_the_jvm(people):
     for df in (a.skill_frequency(people), a.co_occurrence(people), a.by_place(people)):
         p = plan(df)
         assert "Python" not in p and "CartesianProduct" not in p and "NestedLoop" not in p
+
+
+def test_lists_of_all_keys_are_sorted_once(spark):
+    match = "candidate_id long, job_offer_id long, similarity_score double, created_at timestamp, distance double, overall_evaluation double"
+    met = [(c, o, round((c * o) % 7 / 10, 1), DAY if o % 3 else None, 0.5, 0.5) for c in range(40) for o in range(1, 30)]
+    matches = spark.createDataFrame(met + met[:50], match).repartition(7)
+    posts = spark.createDataFrame([(o, f"Job {o}", f"Company {o % 4}", "IT") for o in range(1, 25)], "job_offer_id long, job_title string, company_name string, job_category string")
+    names = spark.createDataFrame([(c, f"N{c}", f"{c}@x") for c in range(35)], "candidate_id long, first_name string, email string")
+
+    class Made:
+        def __getattr__(self, name):
+            return lambda: {"matches": matches, "posts": posts, "people": names}[name]
+
+    for listed, key, order in (
+        (view_checks.j01_candidate_matches(Made()), "candidate_id", lambda r: (r[0], -r[2], r[3] is None, r[1])),
+        (view_checks.j02_job_candidates(Made()), "job_offer_id", lambda r: (r[1], -r[2], r[0])),
+    ):
+        kept = [r for r in met + met[:50] if (r[1] < 25 if key == "candidate_id" else r[0] < 35)]
+        want, at = [], {}
+        for r in sorted(kept, key=order):
+            own = r[0] if key == "candidate_id" else r[1]
+            at[own] = at.get(own, 0) + 1
+            want.append((at[own], *r[:3]))
+        assert rows(listed.select("place", "candidate_id", "job_offer_id", "similarity_score")) == sorted(want)
+        assert dict(listed.dtypes)["place"] == "int"
+        plan = listed._jdf.queryExecution().executedPlan().toString()
+        assert "Sort [" in plan and not [x for x in plan.splitlines() if "Sort [" in x and " _at#" in x]
