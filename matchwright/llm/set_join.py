@@ -12,6 +12,11 @@ differing shingles, so some n2 - k2 of its cells are equal in both sets: the con
 each part's choices of n2 - k2 cells are the signatures. More cells make signatures more
 telling and more numerous; ``plan`` chooses by expected cost for each band.
 
+Empty cells are equal in unrelated sets, too, which would meet by the square of their number.
+So there may be ``spare`` parts more than the pigeonhole needs: then ``spare`` + 1 parts at
+least have ``k2`` differing shingles or fewer, and a set with at most ``spare`` parts in which
+a choice of cells is empty leaves its empty signatures out: one that holds shingles is left.
+
 Before that, sets without a partner are left out: at least 80 % of a set's shingles are in
 any set alike to it, so a set of which more than a fifth occurs in no other set is alike to
 none. It is enough to look at a part of all shingles, one of ``LOOK`` by hash.
@@ -35,7 +40,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import comb, exp
+from math import comb, erfc, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -93,26 +98,52 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def measured(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, place (of the row), sid (of its set), n, and the part of its shingles looked at."""
+    """doc_id, place (of the row), sid (of its set) and n."""
     ship(docs.sparkSession)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, sizes, parts = [], [], []
+            sids, sizes = [], []
             for own in shingle_sets(batch.column(2), words):
                 sids.append(_set_id(own))
                 sizes.append(own.size)
-                parts.append(own[own % np.uint64(LOOK) == 0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), _lists(parts)], names=["doc_id", "place", "sid", "n", "part"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "place", "sid", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("place"), "text")
-    return rows.mapInArrow(compute, f"doc_id {kind}, place long, sid long, n long, part array<long>")
+    return rows.mapInArrow(compute, f"doc_id {kind}, place long, sid long, n long")
+
+
+def _flat(names: list[str], pieces: Iterator[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+    """Batches of (hash, sid) from hashes and the sid they all have."""
+    hashes, sids, held = [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(sids))], names=names)
+
+    for own, sid in pieces:
+        hashes.append(own)
+        sids.append(np.full(own.size, sid, np.int64))
+        held += own.size
+        if held >= 1 << 17:
+            yield batch()
+            hashes, sids, held = [], [], 0
+    if hashes:
+        yield batch()
+
+
+def looked_at(docs: DataFrame, words: int) -> DataFrame:
+    """(h, sid) of the shingles looked at. They are many, so they are not staged."""
 
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns = (own for batch in batches for own in shingle_sets(batch.column(0), words))
+        yield from _flat(["h", "sid"], ((own[own % np.uint64(LOOK) == 0], _set_id(own)) for own in owns))
+
+    return docs.select("text").mapInArrow(compute, "h long, sid long")
 
-def with_partners(rows: DataFrame) -> DataFrame:
+
+def with_partners(rows: DataFrame, looked: DataFrame) -> DataFrame:
     """(sid, place) of the sets that may have one: ``measured`` rows without the others."""
-    looked = rows.select("sid", F.explode("part").alias("h"))
     alone = looked.groupBy("h").agg(F.min("sid").alias("sid"), F.max("sid").alias("other")).filter("sid = other")
     alone = alone.groupBy("sid").agg(F.count(F.lit(1)).alias("alone"))
     sets = rows.filter("n > 0").groupBy("sid").agg(F.min("place").alias("place"), F.first("n").alias("n"))
@@ -194,24 +225,45 @@ def plan(sets: int, instance: int) -> tuple[int, int, int]:
         cost = sets * many * ROW_COST + sets * sets / 2 * many * exp(-2 * held)
         if best is None or cost < best[0]:
             best = cost, (n1, n2, k2)
+    n1, n2, k2 = best[1]
+    return n1 + spare(sets, int(bands()[instance - 1]) * PART / WHOLE, n1, n2, k2), n2, k2
+
+
+def spare(sets: int, size: float, n1: int, n2: int, k2: int) -> int:
+    """How many parts more are of least expected cost for unrelated sets of ``size``."""
+    best, e = None, 0
+    while e <= n1:
+        parts, many = n1 + e, (n1 + e) * comb(n2, k2)
+        empty = exp(-size / parts / n2)
+        light = parts * sum(comb(n2, c) * empty**c * (1 - empty) ** (n2 - c) for c in range(n2 - k2, n2 + 1))
+        keep = erfc((e + 0.5 - light) / sqrt(2 * light)) / 2 if light else 0.0
+        cost = sets * many * ROW_COST + (sets * keep) ** 2 / 2 * many * empty ** (2 * (n2 - k2))
+        if best is None or cost < best[0]:
+            best = cost, e
+        e += 1 + e // 8
     return best[1]
 
 
 def signatures(own: np.ndarray, instance: int, n1: int, n2: int, k2: int) -> np.ndarray:
-    """The signatures of one set in one instance."""
+    """The signatures of one set in one instance; without empty ones where they can be spared."""
     own = mixed(own + np.uint64(instance + 1))
     cell = (own % np.uint64(n1)) * np.uint64(n2) + (own >> np.uint64(40)) % np.uint64(n2)
     sums = np.zeros(n1 * n2, np.uint64)
     np.add.at(sums, cell.astype(np.int64), mixed(own))
     sums = sums.reshape(n1, n2)
+    filled = np.bincount(cell.astype(np.int64), minlength=n1 * n2).reshape(n1, n2) > 0
+    spared = n1 - 1 - most_differing(instance) // (k2 + 1)
+    light = int((filled.sum(axis=1) <= k2).sum())
     out = np.empty((n1, comb(n2, k2)), np.uint64)
+    holds = np.empty(out.shape, bool)
     parts = np.arange(n1, dtype=np.uint64)
     for i, chosen in enumerate(combinations(range(n2), n2 - k2)):
         h = parts * np.uint64(1000003) + np.uint64(instance * 4099 + i + 1)
         for c in chosen:
             h = extended(h, sums[:, c])
         out[:, i] = h
-    return out.reshape(-1)
+        holds[:, i] = filled[:, chosen].any(axis=1)
+    return out[holds] if light <= spared else out.reshape(-1)
 
 
 def signature_rows(sets: DataFrame) -> DataFrame:
@@ -226,22 +278,17 @@ def signature_rows(sets: DataFrame) -> DataFrame:
             if most_differing(j):
                 plans[j] = plan(counts.get(j, 0) + counts.get(j - 1, 0), j)
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
         for batch in batches:
-            sids, found, held = [], [], 0
             for sid, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = own.values.to_numpy().view(np.uint64)
                 band = int(np.searchsorted(ends, own.size))
                 for j in (band, band + 1):
                     if j in plans:
-                        found.append(signatures(own, j, *plans[j]))
-                        sids.append(np.full(found[-1].size, sid, np.int64))
-                        held += found[-1].size
-                if held >= 1 << 17:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(sids))], names=["sig", "sid"])
-                    sids, found, held = [], [], 0
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(sids))], names=["sig", "sid"])
+                        yield signatures(own, j, *plans[j]), sid
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _flat(["sig", "sid"], signed(batches))
 
     return sets.select("sid", "own").mapInArrow(compute, "sig long, sid long")
 
@@ -310,7 +357,7 @@ def linked(sets: DataFrame) -> DataFrame:
 def alike(docs: DataFrame, words: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     rows = staged(measured(docs, words), "set-rows")
-    chosen = staged(with_partners(rows), "set-chosen")
+    chosen = staged(with_partners(rows, looked_at(docs, words)), "set-chosen")
     release(docs.sparkSession)
     sets = staged(whole_sets(docs, chosen, words), "set-whole")
     release(docs.sparkSession)

@@ -98,6 +98,30 @@ def test_alike_sets_share_a_signature():
                 assert np.intersect1d(a, b).size
 
 
+def test_unrelated_sets_do_not_share_empty_cells():
+    """Empty signatures are spared by nearly all sets of many, and alike sets still meet."""
+    rng = np.random.default_rng(2)
+    ends = set_join.bands()
+    for n, many in ((300, 20000), (1200, 500000), (3000, 20000)):
+        j = int(np.searchsorted(ends, n))
+        n1, n2, k2 = set_join.plan(many, j)
+        assert n1 - 1 > set_join.most_differing(j) // (k2 + 1)
+        sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for _ in range(100)]
+        signed = [np.unique(set_join.signatures(x, j, n1, n2, k2)) for x in sets]
+        assert sum(np.intersect1d(a, b).size for i, a in enumerate(signed) for b in signed[:i]) <= 5
+        for x, own in zip(sets[:10], signed, strict=False):
+            gone = n // 9
+            other = np.concatenate((x[gone:], rng.integers(0, 1 << 63, gone, dtype=np.uint64)))
+            assert np.intersect1d(own, set_join.signatures(other, j, n1, n2, k2)).size
+
+
+@pytest.mark.parametrize("more", [1, 3])
+def test_spare_parts_lose_no_link(spark, monkeypatch, more):
+    monkeypatch.setattr(set_join, "spare", lambda *_: more)
+    df = docs(spark, varied(5))
+    assert found(df) == brute(df.collect())
+
+
 def test_a_large_group_of_near_copies_and_of_copies(spark):
     base = [f"w{i}" for i in range(80)]
     texts = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(80)] * 5 + [" ".join(base)] * 300
