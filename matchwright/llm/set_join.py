@@ -16,6 +16,8 @@ Empty cells are equal in unrelated sets, too, which would meet by the square of
 So there may be ``spare`` parts more than the pigeonhole needs: then ``spare`` + 1 parts at
 least have ``k2`` differing shingles or fewer, and a set with at most ``spare`` parts in which
 a choice of cells is empty leaves its empty signatures out: one that holds shingles is left.
+Where sets are so large that parities (below) do not keep unrelated ones apart, a pair that
+meets costs as much as a row, so spare parts are worth it for few sets already.
 
 Before that, sets without a partner are left out: at least 80 % of a set's shingles are in
 any set alike to it, so a set of which more than a fifth occurs in no other set is alike to
@@ -27,7 +29,9 @@ the second pass, which takes the pairs of signatures that still hold more than o
 component. The parities of shingles per hash cell give a lower bound of the number of
 differing shingles. Pairs too far by size or by the parities of 512 cells are dropped inside
 the joins, what is left by those of as many cells as the sets have shingles, and only then
-whole sets meet.
+whole sets meet. Sets that nearly are alike share many signatures, but need to meet once: the
+smallest ``FIRST`` signatures of a set travel with it, and a pair is left out wherever both
+hold a smaller one that is the same, under which they meet as well.
 
 Rows. NULL, empty and blank texts have the empty set and are alike to nothing, not even to
 each other. A text shorter than a shingle is one shingle. Copies share a set and count
@@ -62,6 +66,8 @@ LOG_BITS = 23
 SKETCH = 8
 #: What a signature row costs, in compared pairs.
 ROW_COST = 100
+#: So many signatures of a set travel with it in the second pass.
+FIRST = 8
 CHOICES = ((1, 0), (3, 1), (4, 1), (5, 2), (6, 2), (7, 3), (8, 3))
 SIGNED = "s0 long, s1 long, s2 long, s3 long, s4 long, s5 long, s6 long, s7 long"
 
@@ -226,10 +232,16 @@ def plan(sets: int, instance: int) -> tuple[int, int, int]:
         if best is None or cost < best[0]:
             best = cost, (n1, n2, k2)
     n1, n2, k2 = best[1]
-    return n1 + spare(sets, int(bands()[instance - 1]) * PART / WHOLE, n1, n2, k2), n2, k2
+    return n1 + spare(sets, int(bands()[instance - 1]) * PART / WHOLE, pair_cost(instance), n1, n2, k2), n2, k2
 
 
-def spare(sets: int, size: float, n1: int, n2: int, k2: int) -> int:
+def pair_cost(instance: int) -> int:
+    """What a pair of unrelated sets costs: ``ROW_COST`` if parities may not drop it in the join."""
+    cells = 64 * SKETCH  # about half of them differ, with a deviation of half the root
+    return ROW_COST if most_differing(instance) > cells / 2 - 3 * sqrt(cells) / 2 else 1
+
+
+def spare(sets: int, size: float, pair: int, n1: int, n2: int, k2: int) -> int:
     """How many parts more are of least expected cost for unrelated sets of ``size``."""
     best, e = None, 0
     while e <= n1:
@@ -237,7 +249,7 @@ def spare(sets: int, size: float, n1: int, n2: int, k2: int) -> int:
         empty = exp(-size / parts / n2)
         light = parts * sum(comb(n2, c) * empty**c * (1 - empty) ** (n2 - c) for c in range(n2 - k2, n2 + 1))
         keep = erfc((e + 0.5 - light) / sqrt(2 * light)) / 2 if light else 0.0
-        cost = sets * many * ROW_COST + (sets * keep) ** 2 / 2 * many * empty ** (2 * (n2 - k2))
+        cost = sets * many * ROW_COST + pair * (sets * keep) ** 2 / 2 * many * empty ** (2 * (n2 - k2))
         if best is None or cost < best[0]:
             best = cost, e
         e += 1 + e // 8
@@ -319,6 +331,25 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found
 
 
+def with_first(rows: DataFrame) -> DataFrame:
+    """``rows`` (sig, sid, ...) with the smallest ``FIRST`` signatures of their sets."""
+    first = rows.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, FIRST).alias("first"))
+    return rows.join(first, "sid")
+
+
+def meeting(left: DataFrame) -> DataFrame:
+    """The pairs (a, b) of near sets that share a signature and are not known to be connected.
+
+    ``left`` has (sig, sid, first, known, n and the sketch), one row for each signature of a set.
+    """
+    right = left.select("sig", *[F.col(c).alias(f"o_{c}") for c in left.columns if c != "sig"])
+    p, o = left.alias("p"), right.alias("o")
+    meets = (F.col("p.sig") == F.col("o.sig")) & (F.col("sid") < F.col("o_sid")) & (F.col("known") != F.col("o_known")) & _near()
+    # Of the shared signatures, the smallest is first for both sets if any shared one is.
+    before = F.coalesce(F.array_min(F.array_intersect("first", "o_first")) < F.col("p.sig"), F.lit(False))
+    return p.join(o, meets & ~before).select(F.col("sid").alias("a"), F.col("o_sid").alias("b"))
+
+
 def linked(sets: DataFrame) -> DataFrame:
     """(sid, root) of the sets that are alike to another one, directly or through others."""
     spark = sets.sparkSession
@@ -340,12 +371,10 @@ def linked(sets: DataFrame) -> DataFrame:
     rest = held.filter("sid != low").select("sig", "sid")
     named = rest.join(known.select("sid", "known"), "sid")
     open_ = named.groupBy("sig").agg(F.min("known").alias("low"), F.max("known").alias("high")).filter("low < high").select("sig")
-    left = staged(staged(open_, "set-open").join(rest, "sig").join(known, "sid"), "set-left")
+    asked = staged(staged(open_, "set-open").join(rest, "sig"), "set-asked")
+    left = staged(with_first(asked).join(known, "sid"), "set-left")
     release(spark)
-    right = left.select("sig", *[F.col(c).alias(f"o_{c}") for c in (*names, "known")])
-    p, o = left.alias("p"), right.alias("o")
-    meets = (F.col("p.sig") == F.col("o.sig")) & (F.col("sid") < F.col("o_sid")) & (F.col("known") != F.col("o_known")) & _near()
-    second = staged(p.join(o, meets).select(F.col("sid").alias("a"), F.col("o_sid").alias("b")).distinct(), "set-second")
+    second = staged(meeting(left).distinct(), "set-second")
     links = _verified(second, sets)
     roots = known.select("sid", "known")
     ends = [roots.select(F.col("sid").alias(c), F.col("known").alias(f"{c}_known")) for c in "ab"]

@@ -115,6 +115,30 @@ def test_unrelated_sets_do_not_share_empty_cells():
             assert np.intersect1d(own, set_join.signatures(other, j, n1, n2, k2)).size
 
 
+def test_few_large_sets_do_not_share_empty_cells():
+    """Parities do not keep sets of so many shingles apart, so not many may meet."""
+    rng = np.random.default_rng(3)
+    for n, many in ((1100, 2000), (1400, 1800), (2200, 800), (4300, 500)):
+        j = int(np.searchsorted(set_join.bands(), n)) + 1
+        chosen = set_join.plan(many, j)
+        signed = [np.unique(set_join.signatures(rng.integers(0, 1 << 63, n, dtype=np.uint64), j, *chosen)) for _ in range(60)]
+        met = sum(bool(np.intersect1d(a, b).size) for i, a in enumerate(signed) for b in signed[:i])
+        assert met <= 60 * 59 / 2 * 0.05
+
+
+def test_sets_that_share_many_signatures_meet_once(spark):
+    rng = np.random.default_rng(4)
+    sigs = rng.integers(-(1 << 62), 1 << 62, 100).tolist()
+    # Of 100 signatures each set has 60; the last two sets share one, the largest of both.
+    held = [sorted(rng.choice(sigs, 60, replace=False).tolist()) for _ in range(40)]
+    held += [[*range(-(1 << 63), 100 - (1 << 63)), 1 << 62], [*range(200 - (1 << 63), 300 - (1 << 63)), 1 << 62]]
+    flat = [(s, i, i, 100, *[0] * set_join.SKETCH) for i, own in enumerate(held) for s in own]
+    rows = spark.createDataFrame(flat, "sig long, sid long, known long, n long, " + set_join.SIGNED)
+    met = [(r.a, r.b) for r in set_join.meeting(set_join.with_first(rows)).collect()]
+    assert set(met) == {(i, j) for j in range(42) for i in range(j) if set(held[i]) & set(held[j])}
+    assert len(met) <= 2 * len(set(met)) and (40, 41) in met
+
+
 @pytest.mark.parametrize("more", [1, 3])
 def test_spare_parts_lose_no_link(spark, monkeypatch, more):
     monkeypatch.setattr(set_join, "spare", lambda *_: more)
