@@ -343,7 +343,7 @@ def d01_read_files(t: Tables) -> DataFrame:
     texts = t.raw("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs.write_files(texts, path, "doc_id")
     kept, rejected = docs.sort_files(docs.read_files(t.spark, f"{path}/{docs.FOLDER}=*"))
-    doc_id = F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id")
+    doc_id = F.regexp_extract("path", "doc_id=([0-9]+)[/.]", 1).cast("bigint").alias("doc_id")
     found = kept.select(doc_id, "extension", F.md5(F.col("text").cast("binary")).alias("digest"), F.lit(None).cast("string").alias("reason"))
     return found.unionByName(rejected.select(doc_id, "extension", F.lit(None).cast("string").alias("digest"), "reason"))
 

@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
+from itertools import chain, groupby
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.tables import staged
+from ..sources.tables import file_system, staged
 
 # Accepted upload types; only plain text is read here.
 READABLE = ["txt"]
 NEEDS_A_PARSER = ["pdf", "docx", "doc"]
 FOLDER, FOLDERS = "folder", 256
 TASKS_PER_CORE = 4
+REPEATED_KEYS = 1 << 16  # most keys of several texts that are broadcast
+NO_KEY = "__HIVE_DEFAULT_PARTITION__"  # as Spark names the partition of NULL
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder with name, extension and bytes; Spark skips files of length 0."""
+    """Files of a folder with name, extension and bytes; Spark skips files of length 0.
+
+    Spark counts 4 MB for each file it opens, which gives a task to every few small files:
+    they are read by a number of tasks that does not grow with them.
+    """
+    tasks = max(FOLDERS, TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(path)
+        .coalesce(tasks)
         .withColumn("filename", F.regexp_extract("path", r"([^/]*)$", 1))
         .withColumn("extension", text.file_extension(F.col("filename")))
         .select("path", "filename", "extension", "length", "content")
@@ -36,13 +49,74 @@ def write_files(texts: DataFrame, path: str, key: str) -> None:
     """One text file for each key, in ``FOLDERS`` folders named by ``FOLDER``.
 
     Tasks put their own files in place, and folders are listed side by side when they are
-    read by a pattern; one folder of all files would leave both to the driver.
+    read by a pattern; one folder of all files would leave both to the driver. A file is
+    named ``key=value.txt``, or lies in a folder ``key=value`` where Spark writes it: the
+    path holds the key in both, as Spark spells partitions. Texts of one key share a file;
+    those of other keys are written where they are read, if few keys repeat.
     """
-    tasks = TASKS_PER_CORE * texts.sparkSession.sparkContext.defaultParallelism
+    spark = texts.sparkSession
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
     folder = F.pmod(F.xxhash64(key), F.lit(FOLDERS)).alias(FOLDER)
-    dealt = texts.select(folder, key, "text").repartition(tasks, key)
-    writer = dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    writer.partitionBy(FOLDER, key).text(path)
+    rows = texts.select(folder, key, "text")
+    root = _mounted(spark, path)
+    if root is None:
+        writer = rows.repartition(tasks, key).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        writer.partitionBy(FOLDER, key).text(path)
+        return
+    if os.path.exists(root):
+        raise FileExistsError(f"{path} exists already")
+    sent = rows.select(FOLDER, F.col(key).cast("string").alias("key"), F.col("text").cast("binary").alias("text"))
+    # NULL and "" have one name, and so one file.
+    sent = sent.withColumn("key", F.coalesce("key", F.lit("")))
+    twice = sent.groupBy("key").count().filter("count > 1").select("key")
+    few = twice.limit(REPEATED_KEYS + 1).toPandas()["key"]
+    if len(few) > REPEATED_KEYS:
+        dealt = sent.repartition(tasks, "key").sortWithinPartitions("key")
+    else:
+        known = F.broadcast(spark.createDataFrame([(k,) for k in few], "key string"))
+        again = sent.join(known, "key", "left_semi").repartition(tasks, "key").sortWithinPartitions("key")
+        dealt = again.unionByName(sent.join(known, "key", "left_anti"))
+    files = dealt.select(FOLDER, "key", "text").mapInArrow(_put(root, key), "files long")
+    files.agg(F.sum("files")).collect()
+
+
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The name under which tasks can open ``path`` themselves, None if it is in another store.
+
+    Hadoop's local file system starts a process for each permission it sets, five for a
+    small file in a folder of its own, and that is most of the time there.
+    """
+    system, place = file_system(spark, path)
+    found = system.makeQualified(place).toUri()
+    return found.getPath() if found.getScheme() == "file" else None
+
+
+def _put(root: str, name: str):
+    """Writes the texts of each key, which come one after the other, as one file."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, files, made = f".{uuid.uuid4().hex}", 0, set()
+        for key, found in groupby(rows(batches), lambda row: row[1]):
+            first = next(found)
+            place = os.path.join(root, f"{FOLDER}={first[0]}")
+            if place not in made:
+                os.makedirs(place, exist_ok=True)
+                made.add(place)
+            spelled = quote(key, safe=" ") if key else NO_KEY
+            # Whole before it has its name, so a task that runs twice leaves the same file.
+            with open(os.path.join(place, own), "wb") as file:
+                for _, _, body in chain([first], found):
+                    file.write(body.as_py() or b"")
+                    file.write(b"\n")
+            os.replace(os.path.join(place, own), os.path.join(place, f"{name}={spelled}.txt"))
+            files += 1
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    return put
 
 
 def sort_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:

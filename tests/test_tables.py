@@ -479,3 +479,31 @@ def test_written_files_are_dealt_over_folders(spark, tmp_path):
     found = d.read_files(spark, f"{tmp_path}/files/{d.FOLDER}=*").collect()
     assert sorted(bytes(r.content).decode() for r in found) == sorted(f"text {i}\n" for i in range(12))
     assert len({r.path.split(f"{d.FOLDER}=")[1].split("/")[0] for r in found}) > 1
+
+
+def test_tasks_put_files_in_place(spark, tmp_path, monkeypatch):
+    """One file a key, also for equal keys, odd names and no text; few tasks read many files."""
+    from matchwright.operators import documents as d
+
+    rows = [("a/b", "one"), ("a/b", "one"), ("c d", None), (None, "none"), *[(str(i), f"text {i}") for i in range(600)]]
+    texts = spark.createDataFrame(rows, "name string, text string").repartition(7)
+
+    def stored(some, path):
+        d.write_files(some, path, "name")
+        files = d.read_files(spark, f"{path}/{d.FOLDER}=*")
+        assert files.rdd.getNumPartitions() <= d.FOLDERS
+        found = files.select(F.regexp_extract("path", r"name=(.*?)(\.txt$|/)", 1), "content").collect()
+        assert len({r[0] for r in found}) == len(found)
+        return sorted((r[0] if r[0].isdigit() else "", bytes(r.content).decode()) for r in found)
+
+    direct = stored(texts, f"{tmp_path}/direct")
+    monkeypatch.setattr(d, "REPEATED_KEYS", 0)
+    assert stored(texts, f"{tmp_path}/many") == direct
+    odd = [("", "\n"), ("", "none\n"), ("", "one\none\n")]
+    assert direct == sorted([*odd, *((str(i), f"text {i}\n") for i in range(600))])
+    assert not [f for _, _, names in os.walk(f"{tmp_path}/direct") for f in names if f.startswith(".")]
+    with pytest.raises(FileExistsError):
+        d.write_files(texts, f"{tmp_path}/direct", "name")
+    monkeypatch.setattr(d, "_mounted", lambda *_: None)
+    few = texts.filter("name IS NULL OR NOT name RLIKE '[0-9]' OR name = '7'")
+    assert stored(few, f"{tmp_path}/by Spark") == [*odd, ("7", "text 7\n")]
