@@ -536,3 +536,26 @@ def test_few_found_pairs_bound_nothing():
     for n in range(14):
         held = np.zeros(n, np.int64), np.arange(n), np.full(n, 0.5)
         assert np.isinf(rule.bounds(held, np.arange(4))).all()
+
+
+@pytest.mark.parametrize("small_is_offers", [True, False])
+def test_all_pairs_meet_in_squares(spark, monkeypatch, small_is_offers):
+    """Where the small side is long, few rows of the other do not meet all of it at once."""
+    from matchwright.operators import blocks, nearest
+
+    class Large:
+        def mapInArrow(self, found, _):
+            return found
+
+    vectors = spark.createDataFrame([(i, [1.0, i / 9]) for i in range(10)], "job_offer_id long, skills_vector array<double>")
+    units = nearest._units(vectors, "job_offer_id", "match")
+    shapes, pairs = [], blocks.vector_pairs
+    monkeypatch.setattr(nearest, "PAIRS_AT_ONCE", 16)
+    monkeypatch.setattr(blocks, "vector_pairs", lambda *a: (shapes.append((len(a[1]), len(a[3]))), pairs(*a))[1])
+    rule = nearest._Rule(None, 0.2, 1.0, nearest._farthest(0.2, 1.0))
+    batches = units.coalesce(1).toArrow().to_batches()
+    found = [b for b in nearest._with_small_side(Large(), units, small_is_offers, rule, 4)(batches)]
+    assert set(shapes) == {(4, 4), (4, 2), (2, 4), (2, 2)}
+    assert sorted((o, c) for b in found for o, c in zip(*[b.column(i).to_pylist() for i in (0, 1)])) == [
+        (o, c) for o in range(10) for c in range(10)
+    ]
